@@ -8,6 +8,8 @@ Two families of windows exist and differ at the lower bound:
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # name -> (unit, amount); months and years follow the calendar and clamp at month end
@@ -30,27 +32,50 @@ def window_start(day: Column, window: str) -> Column:
     return _move(day, window, -1)
 
 
+def in_window(end: Column, window: str) -> Column:
+    """Condition of a trailing window."""
+    if WINDOWS[window] is None:
+        return F.lit(True)
+    return F.col("t_dat") >= window_start(end, window)
+
+
+def in_slice(end: Column, start: str, length: str) -> Column:
+    """Condition of ``[end - start, end - start + length]``, both bounds included.
+
+    ``length`` has no effect when ``start`` is "all", nor when it is "all" itself.
+    """
+    if WINDOWS[start] is None or WINDOWS[length] is None:
+        return in_window(end, start)
+    begin = window_start(end, start)
+    return (F.col("t_dat") >= begin) & (F.col("t_dat") <= _move(begin, length, 1))
+
+
 def trailing(history: DataFrame, window: str = "all", end: Column | None = None) -> DataFrame:
     """Rows of the trailing window that ends at the latest day of ``history``."""
     if WINDOWS[window] is None:
         return history
-    end = last_day(history) if end is None else end
-    return history.filter(F.col("t_dat") >= window_start(end, window))
+    return history.filter(in_window(last_day(history) if end is None else end, window))
 
 
 def window_slice(history: DataFrame, start: str, length: str, end: Column | None = None) -> DataFrame:
-    """Rows in ``[end - start, end - start + length]``, both bounds included.
-
-    ``length`` has no effect when ``start`` is "all", nor when it is "all" itself.
-    """
+    """Rows of a bounded slice before the latest day of ``history``."""
     if WINDOWS[start] is None:
         return history
-    end = last_day(history) if end is None else end
-    begin = window_start(end, start)
-    rows = history.filter(F.col("t_dat") >= begin)
-    if WINDOWS[length] is not None:
-        rows = rows.filter(F.col("t_dat") <= _move(begin, length, 1))
-    return rows
+    return history.filter(in_slice(last_day(history) if end is None else end, start, length))
+
+
+def slice_grid(windows: Sequence[str] = tuple(WINDOWS)) -> dict[str, tuple[str, str]]:
+    """The distinct slices of the start × length product, by name.
+
+    Every length of start "all" is the whole history; one of them is kept.
+    """
+    return {"all": ("all", "all")} | {f"{s}+{l}": (s, l) for s in windows if s != "all" for l in windows}
+
+
+def tag_windows(history: DataFrame, conditions: Mapping[str, Column], name: str = "win") -> DataFrame:
+    """Each row once per window it lies in: all windows in one pass over the facts."""
+    inside = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in conditions.items()]))
+    return history.withColumn(name, F.explode(inside))
 
 
 def week_bucket(end: Column, date_col: str = "t_dat") -> Column:

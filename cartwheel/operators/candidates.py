@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cartwheel.functions.dates import WINDOWS, last_day, trailing, window_slice, window_start
+from cartwheel.functions.dates import in_slice, in_window, last_day, slice_grid, trailing, window_slice
 from cartwheel.functions.joins import salted_join
 from cartwheel.functions.ranks import best_row, hash_rank, ordered_list, top_n
 
@@ -167,6 +167,45 @@ def wide_union(tagged: DataFrame, strategies: Sequence[int], prefix: str = "rec"
         for i, s in enumerate(strategies)])
 
 
+def windowed_counts(history: DataFrame, keys: Sequence[str], conditions: Mapping[str, Column]) -> DataFrame:
+    """Rows per key in each named window, as columns cnt_<name>: one pass over the facts."""
+    sums = [F.count(F.when(inside, 1)).alias(f"cnt_{name}") for name, inside in conditions.items()]
+    return _known(history, *keys).groupBy(*keys).agg(*sums)
+
+
+def sum_windows(counts: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Window counts on a coarser key."""
+    return counts.groupBy(*keys).agg(*[F.sum(f"`cnt_{w}`").alias(f"cnt_{w}") for w in names])
+
+
+def by_window(counts: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Long form (keys, win, cnt); windows without rows drop out."""
+    entries = F.array(*[F.struct(F.lit(w).alias("win"), F.col(f"`cnt_{w}`").alias("cnt")) for w in names])
+    return (counts.select(*keys, F.explode(entries).alias("_e"))
+            .select(*keys, "_e.win", "_e.cnt").filter(F.col("cnt") > 0))
+
+
+def _window_lists(targets: DataFrame, popular: DataFrame) -> DataFrame:
+    """(customer_id, win, article_id, rank): the short global list of every window for every target."""
+    entries = popular.agg(F.collect_list(F.struct("win", "_list"))).scalar()
+    everyone = (targets.withColumn("_w", F.explode(entries))
+                .select("customer_id", F.col("_w.win").alias("win"), F.explode("_w._list").alias("_e")))
+    return everyone.select("customer_id", "win", F.col("_e.article_id").alias("article_id"), F.col("_e.rank").alias("rank"))
+
+
+def _own_and_popular(history: DataFrame, targets: DataFrame, n: int,
+                     conditions: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Own and global best sellers in every window, from one aggregation over the facts."""
+    names = list(conditions)
+    targets = targets.select("customer_id").distinct()
+    counts = windowed_counts(history, PAIR, conditions)
+    own = by_window(counts.join(targets, "customer_id", "left_semi"), PAIR, names)
+    own = top_n(own, ["customer_id", "win"], [F.desc("cnt"), F.asc("article_id")], n)
+    totals = by_window(sum_windows(counts, ["article_id"], names), ["article_id"], names)
+    popular = _window_lists(targets, _top_lists(totals, ["win"], n))
+    return own.select(*PAIR, "win", "rank"), popular.select(*PAIR, "win", "rank")
+
+
 def frequent_and_popular(history: DataFrame, targets: DataFrame, n: int = 12,
                          windows: Sequence[str] = ("all", "1w", "1m", "1y")) -> DataFrame:
     """Own and global best sellers per window, tagged 0, 1, 2, … in window order.
@@ -174,28 +213,18 @@ def frequent_and_popular(history: DataFrame, targets: DataFrame, n: int = 12,
     A subset of windows or another common ``n`` gives the smaller variants.
     """
     end = last_day(history)
-    parts = []
-    for i, w in enumerate(windows):
-        rows = trailing(history, w, end)
-        own = customer_frequent(rows, n).join(targets.select("customer_id"), "customer_id", "left_semi")
-        parts += [tag(own, 2 * i), tag(for_every_target(targets, popular_article(rows, n)), 2 * i + 1)]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    own, popular = _own_and_popular(history, targets, n, {w: in_window(end, w) for w in windows})
+    place = F.array_position(F.array(*[F.lit(w) for w in windows]), F.col("win")).cast("int") - 1
+    tagged = lambda frame, offset: frame.select(
+        *PAIR, (place * 2 + offset).alias(STRATEGY), (F.col("rank") - 1).cast("int").alias(RANK))
+    return tagged(own, 0).unionByName(tagged(popular, 1))
 
 
-def slice_grid(history: DataFrame, targets: DataFrame, n: int = 12) -> DataFrame:
-    """Own and global best sellers over the full grid of start × length windows, distinct pairs.
-
-    "all" as a start ignores the length and repeats itself; it is computed once.
-    """
-    grid = [("all", None)] + [(s, l) for s in WINDOWS if s != "all" for l in WINDOWS]
-    parts = []
-    for start, length in grid:
-        parts.append(customer_frequent(history, n, start, length=length))
-        parts.append(for_every_target(targets, popular_article(history, n, start, length=length)))
-    return untagged_union(parts, targets)
+def sliced_candidates(history: DataFrame, targets: DataFrame, n: int = 12) -> DataFrame:
+    """Own and global best sellers over the grid of start × length slices, distinct pairs."""
+    end = last_day(history)
+    conditions = {name: in_slice(end, s, l) for name, (s, l) in slice_grid().items()}
+    return untagged_union(_own_and_popular(history, targets, n, conditions))
 
 
 def add_actuals(candidates: DataFrame, actual: DataFrame) -> DataFrame:
@@ -263,29 +292,13 @@ def _max_n(family: str, ns: Mapping[str, int]) -> int:
     return max(ns[f"{family}_{key}"] for key in WINDOW_KEYS)
 
 
-def pair_counts(history: DataFrame, end: Column | None = None) -> DataFrame:
+def pair_counts(history: DataFrame) -> DataFrame:
     """Purchases per customer and article in each window: cnt_a, cnt_w, cnt_m, cnt_y.
 
     The one aggregation over facts; every strategy is derived from it.
     """
-    end = last_day(history) if end is None else end
-    sums = [F.count(F.lit(1)).alias("cnt_a")]
-    for key, window in WINDOW_KEYS.items():
-        if window != "all":
-            inside = F.col("t_dat") >= window_start(end, window)
-            sums.append(F.sum(F.when(inside, 1).otherwise(0)).alias(f"cnt_{key}"))
-    return _known(history, *PAIR).groupBy(*PAIR).agg(*sums)
-
-
-def _by_window(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long form (keys, win, cnt) of the four window counts; windows without purchases drop out."""
-    entries = F.array(*[F.struct(F.lit(k).alias("win"), F.col(f"cnt_{k}").alias("cnt")) for k in WINDOW_KEYS])
-    return (counts.select(*keys, F.explode(entries).alias("_e"))
-            .select(*keys, "_e.win", "_e.cnt").filter(F.col("cnt") > 0))
-
-
-def _sum_windows(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*keys).agg(*[F.sum(f"cnt_{k}").alias(f"cnt_{k}") for k in WINDOW_KEYS])
+    end = last_day(history)
+    return windowed_counts(history, PAIR, {k: in_window(end, w) for k, w in WINDOW_KEYS.items()})
 
 
 def recommend(targets: DataFrame, history: DataFrame, customers: DataFrame, articles: DataFrame,
@@ -301,49 +314,51 @@ def recommend(targets: DataFrame, history: DataFrame, customers: DataFrame, arti
     """
     ns = dict(DEFAULT_NS, **(ns or {}))
     targets = targets.select("customer_id").distinct()
-    counts = pair_counts(history)
+    counts, names = pair_counts(history), list(WINDOW_KEYS)
     parts = []
 
     def out(frame: DataFrame, family: str) -> None:
         parts.append(frame.filter(F.col("rank") <= _limit(family, ns))
                      .select(*PAIR, _number(family).alias(STRATEGY), (F.col("rank") - 1).cast("int").alias(RANK)))
 
-    def lists(long: DataFrame, keys: Sequence[str], family: str) -> DataFrame:
-        return _top_lists(long, keys, _max_n(family, ns))
+    def total(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return sum_windows(frame, keys, names)
+
+    def long(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return by_window(frame, keys, names)
+
+    def lists(rows: DataFrame, keys: Sequence[str], family: str) -> DataFrame:
+        return _top_lists(rows, keys, _max_n(family, ns))
 
     def unfold(spread: DataFrame) -> DataFrame:
         return spread.select("customer_id", "win", F.col("_e.article_id").alias("article_id"),
                              F.col("_e.rank").alias("rank"))
 
     # own purchases
-    own = _by_window(counts.join(targets, "customer_id", "left_semi"), PAIR)
+    own = long(counts.join(targets, "customer_id", "left_semi"), PAIR)
     out(top_n(own, ["customer_id", "win"], [F.desc("cnt"), F.asc("article_id")], _max_n("cf", ns)), "cf")
 
     # customer segment
     typed = salted_join(counts, customers.select("customer_id", "customer_type"), ["customer_id"], ["article_id"])
-    segment_counts = _sum_windows(typed.filter(F.col("customer_type").isNotNull()), ["customer_type", "article_id"])
-    segment_lists = lists(_by_window(segment_counts, ["customer_type", "article_id"]), ["customer_type", "win"], "ctf")
-    active = _by_window(_sum_windows(counts.join(targets, "customer_id", "left_semi"), ["customer_id"]), ["customer_id"])
+    segment_counts = total(typed.filter(F.col("customer_type").isNotNull()), ["customer_type", "article_id"])
+    segment_lists = lists(long(segment_counts, ["customer_type", "article_id"]), ["customer_type", "win"], "ctf")
+    active = long(total(counts.join(targets, "customer_id", "left_semi"), ["customer_id"]), ["customer_id"])
     members = active.drop("cnt").join(customers.select("customer_id", "customer_type"), "customer_id")
     out(unfold(_spread_lists(members, segment_lists, ["customer_type", "win"])), "ctf")
 
     # favourite attribute values
-    article_counts = _sum_windows(counts, ["article_id"])
+    article_counts = total(counts, ["article_id"])
     for family, column in (("atfd", "department_name"), ("atfp", "perceived_colour_master_name")):
         values = articles.select("article_id", column).filter(F.col(column).isNotNull())
-        value_lists = lists(_by_window(article_counts.join(values, "article_id"), [column, "article_id"]), [column, "win"], family)
+        value_lists = lists(long(article_counts.join(values, "article_id"), [column, "article_id"]), [column, "win"], family)
         mine = salted_join(counts.join(targets, "customer_id", "left_semi"), values,
                            ["article_id"], ["customer_id"], how="inner")
-        tastes = _by_window(_sum_windows(mine, ["customer_id", column]), ["customer_id", column])
+        tastes = long(total(mine, ["customer_id", column]), ["customer_id", column])
         favourite = best_row(tastes, ["customer_id", "win"], [-F.col("cnt"), F.col(column)], [column])
         out(unfold(_spread_lists(favourite, value_lists, [column, "win"])), family)
 
     # global best sellers and forecast newcomers: short lists for every target
-    popular = lists(_by_window(article_counts, ["article_id"]), ["win"], "pa")
-    entries = popular.agg(F.collect_list(F.struct("win", "_list"))).scalar()
-    everyone = (targets.withColumn("_w", F.explode(entries))
-                .select("customer_id", F.col("_w.win").alias("win"), F.explode("_w._list").alias("_e")))
-    out(unfold(everyone), "pa")
+    out(_window_lists(targets, lists(long(article_counts, ["article_id"]), ["win"], "pa")), "pa")
     newest = popular_new_article(forecast, n_new)
     parts.append(tag(for_every_target(targets, newest), NEW_ARTICLE_STRATEGY))
 

@@ -105,10 +105,10 @@ def fit_seeds(train: DataFrame, valid: DataFrame | None, features: Sequence[str]
     return [fit_buy_model(train, valid, features, seed, **params) for seed in range(n_seed)]
 
 
-def fit_bags(bagged: DataFrame, valid: DataFrame | None, features: Sequence[str], **params) -> list[PipelineModel]:
+def fit_bags(bagged: DataFrame, valid: DataFrame | None, features: Sequence[str], seeds: Sequence[int],
+             **params) -> list[PipelineModel]:
     """One model per bag of an under-sampled training frame with a ``seed`` column."""
     bagged = cut(bagged)
-    seeds = sorted(r.seed for r in bagged.select("seed").distinct().collect())
     return [fit_buy_model(bagged.filter(F.col("seed") == s).drop("seed"), valid, features, s, **params) for s in seeds]
 
 

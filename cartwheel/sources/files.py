@@ -38,16 +38,16 @@ def write_stage(frame: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     return frame.sparkSession.read.parquet(path)
 
 
-def write_facts(transactions: DataFrame, path: str) -> DataFrame:
+def write_facts(transactions: DataFrame, path: str, files_per_month: int | None = None) -> DataFrame:
     """Facts partitioned by month, so that date filters prune whole folders.
 
-    Rows are spread over (month, hash of customer) before the write: one month
-    is written by many tasks even if it holds most of the rows.
+    Rows are spread over (month, hash of the pair) before the write: one month
+    goes to ``files_per_month`` tasks, also if it holds most of the rows.
     """
     spark = transactions.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frame = (transactions.withColumn("month", F.date_format("t_dat", "yyyy-MM"))
-             .repartition(parts, "month", F.pmod(F.xxhash64("customer_id", "article_id"), F.lit(parts))))
+    parts = files_per_month or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64("customer_id", "article_id"), F.lit(parts))
+    frame = transactions.withColumn("month", F.date_format("t_dat", "yyyy-MM")).repartition("month", spread)
     frame.write.mode("overwrite").partitionBy("month").parquet(path)
     return spark.read.parquet(path)
 
