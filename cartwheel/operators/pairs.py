@@ -23,7 +23,7 @@ from cartwheel.functions.dates import trailing
 from cartwheel.functions.joins import salted_join
 
 BIG_BASKET = 1000
-BLOCK_ITEMS = 2048
+BLOCK_ITEMS = 1024
 
 
 def bought_same_day(history: DataFrame, big_basket: int = BIG_BASKET,

@@ -80,7 +80,7 @@ add("bought_same_day_big_baskets", lambda v: B.bought_same_day(v.history(), big_
     sql(Q.SAME_DAY.format(rel="hist"), "hist"))
 add("bought_by_same_customer", lambda v: B.bought_by_same_customer(v.history(), "1w"),
     sql(Q.SAME_CUSTOMER.format(rel="hist", where=since("1w", "hist")), "hist"))
-add("bought_by_same_customer_ever", lambda v: B.bought_by_same_customer(v.history(), "all", big_basket=40),
+add("bought_by_same_customer_ever", lambda v: B.bought_by_same_customer(v.history(), "all"),
     sql(Q.SAME_CUSTOMER.format(rel="hist", where="TRUE"), "hist"))
 
 add("popular_for_targets", lambda v: C.for_every_target(v.target(), C.popular_article(v.history(), 12, "1w")),
