@@ -16,9 +16,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 WINDOWS = {"all": None, "1w": ("days", 7), "1m": ("months", 1), "1y": ("months", 12)}
 
 
-def last_day(frame: DataFrame, date_col: str = "t_dat") -> Column:
-    """The latest date of ``frame`` as a scalar subquery (one row, run once)."""
-    return frame.agg(F.max(date_col)).scalar()
+def last_day(frame: DataFrame, end: Column | str | None = None) -> Column:
+    """The given day, or the latest day of ``frame`` as a scalar subquery (one row, run once)."""
+    if end is None:
+        return frame.agg(F.max("t_dat")).scalar()
+    return F.lit(end).cast("date") if isinstance(end, str) else end
+
+
+def with_last_day(frame: DataFrame, end: Column | str | None = None, name: str = "_end") -> DataFrame:
+    """Attach the last day as a column, so that a plan holds the subquery once."""
+    return frame.withColumn(name, last_day(frame, end))
+
+
+def last_day_value(frame: DataFrame) -> str:
+    """The latest day as text. One small job; flows that use the day many times pass it on
+    as a literal, which reaches the scans as a pushed filter."""
+    return str(frame.agg(F.max("t_dat")).first()[0])
 
 
 def _move(day: Column, window: str, sign: int) -> Column:
@@ -50,18 +63,19 @@ def in_slice(end: Column, start: str, length: str) -> Column:
     return (F.col("t_dat") >= begin) & (F.col("t_dat") <= _move(begin, length, 1))
 
 
-def trailing(history: DataFrame, window: str = "all", end: Column | None = None) -> DataFrame:
+def trailing(history: DataFrame, window: str = "all", end: Column | str | None = None) -> DataFrame:
     """Rows of the trailing window that ends at the latest day of ``history``."""
     if WINDOWS[window] is None:
         return history
-    return history.filter(in_window(last_day(history) if end is None else end, window))
+    return history.filter(in_window(last_day(history, end), window))
 
 
-def window_slice(history: DataFrame, start: str, length: str, end: Column | None = None) -> DataFrame:
+def window_slice(history: DataFrame, start: str, length: str, end: Column | str | None = None) -> DataFrame:
     """Rows of a bounded slice before the latest day of ``history``."""
     if WINDOWS[start] is None:
         return history
-    return history.filter(in_slice(last_day(history) if end is None else end, start, length))
+    rows = with_last_day(history, end)
+    return rows.filter(in_slice(F.col("_end"), start, length)).drop("_end")
 
 
 def slice_grid(windows: Sequence[str] = tuple(WINDOWS)) -> dict[str, tuple[str, str]]:

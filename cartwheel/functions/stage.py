@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Materialise ``frame`` in the checkpoint folder, so a lost executor costs a re-read."""
-    checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write ``frame`` as a parquet table in the shared folder and go on from the files.
+
+    Later steps read it instead of computing it again, a lost executor costs a
+    re-read, and Spark knows its size, which decides about broadcasts.
+    """
+    spark = frame.sparkSession
+    path = f"{checkpoint_folder(spark)}/cartwheel/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

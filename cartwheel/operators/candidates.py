@@ -11,9 +11,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cartwheel.functions.dates import in_slice, in_window, last_day, slice_grid, trailing, window_slice
+from cartwheel.functions.dates import in_slice, in_window, slice_grid, trailing, window_slice, with_last_day
 from cartwheel.functions.joins import salted_join
 from cartwheel.functions.ranks import best_row, hash_rank, ordered_list, top_n
+from cartwheel.functions.stage import cut
+from cartwheel.operators.prepare import members
 
 RANK = "1st_stage_rank"
 STRATEGY = "1st_stage_strategy"
@@ -195,36 +197,40 @@ def _window_lists(targets: DataFrame, popular: DataFrame) -> DataFrame:
 
 def _own_and_popular(history: DataFrame, targets: DataFrame, n: int,
                      conditions: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Own and global best sellers in every window, from one aggregation over the facts."""
+    """Own and global best sellers in every window.
+
+    Two passes over the facts, both with little to shuffle: the pairs of the
+    target customers, and the article totals, which map tasks combine.
+    """
     names = list(conditions)
     targets = targets.select("customer_id").distinct()
-    counts = windowed_counts(history, PAIR, conditions)
-    own = by_window(counts.join(targets, "customer_id", "left_semi"), PAIR, names)
+    own = by_window(windowed_counts(members(history, targets, "customer_id"), PAIR, conditions), PAIR, names)
     own = top_n(own, ["customer_id", "win"], [F.desc("cnt"), F.asc("article_id")], n)
-    totals = by_window(sum_windows(counts, ["article_id"], names), ["article_id"], names)
+    totals = by_window(windowed_counts(history, ["article_id"], conditions), ["article_id"], names)
     popular = _window_lists(targets, _top_lists(totals, ["win"], n))
     return own.select(*PAIR, "win", "rank"), popular.select(*PAIR, "win", "rank")
 
 
 def frequent_and_popular(history: DataFrame, targets: DataFrame, n: int = 12,
-                         windows: Sequence[str] = ("all", "1w", "1m", "1y")) -> DataFrame:
+                         windows: Sequence[str] = ("all", "1w", "1m", "1y"),
+                         end: Column | str | None = None) -> DataFrame:
     """Own and global best sellers per window, tagged 0, 1, 2, … in window order.
 
     A subset of windows or another common ``n`` gives the smaller variants.
     """
-    end = last_day(history)
-    own, popular = _own_and_popular(history, targets, n, {w: in_window(end, w) for w in windows})
+    conditions = {w: in_window(F.col("_end"), w) for w in windows}
+    own, popular = _own_and_popular(with_last_day(history, end), targets, n, conditions)
     place = F.array_position(F.array(*[F.lit(w) for w in windows]), F.col("win")).cast("int") - 1
     tagged = lambda frame, offset: frame.select(
         *PAIR, (place * 2 + offset).alias(STRATEGY), (F.col("rank") - 1).cast("int").alias(RANK))
     return tagged(own, 0).unionByName(tagged(popular, 1))
 
 
-def sliced_candidates(history: DataFrame, targets: DataFrame, n: int = 12) -> DataFrame:
+def sliced_candidates(history: DataFrame, targets: DataFrame, n: int = 12,
+                      end: Column | str | None = None) -> DataFrame:
     """Own and global best sellers over the grid of start × length slices, distinct pairs."""
-    end = last_day(history)
-    conditions = {name: in_slice(end, s, l) for name, (s, l) in slice_grid().items()}
-    return untagged_union(_own_and_popular(history, targets, n, conditions))
+    conditions = {name: in_slice(F.col("_end"), s, l) for name, (s, l) in slice_grid().items()}
+    return untagged_union(_own_and_popular(with_last_day(history, end), targets, n, conditions))
 
 
 def add_actuals(candidates: DataFrame, actual: DataFrame) -> DataFrame:
@@ -292,29 +298,25 @@ def _max_n(family: str, ns: Mapping[str, int]) -> int:
     return max(ns[f"{family}_{key}"] for key in WINDOW_KEYS)
 
 
-def pair_counts(history: DataFrame) -> DataFrame:
-    """Purchases per customer and article in each window: cnt_a, cnt_w, cnt_m, cnt_y.
-
-    The one aggregation over facts; every strategy is derived from it.
-    """
-    end = last_day(history)
-    return windowed_counts(history, PAIR, {k: in_window(end, w) for k, w in WINDOW_KEYS.items()})
-
-
 def recommend(targets: DataFrame, history: DataFrame, customers: DataFrame, articles: DataFrame,
               forecast: DataFrame, ns: Mapping[str, int] | None = None, n_new: int = 48,
-              partners: DataFrame | None = None, distinct_partners: bool = False) -> DataFrame:
+              partners: DataFrame | None = None, distinct_partners: bool = False,
+              end: Column | str | None = None) -> DataFrame:
     """All 22 strategies for the target customers, tagged and ranked.
 
     ``customers`` holds customer_id and customer_type, ``articles`` article_id,
-    department_name and perceived_colour_master_name. Facts are read once and
-    reduced to window counts per (customer, article); segment, attribute and
-    global counts are sums of those. ``partners`` (article_id, partner_id) adds
-    the bought-together strategy.
+    department_name and perceived_colour_master_name. The facts are read three
+    times for all strategies and windows: window counts of the targets' pairs,
+    of articles, and of (segment, article); the first two are kept as tables.
+    ``partners`` (article_id, partner_id) adds the bought-together strategy.
     """
     ns = dict(DEFAULT_NS, **(ns or {}))
     targets = targets.select("customer_id").distinct()
-    counts, names = pair_counts(history), list(WINDOW_KEYS)
+    facts = with_last_day(_known(history, *PAIR).select(*PAIR, "t_dat"), end)
+    conditions = {k: in_window(F.col("_end"), w) for k, w in WINDOW_KEYS.items()}
+    names = list(conditions)
+    pairs = cut(windowed_counts(members(facts, targets, "customer_id"), PAIR, conditions))
+    article_counts = cut(windowed_counts(facts, ["article_id"], conditions))
     parts = []
 
     def out(frame: DataFrame, family: str) -> None:
@@ -335,24 +337,21 @@ def recommend(targets: DataFrame, history: DataFrame, customers: DataFrame, arti
                              F.col("_e.rank").alias("rank"))
 
     # own purchases
-    own = long(counts.join(targets, "customer_id", "left_semi"), PAIR)
-    out(top_n(own, ["customer_id", "win"], [F.desc("cnt"), F.asc("article_id")], _max_n("cf", ns)), "cf")
+    out(top_n(long(pairs, PAIR), ["customer_id", "win"], [F.desc("cnt"), F.asc("article_id")], _max_n("cf", ns)), "cf")
 
     # customer segment
-    typed = salted_join(counts, customers.select("customer_id", "customer_type"), ["customer_id"], ["article_id"])
-    segment_counts = total(typed.filter(F.col("customer_type").isNotNull()), ["customer_type", "article_id"])
+    types = customers.select("customer_id", "customer_type").filter(F.col("customer_type").isNotNull())
+    typed = salted_join(facts, types, ["customer_id"], ["article_id", "t_dat"], "inner")
+    segment_counts = windowed_counts(typed, ["customer_type", "article_id"], conditions)
     segment_lists = lists(long(segment_counts, ["customer_type", "article_id"]), ["customer_type", "win"], "ctf")
-    active = long(total(counts.join(targets, "customer_id", "left_semi"), ["customer_id"]), ["customer_id"])
-    members = active.drop("cnt").join(customers.select("customer_id", "customer_type"), "customer_id")
-    out(unfold(_spread_lists(members, segment_lists, ["customer_type", "win"])), "ctf")
+    active = long(total(pairs, ["customer_id"]), ["customer_id"]).drop("cnt").join(types, "customer_id")
+    out(unfold(_spread_lists(active, segment_lists, ["customer_type", "win"])), "ctf")
 
     # favourite attribute values
-    article_counts = total(counts, ["article_id"])
     for family, column in (("atfd", "department_name"), ("atfp", "perceived_colour_master_name")):
         values = articles.select("article_id", column).filter(F.col(column).isNotNull())
         value_lists = lists(long(article_counts.join(values, "article_id"), [column, "article_id"]), [column, "win"], family)
-        mine = salted_join(counts.join(targets, "customer_id", "left_semi"), values,
-                           ["article_id"], ["customer_id"], how="inner")
+        mine = salted_join(pairs, values, ["article_id"], ["customer_id"], how="inner")
         tastes = long(total(mine, ["customer_id", column]), ["customer_id", column])
         favourite = best_row(tastes, ["customer_id", "win"], [-F.col("cnt"), F.col(column)], [column])
         out(unfold(_spread_lists(favourite, value_lists, [column, "win"])), family)

@@ -11,8 +11,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cartwheel.functions.dates import last_day, week_bucket, window_start
+from cartwheel.functions.dates import last_day, week_bucket, window_start, with_last_day
 from cartwheel.functions.joins import salted_join
+from cartwheel.functions.stage import cut
+from cartwheel.operators.prepare import members
 from cartwheel.sources.schemas import ARTICLE_CATEGORIES, CUSTOMER_CATEGORIES
 
 PAIR = ["customer_id", "article_id"]
@@ -29,12 +31,22 @@ def _when(condition: Column | None, column: str) -> Column:
     return F.col(column) if condition is None else F.when(condition, F.col(column))
 
 
-def _bucket_ends(history: DataFrame, weeks: int) -> Column:
-    """Array with the last day found in each week bucket (null for an empty week)."""
-    end = last_day(history)
-    week = week_bucket(end)
-    recent = history.filter(F.col("t_dat") > F.date_add(end, -7 * weeks))
-    return recent.agg(F.array(*[F.max(F.when(week == i, F.col("t_dat"))) for i in range(weeks)])).scalar()
+def bucket_ends(history: DataFrame, weeks: int, end: Column | str | None = None) -> Column:
+    """Array with the last day found in each week bucket of the history (null for an empty week)."""
+    rows = with_last_day(history, end)
+    week = week_bucket(F.col("_end"))
+    return _recent(rows, weeks).agg(F.array(*[F.max(F.when(week == i, F.col("t_dat"))) for i in range(weeks)])).scalar()
+
+
+def _weekly_rows(history: DataFrame, weeks: int, end: Column | str | None, ends: Column | None = None) -> DataFrame:
+    """Rows with their week bucket, the last day overall and the last day of each bucket."""
+    ends = bucket_ends(history, weeks, end) if ends is None else ends
+    return (with_last_day(history, end).withColumn("_week", week_bucket(F.col("_end")))
+            .withColumn("_ends", ends))
+
+
+def _recent(rows: DataFrame, weeks: int) -> DataFrame:
+    return rows.filter(F.col("t_dat") > F.date_add("_end", -7 * weeks))
 
 
 # ---- article side ---------------------------------------------------------------------
@@ -47,6 +59,7 @@ def article_attributes(articles: DataFrame, columns: Sequence[str] | None = None
 def _article_stats(condition: Column | None, end: Column, prefix: str, suffix: str) -> list[Column]:
     day, price, age = (_when(condition, c) for c in ("t_dat", "price", "age"))
     name = lambda text: f"{prefix}{text}{suffix}"
+    end = F.max(end)
     return [
         F.nullif(F.count(day), F.lit(0)).alias(name("article_total_cnt")),
         F.datediff(end, F.max(day)).alias(name("article_total_latest_buy")),
@@ -58,40 +71,51 @@ def _article_stats(condition: Column | None, end: Column, prefix: str, suffix: s
     ]
 
 
-def article_lifetime(history: DataFrame) -> DataFrame:
-    """Sales count, recency, price range and buyer ages over the whole history."""
-    return (history.filter(F.col("article_id").isNotNull()).groupBy("article_id")
-            .agg(*_article_stats(None, last_day(history), "", "")))
+def _weekly_article_stats(weeks: int) -> list[Column]:
+    return [stat for i in range(weeks)
+            for stat in _article_stats(F.col("_week") == i, F.col("_ends")[i], "", _week_suffix(i))]
 
 
-def article_weekly(history: DataFrame, weeks: int = 2) -> DataFrame:
-    """The same per week bucket, with the median buyer age.
+def _age_medians(rows: DataFrame, weeks: int) -> DataFrame:
+    """Median buyer age per article and week.
 
     Ages are counted per (article, week, age) first: the median then reads at
     most one row per distinct age, however many sales an article has.
     """
-    ends = _bucket_ends(history, weeks)
-    end = last_day(history)
-    recent = (history.filter((F.col("t_dat") > F.date_add(end, -7 * weeks)) & F.col("article_id").isNotNull())
-              .withColumn("week", week_bucket(end)))
-    stats, medians = [], []
-    for i in range(weeks):
-        inside = F.col("week") == i
-        stats += _article_stats(inside, ends[i], "", _week_suffix(i))
-        medians.append(F.percentile(F.when(inside, F.col("age")), F.lit(0.5), F.col("c"))
-                       .alias(f"article_age_median{_week_suffix(i)}"))
-    ages = recent.groupBy("article_id", "week", "age").agg(F.count(F.lit(1)).alias("c"))
-    return (recent.groupBy("article_id").agg(*stats)
-            .join(ages.groupBy("article_id").agg(*medians), "article_id"))
-
-
-def article_by_channel(history: DataFrame) -> DataFrame:
+    ages = _recent(rows, weeks).groupBy("article_id", "_week", "age").agg(F.count(F.lit(1)).alias("c"))
+    return ages.groupBy("article_id").agg(*[
+        F.percentile(F.when(F.col("_week") == i, F.col("age")), F.lit(0.5), F.col("c"))
+        .alias(f"article_age_median{_week_suffix(i)}") for i in range(weeks)])
+
+
+def article_lifetime(history: DataFrame, end: Column | str | None = None) -> DataFrame:
+    """Sales count, recency, price range and buyer ages over the whole history."""
+    rows = with_last_day(history.filter(F.col("article_id").isNotNull()), end)
+    return rows.groupBy("article_id").agg(*_article_stats(None, F.col("_end"), "", ""))
+
+
+def article_weekly(history: DataFrame, weeks: int = 2, end: Column | str | None = None) -> DataFrame:
+    """The same per week bucket, with the median buyer age."""
+    rows = _weekly_rows(history.filter(F.col("article_id").isNotNull()), weeks, end)
+    stats = _recent(rows, weeks).groupBy("article_id").agg(*_weekly_article_stats(weeks))
+    return stats.join(_age_medians(rows, weeks), "article_id")
+
+
+def article_statistics(history: DataFrame, weeks: int = 2, end: Column | str | None = None,
+                       ends: Column | None = None) -> DataFrame:
+    """Lifetime and weekly statistics from one aggregation over the facts."""
+    rows = _weekly_rows(history.filter(F.col("article_id").isNotNull()), weeks, end, ends)
+    stats = rows.groupBy("article_id").agg(*_article_stats(None, F.col("_end"), "", ""), *_weekly_article_stats(weeks))
+    return stats.join(_age_medians(rows, weeks), "article_id", "left")
+
+
+def article_by_channel(history: DataFrame, end: Column | str | None = None) -> DataFrame:
     """Lifetime statistics of online (2) and shop (1) sales side by side."""
-    end = last_day(history)
     stats = []
     for prefix, channel in (("online_", 2), ("shop_", 1)):
-        stats += _article_stats(F.col("sales_channel_id") == channel, end, prefix, "")
-    return (history.filter(F.col("article_id").isNotNull() & F.col("sales_channel_id").isin(1, 2))
+        stats += _article_stats(F.col("sales_channel_id") == channel, F.col("_end"), prefix, "")
+    return (with_last_day(history, end)
+            .filter(F.col("article_id").isNotNull() & F.col("sales_channel_id").isin(1, 2))
             .groupBy("article_id").agg(*stats))
 
 
@@ -104,6 +128,7 @@ def customer_attributes(customers: DataFrame) -> DataFrame:
 def _customer_stats(condition: Column | None, end: Column, suffix: str, groups: Sequence[str],
                     channels: bool) -> list[Column]:
     day, price = _when(condition, "t_dat"), _when(condition, "price")
+    end = F.max(end)
     stats = [
         F.nullif(F.count(day), F.lit(0)).alias(f"customer_total_cnt{suffix}"),
         F.datediff(end, F.max(day)).alias(f"customer_total_latest_buy{suffix}"),
@@ -111,7 +136,11 @@ def _customer_stats(condition: Column | None, end: Column, suffix: str, groups:
         F.max(price).alias(f"customer_price_max{suffix}"), F.min(price).alias(f"customer_price_min{suffix}"),
         F.avg(price).alias(f"customer_price_mean{suffix}"),
     ]
-    share = lambda test: F.avg(_when(condition, "_one") * F.when(test, 1).otherwise(0))
+
+    def share(test: Column) -> Column:
+        flag = F.when(test, 1).otherwise(0)
+        return F.avg(flag if condition is None else F.when(condition, flag))
+
     stats += [share(F.col("index_group_name") == g).alias(f"{g}{suffix}") for g in groups]
     if channels:
         stats += [share(F.col("sales_channel_id") == 1).alias(f"shop{suffix}"),
@@ -119,34 +148,51 @@ def _customer_stats(condition: Column | None, end: Column, suffix: str, groups:
     return stats
 
 
-def customer_lifetime(history: DataFrame, groups: Sequence[str] = INDEX_GROUPS,
-                      channels: bool = False) -> DataFrame:
+def _weekly_customer_stats(weeks: int, groups: Sequence[str]) -> list[Column]:
+    return [stat for i in range(weeks)
+            for stat in _customer_stats(F.col("_week") == i, F.col("_ends")[i], _week_suffix(i), groups, False)]
+
+
+def customer_lifetime(history: DataFrame, groups: Sequence[str] = INDEX_GROUPS, channels: bool = False,
+                      end: Column | str | None = None) -> DataFrame:
     """Purchase count, recency, prices and shares by index group (and by sales channel)."""
-    rows = history.filter(F.col("customer_id").isNotNull()).withColumn("_one", F.lit(1))
-    return rows.groupBy("customer_id").agg(*_customer_stats(None, last_day(history), "", groups, channels))
+    rows = with_last_day(history.filter(F.col("customer_id").isNotNull()), end)
+    return rows.groupBy("customer_id").agg(*_customer_stats(None, F.col("_end"), "", groups, channels))
 
 
-def customer_weekly(history: DataFrame, weeks: int = 2, groups: Sequence[str] = INDEX_GROUPS) -> DataFrame:
+def customer_weekly(history: DataFrame, weeks: int = 2, groups: Sequence[str] = INDEX_GROUPS,
+                    end: Column | str | None = None) -> DataFrame:
     """The same per week bucket."""
-    ends = _bucket_ends(history, weeks)
-    end = last_day(history)
-    recent = (history.filter((F.col("t_dat") > F.date_add(end, -7 * weeks)) & F.col("customer_id").isNotNull())
-              .withColumn("week", week_bucket(end)).withColumn("_one", F.lit(1)))
-    stats = []
-    for i in range(weeks):
-        stats += _customer_stats(F.col("week") == i, ends[i], _week_suffix(i), groups, False)
-    return recent.groupBy("customer_id").agg(*stats)
+    rows = _weekly_rows(history.filter(F.col("customer_id").isNotNull()), weeks, end)
+    return _recent(rows, weeks).groupBy("customer_id").agg(*_weekly_customer_stats(weeks, groups))
+
+
+def customer_statistics(history: DataFrame, weeks: int = 2, groups: Sequence[str] = INDEX_GROUPS,
+                        end: Column | str | None = None, ends: Column | None = None) -> DataFrame:
+    """Lifetime and weekly statistics from one aggregation over the facts.
+
+    ``end`` and ``ends`` belong to the whole history; give them when
+    ``history`` holds only some customers.
+    """
+    rows = _weekly_rows(history.filter(F.col("customer_id").isNotNull()), weeks, end, ends)
+    return rows.groupBy("customer_id").agg(*_customer_stats(None, F.col("_end"), "", groups, False),
+                                           *_weekly_customer_stats(weeks, groups))
 
 
 # ---- customer × article ---------------------------------------------------------------
 
-def pair_history(pairs: DataFrame, history: DataFrame) -> DataFrame:
+def pair_totals(history: DataFrame) -> DataFrame:
+    """Purchases, first and last day of every pair: the grain of pair features and rates."""
+    return (history.filter(F.col("customer_id").isNotNull() & F.col("article_id").isNotNull())
+            .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("count"), F.min("t_dat").alias("_first"),
+                                F.max("t_dat").alias("_last")))
+
+
+def pair_history(pairs: DataFrame, history: DataFrame, end: Column | str | None = None) -> DataFrame:
     """Count and first / last purchase (days ago) of candidate pairs; each pair once."""
-    stats = history.groupBy(*PAIR).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.datediff(last_day(history), F.min("t_dat")).alias("1st_buy_date_diff"),
-        F.datediff(last_day(history), F.max("t_dat")).alias("latest_buy_date_diff"))
-    return stats.join(pairs.select(*PAIR), PAIR, "left_semi")
+    bought = pair_totals(history).join(pairs.select(*PAIR), PAIR, "left_semi").withColumn("_end", last_day(history, end))
+    return bought.select(*PAIR, "count", F.datediff("_end", "_first").alias("1st_buy_date_diff"),
+                         F.datediff("_end", "_last").alias("latest_buy_date_diff"))
 
 
 def pair_trailing_counts(pairs: DataFrame, history: DataFrame) -> DataFrame:
@@ -156,17 +202,16 @@ def pair_trailing_counts(pairs: DataFrame, history: DataFrame) -> DataFrame:
     """
     bought = (history.groupBy(*PAIR, "t_dat").agg(F.count(F.lit(1)).alias("m"))
               .join(pairs.select(*PAIR), PAIR, "left_semi"))
-    end = last_day(bought)
-    counts = [F.sum(F.when(F.col("t_dat") >= window_start(end, w), F.col("m"))).alias(name)
+    counts = [F.sum(F.when(F.col("t_dat") >= window_start(F.col("_end"), w), F.col("m"))).alias(name)
               for w, name in (("1w", "l1w_cnt"), ("1m", "l1m_cnt"), ("1y", "l1y_cnt"))]
-    return bought.groupBy(*PAIR).agg(*counts)
+    return with_last_day(bought).groupBy(*PAIR).agg(*counts)
 
 
-def _rate_long(history: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """(key, attribute, value, rate): share of the key's rows with the value, null values apart."""
+def _rate_long(rows: DataFrame, key: str, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(key, attribute, value, rate): share of the key's purchases with the value, null values apart."""
     entries = F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value"))
                         for c in columns])
-    counts = (history.filter(F.col(key).isNotNull()).groupBy(key, *columns).agg(F.count(F.lit(1)).alias("m"))
+    counts = (rows.filter(F.col(key).isNotNull()).groupBy(key, *columns).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("m"))
               .select(key, "m", F.explode(entries).alias("e"))
               .select(key, "m", "e.attribute", "e.value").filter(F.col("value").isNotNull())
               .groupBy(key, "attribute", "value").agg(F.sum("m").alias("c")))
@@ -185,13 +230,13 @@ def same_customer_type_rates(history: DataFrame, columns: Sequence[str]) -> Data
     return _rate_long(history, "article_id", columns)
 
 
-def _rate_maps(history: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+def _rate_maps(rows: DataFrame, key: str, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """One row per key with a value -> rate map per attribute.
 
     A map is as long as the category has values, so all attributes reach the
     candidates in one join instead of one join each.
     """
-    long = _rate_long(history, key, columns)
+    long = _rate_long(rows, key, columns, weight)
     return long.groupBy(key).agg(*[
         F.map_from_entries(F.collect_list(F.when(F.col("attribute") == c, F.struct("value", "rate"))))
         .alias(f"_rate_{c}") for c in columns])
@@ -268,29 +313,41 @@ def first_week_sales(history: DataFrame, first_after: str, days: int = 7) -> Dat
 
 # ---- assembly -------------------------------------------------------------------------
 
-def add_features(candidates: DataFrame, history: DataFrame, articles: DataFrame, customers: DataFrame,
+def add_features(candidates: DataFrame, transactions: DataFrame, articles: DataFrame, customers: DataFrame,
                  forecast: DataFrame, text_vectors: DataFrame | None = None, weeks: int = 2,
-                 groups: Sequence[str] = INDEX_GROUPS, categories: Sequence[str] | None = None) -> DataFrame:
+                 groups: Sequence[str] = INDEX_GROUPS, categories: Sequence[str] | None = None,
+                 end: Column | str | None = None) -> DataFrame:
     """Join all features onto candidates.
 
-    ``history`` carries the customer and article columns. Everything known
-    about an article is joined into one table first, likewise for a customer:
-    the candidates, by far the widest and longest frame, meet three keys once
-    each. Popular articles are candidates of every customer, hence the salt on
-    the article key.
+    ``transactions`` are the plain facts of the history; each aggregate joins
+    only the customer or article columns it reads. Customer and pair features
+    are computed for candidate customers only, and one table of pair totals
+    serves both pair features and attribute rates. Everything known about an article
+    is put into one table first, likewise for a customer: the candidates, by
+    far the longest frame, meet three keys once each. Popular articles are
+    candidates of every customer, hence the salt on the article key.
     """
     categories = [c for c in (categories or ARTICLE_CATEGORIES) if c in articles.columns]
+    end = last_day(transactions, end)
+    ends = bucket_ends(transactions, weeks, end)
+    mine = members(transactions, candidates, "customer_id")
+    aged = salted_join(transactions, customers.select("customer_id", "age"), ["customer_id"], ["article_id", "t_dat"])
+    grouped = salted_join(mine, articles.select("article_id", "index_group_name"), ["article_id"], ["customer_id", "t_dat"])
+    totals = cut(pair_totals(mine))
+    kinds = salted_join(totals.select(*PAIR, "count"), articles.select("article_id", *categories), ["article_id"], ["customer_id"])
+
     by_article = (article_attributes(articles, categories)
-                  .join(article_lifetime(history), "article_id", "left")
-                  .join(article_weekly(history, weeks), "article_id", "left")
+                  .join(article_statistics(aged, weeks, end, ends), "article_id", "left")
                   .join(new_article_features(forecast), "article_id", "left"))
     if text_vectors is not None:
         by_article = by_article.join(text_vectors, "article_id", "left")
     by_customer = (customer_attributes(customers)
-                   .join(customer_lifetime(history, groups), "customer_id", "left")
-                   .join(customer_weekly(history, weeks, groups), "customer_id", "left")
-                   .join(_rate_maps(history, "customer_id", categories), "customer_id", "left"))
-    wide = candidates.join(pair_history(candidates, history), PAIR, "left")
+                   .join(customer_statistics(grouped, weeks, groups, end, ends), "customer_id", "left")
+                   .join(_rate_maps(kinds, "customer_id", categories, "count"), "customer_id", "left"))
+    bought = totals.withColumn("_end", end).select(
+        *PAIR, "count", F.datediff("_end", "_first").alias("1st_buy_date_diff"),
+        F.datediff("_end", "_last").alias("latest_buy_date_diff"))
+    wide = candidates.join(bought, PAIR, "left")
     wide = salted_join(wide, by_article, ["article_id"], ["customer_id"])
     wide = wide.join(by_customer, "customer_id", "left")
     return _look_up(wide, categories, "_customer_buy_rate")

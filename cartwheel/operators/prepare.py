@@ -59,8 +59,10 @@ def label_encode(frame: DataFrame, columns: Sequence[str], codes: DataFrame | No
     for c in columns:
         side = codes.filter(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("code").alias("_code"))
-        frame = (frame.withColumn("_value", F.coalesce(F.col(c).cast("string"), F.lit("")))
-                 .join(side, "_value", "left").drop("_value", c).withColumnRenamed("_code", c))
+        valued = frame.withColumn("_value", F.coalesce(F.col(c).cast("string"), F.lit("")))
+        spread = [other for other in names if other != c]
+        frame = (salted_join(valued, side, ["_value"], spread).drop("_value", c)
+                 .withColumnRenamed("_code", c))
     return frame.select(*names)
 
 
@@ -109,7 +111,9 @@ def recent_facts(transactions: DataFrame, after: str) -> DataFrame:
 
 
 def members(frame: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return frame.join(ids.select(key), key, "left_semi")
+    """Rows whose key occurs in ``ids``; salted, since facts may sit on one key."""
+    spread = [c for c in frame.columns if c != key]
+    return salted_join(frame, ids.select(key).distinct(), [key], spread, "left_semi")
 
 
 def non_members(frame: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -7,12 +7,13 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
+from cartwheel.functions.dates import last_day_value
 from cartwheel.functions.stage import cut
 from cartwheel.operators import candidates as C, evaluate as E, features as X, labels as L, models as M, pairs as B, prepare as P
 
 
 class Tables(NamedTuple):
-    """Prepared inputs: customers carry ``customer_type``, history rows both dimensions' columns."""
+    """Prepared inputs: plain facts, customers with ``customer_type``, articles, forecast."""
     transactions: DataFrame
     customers: DataFrame
     articles: DataFrame
@@ -21,15 +22,14 @@ class Tables(NamedTuple):
 
 def prepare(transactions: DataFrame, customers: DataFrame, articles: DataFrame, forecast: DataFrame) -> Tables:
     customers = P.normalise_value(customers, "fashion_news_frequency", "None", "NONE")
-    customers = P.customer_segment(customers).drop("segment")
-    wide = P.denormalise(transactions, customers, articles)
-    return Tables(wide, customers, articles, forecast)
+    customers = cut(P.customer_segment(customers).drop("segment"))
+    return Tables(transactions, customers, articles, forecast)
 
 
 def candidates_for(tables: Tables, history: DataFrame, targets: DataFrame, forecast: DataFrame,
-                   ns: dict | None = None, with_partners: bool = True) -> DataFrame:
+                   ns: dict | None = None, with_partners: bool = True, end: str | None = None) -> DataFrame:
     partners = B.bought_same_day(history) if with_partners else None
-    return C.recommend(targets, history, tables.customers, tables.articles, forecast, ns, partners=partners)
+    return C.recommend(targets, history, tables.customers, tables.articles, forecast, ns, partners=partners, end=end)
 
 
 def labelled_frame(tables: Tables, history: DataFrame, target: DataFrame, ratio: float | None = None,
@@ -41,11 +41,12 @@ def labelled_frame(tables: Tables, history: DataFrame, target: DataFrame, ratio:
     features read them several times.
     """
     forecast = P.forecast_in_period(tables.forecast, target)
-    found = candidates_for(tables, history, target.select("customer_id"), forecast, ns)
+    end = last_day_value(history)
+    found = candidates_for(tables, history, target.select("customer_id"), forecast, ns, end=end)
     labelled = cut(L.add_labels(found, target))
     if ratio is not None:
         labelled = L.undersample(labelled, ["customer_id", "article_id", C.STRATEGY, C.RANK], ratio)
-    return X.add_features(labelled, history, tables.articles, tables.customers, forecast, text_vectors, groups=groups)
+    return X.add_features(labelled, history, tables.articles, tables.customers, forecast, text_vectors, groups=groups, end=end)
 
 
 def rolling_training(tables: Tables, splits: Sequence[P.Split], per_week_groups: bool = False, **options) -> DataFrame:
@@ -74,8 +75,10 @@ def recommend_all(tables: Tables, sample: DataFrame, models: list, features: Seq
                   text_vectors: DataFrame | None = None, groups: Sequence[str] = X.INDEX_GROUPS, n: int = 12) -> DataFrame:
     """Submission for every sample customer in one job."""
     forecast = P.forecast_from(tables.forecast, first_day)
-    found = cut(candidates_for(tables, tables.transactions, sample.select("customer_id"), forecast))
-    wide = X.add_features(found, tables.transactions, tables.articles, tables.customers, forecast, text_vectors, groups=groups)
+    end = last_day_value(tables.transactions)
+    found = cut(candidates_for(tables, tables.transactions, sample.select("customer_id"), forecast, end=end))
+    wide = X.add_features(found, tables.transactions, tables.articles, tables.customers, forecast, text_vectors,
+                          groups=groups, end=end)
     best = E.best_by_score(M.score_mean(models, wide, features), "pred", n)
     filled = C.fill_to(best.withColumn(C.RANK, F.col("rank") - 1), C.popular_article(tables.transactions, n), sample, n)
     return E.submission(sample, filled, n)

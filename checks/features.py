@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cartwheel.functions.stage import cut
 from cartwheel.operators import candidates as C, features as X, labels as L, prepare as P
 from checks import candidate_sql as Q
 from checks.views import CATEGORIES, FORECAST_AFTER, GROUPS, SEGMENT_COLUMNS, VALID_END, VALID_START, Views, q6, r6, sql
@@ -68,10 +69,7 @@ add("truth_pairs_all_history", lambda v: L.truth_pairs(v.transactions),
 
 def rounded(frame, *endings):
     """Averages and deviations to six decimals; counts, extremes and ratios of counts are exact."""
-    for c in frame.columns:
-        if any(e in c for e in endings):
-            frame = frame.withColumn(c, r6(f"`{c}`"))
-    return frame
+    return frame.withColumns({c: r6(f"`{c}`") for c in frame.columns if any(e in c for e in endings)})
 
 
 def aged(v):
@@ -229,13 +227,8 @@ add("first_week_sales", lambda v: X.first_week_sales(v.transactions, FORECAST_AF
 
 # ---- assembly -------------------------------------------------------------------------
 
-_ARTICLE, _CUSTOMER = ["age"], []
-
-
 def assembled(v):
-    customers = v.customers
-    wide = P.denormalise(v.history(), customers, v.articles)
-    frame = X.add_features(labelled(v), wide, v.articles, customers, v.forecast, weeks=2, groups=GROUPS, categories=CATEGORIES)
+    frame = X.add_features(cut(labelled(v)), v.history(), v.articles, v.customers, v.forecast, weeks=2, groups=GROUPS, categories=CATEGORIES)
     return rounded(frame, "price_mean", "age_mean", "age_std")
 
 

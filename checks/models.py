@@ -18,15 +18,13 @@ def add(name, fn):
     QUERIES[name] = lambda spark, folder: fn(Views(spark, folder))
 
 
-def frame(v, hist_end, target_end, ratio=None):
+def frame(v, hist_end, target_end, after=None):
     """Labelled candidates with customer, article and pair features."""
+    facts = P.recent_facts(v.transactions, after) if after else v.transactions
     split = P.Split(0, hist_end, target_end)
-    history, target = P.history_of(v.transactions, split), P.target_of(v.transactions, split)
-    wide = P.denormalise(history, v.customers, v.articles)
-    labelled = L.add_labels(C.frequent_and_popular(history, target), target)
-    if ratio:
-        labelled = L.undersample(labelled, ["customer_id", "article_id", C.STRATEGY, C.RANK], ratio)
-    return X.add_features(labelled, wide, v.articles, v.customers, v.forecast, groups=GROUPS, categories=CATEGORIES)
+    history, target = P.history_of(facts, split), P.target_of(facts, split)
+    labelled = cut(L.add_labels(C.frequent_and_popular(history, target), target))
+    return X.add_features(labelled, history, v.articles, v.customers, v.forecast, groups=GROUPS, categories=CATEGORIES)
 
 
 def train_frame(v):
@@ -57,16 +55,17 @@ def buy_model_map(v):
 
 def bagged_model_scores(v):
     train, valid, features = _two_frames(v)
-    bags = L.bagged_undersample(train, ["customer_id", "article_id", C.STRATEGY, C.RANK], 8.0, [0, 1])
+    bags = L.bagged_undersample(train, ["customer_id", "article_id", C.STRATEGY, C.RANK], 64.0, [0, 1])
     models = M.fit_bags(bags, None, features, [0, 1], **SMALL)
     return M.score_mean(models, valid, features)
 
 
 def warm_cold_scores(v):
-    """Candidates of customers with and without recent history go to separate models."""
-    train, valid, features = _two_frames(v)
-    models = M.fit_warm_cold(train, features, "customer_total_cnt_1weekago", **SMALL)
-    return M.score_warm_cold(models, valid, features, "customer_total_cnt_1weekago")
+    """Customers with and without purchases in the last quarter go to separate models."""
+    train = cut(frame(v, TRAIN_START, VALID_START, "2001-05-03"))
+    valid = cut(frame(v, VALID_START, "2001-08-02", "2001-05-03"))
+    features = P.feature_columns(train)
+    return M.score_warm_cold(M.fit_warm_cold(train, features, **SMALL), valid, features)
 
 
 def model_importance(v):
