@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cartwheel.functions.dates import trailing
 from cartwheel.functions.joins import salted_join
+from cartwheel.functions.stage import cut
 
 BIG_BASKET = 1000
 BLOCK_ITEMS = 1024
@@ -51,55 +52,62 @@ def bought_by_same_customer(history: DataFrame, window: str = "1w", big_basket:
 
 def best_partner(baskets: DataFrame, big_basket: int = BIG_BASKET,
                  block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(article_id, partner_id, cnt): highest score, ties to the smaller partner id."""
-    sizes = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-    big = baskets.join(sizes.filter(F.col("size") > big_basket), "basket").drop("size")
-    small = baskets.join(sizes.filter(F.col("size").between(2, big_basket)), "basket").drop("size")
+    """(article_id, partner_id, cnt): highest score, ties to the smaller partner id.
 
-    vectors = _basket_vectors(big, block_items)
-    small = salted_join(small, vectors.select("item", F.lit(True).alias("in_big")), ["item"], ["basket"])
-    side = lambda name, weight: small.select(
-        "basket", F.col("item").alias(name), F.col(weight), F.coalesce("in_big", F.lit(False)).alias(f"{name}_big"))
-    light = (side("a", "left_w").join(side("b", "right_w"), "basket").filter(F.col("a") != F.col("b"))
-             .groupBy("a", "b", (F.col("a_big") & F.col("b_big")).alias("both_big"))
-             .agg(F.sum(F.col("left_w") * F.col("right_w")).alias("score")))
+    ``baskets`` holds distinct (basket, item) rows, so a basket is never longer
+    than the catalogue. They are kept as a table with their basket's size.
+    """
+    size = F.count(F.lit(1)).over(Window.partitionBy("basket"))
+    sized = cut(baskets.withColumn("size", size).filter(F.col("size") > 1))
+    small = sized.filter(F.col("size") <= big_basket).select("basket", "item", "left_w", "right_w")
+    vectors = cut(_basket_vectors(sized.filter(F.col("size") > big_basket)))
+    n_items = vectors.count()
+    if not n_items:
+        return _choose(_pair_scores(small.withColumn("in_big", F.lit(False))).select("a", "b", "score"))
 
     # pairs of which both sides also occur in big baskets are finished inside the blocks
+    small = salted_join(small, vectors.select("item", F.lit(True).alias("in_big")), ["item"], ["basket"])
+    light = cut(_pair_scores(small.withColumn("in_big", F.coalesce("in_big", F.lit(False)))))
     alone = light.filter(~F.col("both_big")).select("a", "b", "score")
-    blocks = _block_best(vectors, light.filter("both_big"))
-    best = (alone.unionByName(blocks).groupBy("a")
-            .agg(F.min(F.struct((-F.col("score")).alias("neg"), "b")).alias("best")))
+    blocks = _block_best(vectors, light.filter("both_big"), -(-n_items // block_items))
+    return _choose(alone.unionByName(blocks))
+
+
+def _pair_scores(small: DataFrame) -> DataFrame:
+    """(a, b, both_big, score) of the pairs that occur in small baskets."""
+    side = lambda name, weight: small.select(
+        "basket", F.col("item").alias(name), F.col(weight), F.col("in_big").alias(f"{name}_big"))
+    return (side("a", "left_w").join(side("b", "right_w"), "basket").filter(F.col("a") != F.col("b"))
+            .groupBy("a", "b", (F.col("a_big") & F.col("b_big")).alias("both_big"))
+            .agg(F.sum(F.col("left_w") * F.col("right_w")).alias("score")))
+
+
+def _choose(scored: DataFrame) -> DataFrame:
+    best = scored.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("neg"), "b")).alias("best"))
     return best.select(F.col("a").alias("article_id"), F.col("best.b").alias("partner_id"),
                        (-F.col("best.neg")).cast("long").alias("cnt"))
 
 
-def _basket_vectors(big: DataFrame, block_items: int) -> DataFrame:
+def _basket_vectors(big: DataFrame) -> DataFrame:
     """Each big-basket item with its weights; entries are at most the number of big baskets."""
-    vectors = (big.withColumn("bid", F.xxhash64("basket")).groupBy("item")
-               .agg(F.collect_list("bid").alias("bids"), F.collect_list("left_w").alias("lw"),
-                    F.collect_list("right_w").alias("rw")))
-    n_blocks = vectors.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_items)).cast("int")).scalar()
-    return vectors.withColumn("n_blocks", n_blocks)
-
-
-def _block(item: str, n_blocks) -> Column:
-    return F.pmod(F.xxhash64(item), n_blocks).cast("int")
+    return (big.withColumn("bid", F.xxhash64("basket")).groupBy("item")
+            .agg(F.collect_list("bid").alias("bids"), F.collect_list("left_w").alias("lw"),
+                 F.collect_list("right_w").alias("rw")))
 
 
-def _block_best(vectors: DataFrame, light: DataFrame) -> DataFrame:
+def _block_best(vectors: DataFrame, light: DataFrame, n_blocks: int) -> DataFrame:
     """Best partner of every big-basket item inside every block of items."""
-    n = F.col("n_blocks")
-    every = F.explode(F.sequence(F.lit(0), n - 1))
+    block = lambda item: F.pmod(F.xxhash64(item), F.lit(n_blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     none = F.lit(None)
-    lefts = vectors.select(_block("item", n).alias("lb"), every.alias("rb"), F.lit("left").alias("kind"),
+    lefts = vectors.select(block("item").alias("lb"), every.alias("rb"), F.lit("left").alias("kind"),
                            F.col("item").alias("a"), none.cast("string").alias("b"),
                            "bids", F.col("lw").alias("w"), none.cast("double").alias("score"))
-    rights = vectors.select(every.alias("lb"), _block("item", n).alias("rb"), F.lit("right").alias("kind"),
+    rights = vectors.select(every.alias("lb"), block("item").alias("rb"), F.lit("right").alias("kind"),
                             none.cast("string").alias("a"), F.col("item").alias("b"),
                             "bids", F.col("rw").alias("w"), none.cast("double").alias("score"))
-    blocks = vectors.agg(F.max("n_blocks")).scalar()
-    pairs = light.select(_block("a", blocks).alias("lb"), _block("b", blocks).alias("rb"), F.lit("pair").alias("kind"),
-                         "a", "b", none.cast("array<bigint>").alias("bids"), none.cast("array<double>").alias("w"), "score")
+    pairs = light.select(block("a").alias("lb"), block("b").alias("rb"), F.lit("pair").alias("kind"), "a", "b",
+                         none.cast("array<bigint>").alias("bids"), none.cast("array<double>").alias("w"), "score")
     tiles = lefts.unionByName(rights).unionByName(pairs)
     return tiles.groupBy("lb", "rb").applyInPandas(_tile_best, "a string, b string, score double")
 
