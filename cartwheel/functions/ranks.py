@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cartwheel.functions.stage import cut
+
 # 2^16 hash buckets: the offset table has at most 65,536 rows, whatever the data size
 _BUCKET_SHIFT = 16
 
@@ -78,6 +80,26 @@ def hash_rank(frame: DataFrame, keys: Sequence[str], seed: int, rank_col: str) -
             .drop("_h", "_b", "_r", "_off"))
 
 
+def sorted_rank(frame: DataFrame, order: Sequence[str], rank_col: str) -> DataFrame:
+    """0-based position of every row in the order of ``order``, which must be unique.
+
+    Rows are range-partitioned and numbered inside their partition, and the
+    result is kept as a table, so that the partition bounds cannot move
+    afterwards. Only one count per partition is accumulated in one place.
+    """
+    ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumn("_m", F.monotonically_increasing_id()))
+    # the id holds the partition in its upper bits and the position in the lower 33
+    placed = (placed.withColumn("_part", F.shiftright("_m", 33))
+              .withColumn("_pos", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))))
+    offsets = (placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+               .withColumn("_off", F.coalesce(F.sum("_c").over(
+                   Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+               .select("_part", "_off"))
+    return (placed.join(F.broadcast(offsets), "_part")
+            .withColumn(rank_col, F.col("_off") + F.col("_pos")).drop("_m", "_part", "_pos", "_off"))
+
+
 def smallest_by_hash(frame: DataFrame, group: str, keys: Sequence[str], hash_col: str,
                      quota: DataFrame) -> DataFrame:
     """Exactly ``quota.n`` rows per group, taken in ``hash_col`` order (ties by keys).

@@ -7,21 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folders: dict[str, str] = {}
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch one only if none is set on a local master."""
+    """The shared folder named by the cluster; a scratch one only on a local master that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     context = spark.sparkContext
-    if not folder:
-        current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else None
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="cartwheel-checkpoint-")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return folder
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="cartwheel-")
+    return _local_folders[context.applicationId]
 
 
 def cut(frame: DataFrame) -> DataFrame:

@@ -311,7 +311,7 @@ def recommend(targets: DataFrame, history: DataFrame, customers: DataFrame, arti
     ``partners`` (article_id, partner_id) adds the bought-together strategy.
     """
     ns = dict(DEFAULT_NS, **(ns or {}))
-    targets = targets.select("customer_id").distinct()
+    targets = cut(targets.select("customer_id").distinct())
     facts = with_last_day(_known(history, *PAIR).select(*PAIR, "t_dat"), end)
     conditions = {k: in_window(F.col("_end"), w) for k, w in WINDOW_KEYS.items()}
     names = list(conditions)

@@ -49,21 +49,23 @@ def average_precision(ranked: DataFrame, truth: DataFrame, k: int = 12,
                       groups: Sequence[str] = ()) -> DataFrame:
     """AP@k per truth customer; a customer without predictions scores 0.
 
-    ``groups`` keeps several rankings apart (strategies, weight vectors).
-    With groups, customers without any hit in a group are left out of the
-    result; ``mean_average_precision`` counts them as 0.
+    ``groups`` keeps several rankings apart (strategies, weight vectors); then
+    the result holds the customers each group ranked, with null for those
+    outside the truth, and ``mean_average_precision`` counts absent ones as 0.
     """
     truth = truth.select(*PAIR).distinct()
     sizes = truth.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_true"))
-    hits = (ranked.filter(F.col("rank") <= k).select(*groups, *PAIR, "rank")
-            .join(truth, PAIR, "left_semi"))
-    # at most k hits per customer
-    order = Window.partitionBy(*groups, "customer_id").orderBy("rank")
-    sums = (hits.withColumn("_p", F.row_number().over(order) / F.col("rank"))
-            .groupBy(*groups, "customer_id").agg(F.sum("_p").alias("_sum")))
+    flagged = (ranked.filter(F.col("rank") <= k).select(*groups, *PAIR, "rank")
+               .join(truth.withColumn("_hit", F.lit(1)), PAIR, "left"))
+    # at most k rows per customer
+    so_far = (Window.partitionBy(*groups, "customer_id").orderBy("rank")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    precision = F.when(F.col("_hit") == 1, F.count("_hit").over(so_far) / F.col("rank"))
+    sums = (flagged.withColumn("_p", precision).groupBy(*groups, "customer_id")
+            .agg(F.coalesce(F.sum("_p"), F.lit(0.0)).alias("_sum")))
     value = F.col("_sum") / F.least(F.col("n_true"), F.lit(k))
     if groups:
-        return sums.join(sizes, "customer_id").select(*groups, "customer_id", value.alias("ap"))
+        return sums.join(sizes, "customer_id", "left").select(*groups, "customer_id", value.alias("ap"))
     return (sizes.join(sums, "customer_id", "left")
             .select("customer_id", F.coalesce(value, F.lit(0.0)).alias("ap")))
 
@@ -75,10 +77,9 @@ def mean_average_precision(ranked: DataFrame, truth: DataFrame, k: int = 12,
     if not groups:
         return ap.agg(F.avg("ap").alias("map"), F.count(F.lit(1)).alias("n_customers"))
     customers = truth.agg(F.count_distinct("customer_id")).scalar()
-    present = ranked.select(*groups).distinct()
-    total = ap.groupBy(*groups).agg(F.sum("ap").alias("_s"))
-    return (present.join(total, list(groups), "left").withColumn("n_customers", customers)
-            .select(*groups, (F.coalesce("_s", F.lit(0.0)) / F.col("n_customers")).alias("map"), "n_customers"))
+    total = ap.groupBy(*groups).agg(F.coalesce(F.sum("ap"), F.lit(0.0)).alias("_s"))
+    return (total.withColumn("n_customers", customers)
+            .select(*groups, (F.col("_s") / F.col("n_customers")).alias("map"), "n_customers"))
 
 
 def coverage(predicted: DataFrame, truth: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartwheel.functions.joins import salted_join
-from cartwheel.functions.ranks import hash_rank
+from cartwheel.functions.ranks import hash_rank, sorted_rank
 
 
 # ---- ids, values and bins -------------------------------------------------------------
@@ -35,18 +35,24 @@ def age_bin(age: Column | str, width: int) -> Column:
     return (F.floor(column / width) * width).cast("int")
 
 
-def label_codes(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+def label_codes(frame: DataFrame, columns: Sequence[str], large: bool = False) -> DataFrame:
     """Dictionary (column, value, code): sorted distinct values -> 0..k-1, null as ''.
 
-    All columns are read in one pass. The window sorts one column's distinct
-    category values, never rows.
+    All columns are read in one pass. A window sorts each column's distinct
+    category values, never rows; ``large`` numbers them over many tasks, for
+    columns whose dictionary itself grows with the data.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"),
                                F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value"))
                       for c in columns])
     values = frame.select(F.explode(pairs).alias("p")).select("p.column", "p.value").distinct()
-    order = Window.partitionBy("column").orderBy("value")
-    return values.withColumn("code", F.row_number().over(order) - 1)
+    if not large:
+        order = Window.partitionBy("column").orderBy("value")
+        return values.withColumn("code", F.row_number().over(order) - 1)
+    ranked = sorted_rank(values, ["column", "value"], "_r")
+    first = ranked.groupBy("column").agg(F.min("_r").alias("_first"))      # one row per column name
+    return (ranked.join(F.broadcast(first), "column")
+            .select("column", "value", (F.col("_r") - F.col("_first")).cast("int").alias("code")))
 
 
 def label_encode(frame: DataFrame, columns: Sequence[str], codes: DataFrame | None = None) -> DataFrame:

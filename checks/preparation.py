@@ -90,6 +90,12 @@ def label_dictionary(v):
     return P.label_codes(v.articles, CATEGORIES)
 
 
+@query(sql("""SELECT 'customer_id' AS "column", customer_id AS value, CAST(row_number() OVER (ORDER BY customer_id) - 1 AS INTEGER) AS code
+    FROM (SELECT DISTINCT customer_id FROM tx)""", "tx"))
+def large_label_dictionary(v):
+    return P.label_codes(v.transactions, ["customer_id"], large=True)
+
+
 @query(sql("SELECT article_id, " + ", ".join(
     f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, '')) - 1 AS INTEGER) AS {c}" for c in CATEGORIES) + " FROM art", "art"))
 def label_encoded_articles(v):

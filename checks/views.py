@@ -38,7 +38,10 @@ class Views:
 
     @property
     def transactions(self) -> DataFrame:
+        """Spread by the join key before the row work: the file may be a single split."""
         lines = self.table("lineitem").select(
+            "l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", "l_linestatus").repartition("l_orderkey")
+        lines = lines.select(
             "l_orderkey", F.lpad(F.col("l_partkey").cast("string"), 10, "0").alias("article_id"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("sales_channel_id"))

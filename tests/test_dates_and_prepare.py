@@ -81,3 +81,10 @@ def test_membership(facts, spark, rows):
     assert rows(P.members(tx, ids, "customer_id"), "article_id") == [("a",), ("a",)]
     articles = spark.createDataFrame([("a",), ("z",)], "article_id string")
     assert rows(P.non_members(articles, tx, "article_id")) == [("z",)]
+
+
+def test_large_dictionaries_get_the_same_codes(spark):
+    frame = spark.range(3000).select(F.concat(F.lit("k"), F.pmod(F.col("id") * 7919, F.lit(1000))).alias("a"),
+                                     F.when(F.col("id") % 5 > 0, F.concat(F.lit("z"), F.col("id") % 40)).alias("b"))
+    small, large = P.label_codes(frame, ["a", "b"]), P.label_codes(frame, ["a", "b"], large=True)
+    assert small.exceptAll(large).isEmpty() and large.count() == small.count() == 1033
