@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
-
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch one only on a local master that names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="cartwheel-")
-    return _local_folders[context.applicationId]
+    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
+
+
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A new folder name for intermediate data, deleted when the session's JVM ends."""
+    path = f"{checkpoint_folder(spark)}/cartwheel/{name}-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop_path)
+    return path
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -30,6 +29,6 @@ def cut(frame: DataFrame) -> DataFrame:
     re-read, and Spark knows its size, which decides about broadcasts.
     """
     spark = frame.sparkSession
-    path = f"{checkpoint_folder(spark)}/cartwheel/{uuid.uuid4().hex}"
+    path = stage_path(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cartwheel.functions.stage import checkpoint_folder
+from cartwheel.functions.stage import stage_path
 from cartwheel.operators import features as X, prepare as P
 
 TRAIN_START, VALID_START, VALID_END = "2001-07-19", "2001-07-26", "2001-08-01"
@@ -104,7 +103,7 @@ class Views:
 
     def scratch(self, name: str) -> str:
         """A new folder under the shared checkpoint folder."""
-        return f"{checkpoint_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        return stage_path(self.spark, name)
 
 
 # ---- the same views as SQL ------------------------------------------------------------
