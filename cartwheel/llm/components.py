@@ -23,8 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
         near = (pairs.join(labels.select(F.col("node").alias("b"), "label"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near")))
         # a label may hear of a smaller one through any of the nodes that carry it
-        moved = (labels.join(near, "node").select("node", "label", F.least("label", "_near").alias("_new")))
-        hooked = (moved.groupBy(F.col("label").alias("_old")).agg(F.min("_new").alias("_root")))
+        moved = cut(labels.join(near, "node").select("node", "label", F.least("label", "_near").alias("_new")))
+        # as a table of its own, so that Spark can split a label with very many nodes
+        hooked = cut(moved.groupBy(F.col("label").alias("_old")).agg(F.min("_new").alias("_root")))
         step = cut(moved.join(hooked, F.col("label") == F.col("_old"))
                    .select("node", "label", F.least("_new", "_root").alias("_new")))
         jump = step.select(F.col("node").alias("_at"), F.col("_new").alias("_jump"))

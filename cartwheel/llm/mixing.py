@@ -98,7 +98,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: Sequence[int] = WEIGHTS, percen
     served = F.array(*[F.struct(F.lit(p).alias("pass"), (F.col("_start") + p * F.col("source_size")).alias("at")) for p in range(most)])
     served = F.filter(served, lambda s: (s["at"] < limit) & (F.lit(True) if not whole else 2 * (limit - s["at"]) >= F.col("size")) & (F.col("size") > 0))
     copies = placed.withColumn("_copy", F.explode_outer(served))
-    taken = F.col("size") if whole else F.least(F.col("size"), limit - F.col("_copy.at"))
+    taken = F.when(F.col("_copy").isNotNull(), F.col("size") if whole else F.least(F.col("size"), limit - F.col("_copy.at")))
     mixed = copies.select(
         "doc_id", "source", "size", "source_size", "target", F.col("_copy.pass").alias("pass"),
         ((F.col("_copy.at") + F.col("size")) / F.col("target")).alias("finish"),

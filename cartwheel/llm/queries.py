@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwheel.functions.stage import stage_path
-from cartwheel.llm import bpe, mixing, quality, simhash, token_counts, token_files, toxicity
+from cartwheel.llm import bpe, mixing, pii, quality, repeats, simhash, token_counts, token_files, toxicity, vectors
 from cartwheel.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.words_taken(mixing.mix(table(spark, folder, "documents")))
 
 
+def op4_long_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = stage_path(spark, "token-files")
     token_files.write_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), files)
@@ -38,11 +42,19 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+def op8_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_byte_bpe, op3_mixed_sources, op5_token_files, op6_simhash_near_copies, op7_quality_rules,
-    op9_toxicity)}
+    op1_token_counts, op2_byte_bpe, op3_mixed_sources, op4_long_repeats, op5_token_files, op6_simhash_near_copies, op7_quality_rules,
+    op8_near_vectors, op9_toxicity, op10_personal_data)}
 SQL: dict[str, str] = {}

@@ -187,7 +187,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     reached = components(links(classes))
     labelled = cut(classes.join(reached, classes["fp"] == reached["node"], "left")
                    .select("fp", "_least", F.coalesce("label", "fp").alias("_label")))
-    roots = labelled.groupBy("_label").agg(F.min("_least").alias("component_id"))
+    roots = cut(labelled.groupBy("_label").agg(F.min("_least").alias("component_id")))
     by_fp = labelled.join(roots, "_label").select("fp", "component_id")
     return (marked.join(by_fp, "fp", "left")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cartwheel.functions.stage import stage_path
+from cartwheel.functions.stage import cut, stage_path
 from cartwheel.llm.common import chunks, whole_text
 from cartwheel.llm.wordmemo import library_codes
 
@@ -60,5 +60,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(folder)
     counted = keyed.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"))
-    return (counted.join(read_cache(spark, cache, version), "digest", "left")
+    known = cut(read_cache(spark, cache, version))       # a table, so that Spark can split a digest with very many rows
+    return (counted.join(known, "digest", "left")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
