@@ -6,23 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-DEFAULT_SALTS = 16
 
-
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
-                how: str = "left", salts: int | None = None) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join on keys of which a few may hold a large share of ``big``.
 
-    Every row of ``big`` gets a salt from a hash of its ``spread`` columns and
-    ``small`` is repeated once per salt, so one hot key is shared by ``salts``
-    tasks. The salt is a hash, not a random number: a task that is run again
-    after a lost executor sends each row to the same place. ``small`` holds
-    one row per key (an aggregate); it may be of any size.
+    ``small`` holds one row per key. Where it is small by the size Spark
+    measures it is broadcast and no row moves. Otherwise both sides are
+    shuffled and adaptive execution splits the partitions of hot keys, and of
+    ``small`` repeats only what meets them. It can split a partition only if
+    the shuffle serves the join alone, which it does not where ``small`` is an
+    aggregate by the same key; a hash of the key as one more join column
+    gives the join shuffles of its own.
     """
-    if salts is None:
-        salts = int(big.sparkSession.conf.get("spark.cartwheel.salts", str(DEFAULT_SALTS)))
-    if salts <= 1:
-        return big.join(small, list(on), how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    tagged = [side.withColumn("_key_hash", F.xxhash64(*[F.col(c).cast("string") for c in on])) for side in (big, small)]
+    return tagged[0].join(tagged[1], [*on, "_key_hash"], how).drop("_key_hash")

@@ -100,6 +100,23 @@ def sorted_rank(frame: DataFrame, order: Sequence[str], rank_col: str) -> DataFr
             .withColumn(rank_col, F.col("_off") + F.col("_pos")).drop("_m", "_part", "_pos", "_off"))
 
 
+def running_sum(frame: DataFrame, order: Sequence[str], weight: str, out: str) -> DataFrame:
+    """Sum of ``weight`` over all rows up to and including each, in the order of ``order``, which must be unique.
+
+    Rows are range-partitioned by their own distribution, so far outliers do
+    not crowd the rest into few tasks; only one sum per range is accumulated in
+    one place.
+    """
+    ranged = cut(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = (ranged.groupBy("_part").agg(F.sum(weight).alias("_s"))
+              .withColumn("_off", F.coalesce(F.sum("_s").over(
+                  Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .select("_part", "_off"))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (ranged.withColumn(out, F.sum(weight).over(within)).join(F.broadcast(totals), "_part")
+            .withColumn(out, F.col(out) + F.col("_off")).drop("_part", "_off"))
+
+
 def smallest_by_hash(frame: DataFrame, group: str, keys: Sequence[str], hash_col: str,
                      quota: DataFrame) -> DataFrame:
     """Exactly ``quota.n`` rows per group, taken in ``hash_col`` order (ties by keys).

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartwheel.functions.dates import in_slice, in_window, slice_grid, trailing, window_slice, with_last_day
-from cartwheel.functions.joins import salted_join
+from cartwheel.functions.joins import skew_join
 from cartwheel.functions.ranks import best_row, hash_rank, ordered_list, top_n
 from cartwheel.functions.stage import cut
 from cartwheel.operators.prepare import members
@@ -96,7 +96,7 @@ def _top_lists(counts: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 
 def _spread_lists(customers: DataFrame, lists: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach top lists by a key that many customers share, then explode."""
-    joined = salted_join(customers, lists, keys, ["customer_id"], how="inner")
+    joined = skew_join(customers, lists, keys, how="inner")
     return joined.withColumn("_e", F.explode("_list")).drop("_list")
 
 
@@ -138,7 +138,7 @@ def group_count_frequent(history: DataFrame, group: str, n: int = 12, window: st
     own = rows.groupBy(*PAIR, group).agg(F.count(F.lit(1)).alias("_m"))
     counts = (own.filter(F.col(group).isNotNull()).groupBy("article_id", group)
               .agg(F.sum("_m").alias("cnt")))
-    joined = salted_join(own.select(*PAIR, group), counts, ["article_id", group], ["customer_id"])
+    joined = skew_join(own.select(*PAIR, group), counts, ["article_id", group])
     best = top_n(joined, ["customer_id"], [F.desc_nulls_last("cnt"), F.asc("article_id")], n)
     return _zero_based(best).select(*PAIR, "cnt", RANK)
 
@@ -341,7 +341,7 @@ def recommend(targets: DataFrame, history: DataFrame, customers: DataFrame, arti
 
     # customer segment
     types = customers.select("customer_id", "customer_type").filter(F.col("customer_type").isNotNull())
-    typed = salted_join(facts, types, ["customer_id"], ["article_id", "t_dat"], "inner")
+    typed = skew_join(facts, types, ["customer_id"], "inner")
     segment_counts = windowed_counts(typed, ["customer_type", "article_id"], conditions)
     segment_lists = lists(long(segment_counts, ["customer_type", "article_id"]), ["customer_type", "win"], "ctf")
     active = long(total(pairs, ["customer_id"]), ["customer_id"]).drop("cnt").join(types, "customer_id")
@@ -351,7 +351,7 @@ def recommend(targets: DataFrame, history: DataFrame, customers: DataFrame, arti
     for family, column in (("atfd", "department_name"), ("atfp", "perceived_colour_master_name")):
         values = articles.select("article_id", column).filter(F.col(column).isNotNull())
         value_lists = lists(long(article_counts.join(values, "article_id"), [column, "article_id"]), [column, "win"], family)
-        mine = salted_join(pairs, values, ["article_id"], ["customer_id"], how="inner")
+        mine = skew_join(pairs, values, ["article_id"], how="inner")
         tastes = long(total(mine, ["customer_id", column]), ["customer_id", column])
         favourite = best_row(tastes, ["customer_id", "win"], [-F.col("cnt"), F.col(column)], [column])
         out(unfold(_spread_lists(favourite, value_lists, [column, "win"])), family)
@@ -382,8 +382,7 @@ def expand_pairs(tagged: DataFrame, partners: DataFrame, distinct: bool = True)
     partner once per customer, at its first place; otherwise one row remains
     for every candidate it was reached from.
     """
-    mapped = salted_join(tagged, partners.select("article_id", "partner_id"), ["article_id"],
-                         ["customer_id"], how="inner").filter(F.col("partner_id").isNotNull())
+    mapped = skew_join(tagged, partners.select("article_id", "partner_id"), ["article_id"], how="inner").filter(F.col("partner_id").isNotNull())
     moved = mapped.select("customer_id", F.col("partner_id").alias("article_id"),
                           F.struct(STRATEGY, RANK, F.col("article_id").alias("via")).alias("_k"))
     if distinct:

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cartwheel.functions.joins import salted_join
-from cartwheel.functions.ranks import top_n
+from cartwheel.functions.joins import skew_join
+from cartwheel.functions.ranks import running_sum, top_n
+from cartwheel.functions.stage import cut
 
 PAIR = ["customer_id", "article_id"]
 
@@ -135,28 +136,16 @@ def strategy_precision(tagged: DataFrame, target: DataFrame, k: int = 12, budget
 
 # ---- regression report ----------------------------------------------------------------
 
-def average_ranks(frame: DataFrame, column: str, buckets: int = 4096) -> DataFrame:
+def average_ranks(frame: DataFrame, column: str) -> DataFrame:
     """(value, average rank) of the distinct non-null values, ties sharing their mean rank.
 
-    Values are counted first; the distinct values are then split into buckets
-    by a monotone function of the value, so no task sorts them all and only
-    the bucket totals are accumulated in one place.
+    Values are counted first; the distinct values are then spread over tasks by
+    range, whatever their distribution.
     """
     counts = (frame.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value"))
               .agg(F.count(F.lit(1)).alias("c")))
-    squash = lambda c: F.signum(c) * F.log1p(F.abs(c))
-    lo = squash(counts.agg(F.min("value")).scalar())
-    hi = squash(counts.agg(F.max("value")).scalar())
-    share = F.coalesce(F.try_divide(squash(F.col("value")) - lo, hi - lo), F.lit(0.0))
-    placed = counts.withColumn("b", F.floor(share * (buckets - 1)).cast("int"))
-    before = (placed.groupBy("b").agg(F.sum("c").alias("bc"))
-              .withColumn("off", F.coalesce(F.sum("bc").over(
-                  Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .select("b", "off"))
-    running = Window.partitionBy("b").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (placed.withColumn("upto", F.sum("c").over(running))
-            .join(F.broadcast(before), "b")
-            .select("value", (F.col("off") + F.col("upto") - (F.col("c") - 1) / 2).alias("avg_rank")))
+    return running_sum(counts, ["value"], "c", "upto").select(
+        "value", (F.col("upto") - (F.col("c") - 1) / 2).alias("avg_rank"))
 
 
 def regression_report(frame: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -165,13 +154,17 @@ def regression_report(frame: DataFrame, actual: str, predicted: str) -> DataFram
     counted = rows.groupBy("y", "p").agg(F.count(F.lit(1)).alias("m"))
     ry = average_ranks(rows, "y").select(F.col("value").alias("y"), F.col("avg_rank").alias("ry"))
     rp = average_ranks(rows, "p").select(F.col("value").alias("p"), F.col("avg_rank").alias("rp"))
-    ranked = salted_join(salted_join(counted, ry, ["y"], ["p"], "inner"), rp, ["p"], ["y"], "inner")
+    ranked = skew_join(skew_join(counted, ry, ["y"], "inner"), rp, ["p"], "inner")
+    # centred on the means, so that large values do not cancel
+    ranked = cut(ranked)
+    mean = lambda c: ranked.agg(F.sum(F.col("m") * F.col(c)) / F.sum("m")).scalar()
+    ranked = ranked.withColumns({f"c{c}": F.col(c) - mean(c) for c in ("y", "p", "ry", "rp")})
     error = F.col("y") - F.col("p")
     return ranked.agg(
         F.sqrt(F.sum(F.col("m") * error * error) / F.sum("m")).alias("rmse"),
         (F.sum(F.col("m") * F.abs(error)) / F.sum("m")).alias("mae"),
-        _weighted_corr("y", "p", "m").alias("pearson"),
-        _weighted_corr("ry", "rp", "m").alias("spearman"))
+        _weighted_corr("cy", "cp", "m").alias("pearson"),
+        _weighted_corr("cry", "crp", "m").alias("spearman"))
 
 
 def _weighted_corr(x: str, y: str, m: str) -> Column:

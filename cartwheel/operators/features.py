@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartwheel.functions.dates import last_day, week_bucket, window_start, with_last_day
-from cartwheel.functions.joins import salted_join
+from cartwheel.functions.joins import skew_join
 from cartwheel.functions.stage import cut
 from cartwheel.operators.prepare import members
 from cartwheel.sources.schemas import ARTICLE_CATEGORIES, CUSTOMER_CATEGORIES
@@ -258,7 +258,7 @@ def add_same_customer_type_rates(frame: DataFrame, history: DataFrame,
                                  columns: Sequence[str] = CUSTOMER_CATEGORIES) -> DataFrame:
     """``{col}_article_buy_rate``: share of the article's buyers with the customer's value."""
     maps = _rate_maps(history, "article_id", columns)
-    return _look_up(salted_join(frame, maps, ["article_id"], ["customer_id"]), columns, "_article_buy_rate")
+    return _look_up(skew_join(frame, maps, ["article_id"]), columns, "_article_buy_rate")
 
 
 def new_article_features(forecast: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def first_sale(history: DataFrame) -> DataFrame:
     is spread over tasks.
     """
     first = history.groupBy("article_id").agg(F.min("t_dat").alias("1st_tran_dat"))
-    return (salted_join(history, first, ["article_id"], ["customer_id", "t_dat"])
+    return (skew_join(history, first, ["article_id"])
             .withColumn("1st_tran_dat_diff", F.datediff("t_dat", "1st_tran_dat")))
 
 
@@ -331,10 +331,10 @@ def add_features(candidates: DataFrame, transactions: DataFrame, articles: DataF
     end = last_day(transactions, end)
     ends = bucket_ends(transactions, weeks, end)
     mine = members(transactions, candidates, "customer_id")
-    aged = salted_join(transactions, customers.select("customer_id", "age"), ["customer_id"], ["article_id", "t_dat"])
-    grouped = salted_join(mine, articles.select("article_id", "index_group_name"), ["article_id"], ["customer_id", "t_dat"])
+    aged = skew_join(transactions, customers.select("customer_id", "age"), ["customer_id"])
+    grouped = skew_join(mine, articles.select("article_id", "index_group_name"), ["article_id"])
     totals = cut(pair_totals(mine))
-    kinds = salted_join(totals.select(*PAIR, "count"), articles.select("article_id", *categories), ["article_id"], ["customer_id"])
+    kinds = skew_join(totals.select(*PAIR, "count"), articles.select("article_id", *categories), ["article_id"])
 
     by_article = (article_attributes(articles, categories)
                   .join(article_statistics(aged, weeks, end, ends), "article_id", "left")
@@ -348,6 +348,6 @@ def add_features(candidates: DataFrame, transactions: DataFrame, articles: DataF
         *PAIR, "count", F.datediff("_end", "_first").alias("1st_buy_date_diff"),
         F.datediff("_end", "_last").alias("latest_buy_date_diff"))
     wide = candidates.join(bought, PAIR, "left")
-    wide = salted_join(wide, by_article, ["article_id"], ["customer_id"])
+    wide = skew_join(wide, by_article, ["article_id"])
     wide = wide.join(by_customer, "customer_id", "left")
     return _look_up(wide, categories, "_customer_buy_rate")

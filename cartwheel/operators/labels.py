@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from cartwheel.functions.ranks import md5_int, smallest_by_hash
+from cartwheel.functions.stage import cut
 
 PAIR = ["customer_id", "article_id"]
 
@@ -24,9 +25,10 @@ def bagged_undersample(labelled: DataFrame, keys: Sequence[str], ratio: float =
     The negatives are exactly the first n in md5 order of (seed, keys). If
     there are fewer than n, all are kept.
     """
-    tagged = labelled.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    positives = tagged.filter(F.col("buy") == 1)
-    negatives = (tagged.filter(F.col("buy") == 0)
+    labelled = cut(labelled)        # the count, the buckets and both sides of the draw read it
+    each = F.explode(F.array(*[F.lit(s) for s in seeds]))
+    positives = labelled.filter(F.col("buy") == 1).withColumn("seed", each)
+    negatives = (labelled.filter(F.col("buy") == 0).withColumn("seed", each)
                  .withColumn("_h", md5_int(F.col("seed"), *keys)))
     wanted = labelled.agg(F.floor(F.coalesce(F.sum("buy"), F.lit(0)) * F.lit(ratio)).cast("long")).scalar()
     quota = (labelled.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")
@@ -53,16 +55,9 @@ def truth_pairs(target: DataFrame) -> DataFrame:
     return target.select(*PAIR).distinct()
 
 
-def truth_lists(target: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """Article list per customer: (customer_id, part, article_ids), lists sorted.
+def truth_lists(target: DataFrame) -> DataFrame:
+    """Sorted article list of each customer: one row per customer, as long as the customer bought articles.
 
-    A customer with more than ``part_size`` distinct articles is split by hash
-    into several parts, so no list grows with the data.
+    The metrics read ``truth_pairs``, which has no such row.
     """
-    pairs = truth_pairs(target)
-    parts = (pairs.groupBy("customer_id")
-             .agg(F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("_parts")))
-    placed = (pairs.join(parts, "customer_id")
-              .withColumn("part", F.pmod(F.xxhash64("article_id"), F.col("_parts")).cast("int")))
-    return (placed.groupBy("customer_id", "part")
-            .agg(F.array_sort(F.collect_list("article_id")).alias("article_ids")))
+    return truth_pairs(target).groupBy("customer_id").agg(F.array_sort(F.collect_list("article_id")).alias("article_ids"))

@@ -12,7 +12,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cartwheel.functions.joins import salted_join
+from cartwheel.functions.joins import skew_join
 from cartwheel.functions.ranks import top_n
 from cartwheel.functions.stage import cut
 from cartwheel.operators.prepare import feature_columns, surrogate_ids
@@ -189,8 +189,8 @@ def factor_candidates(history: DataFrame, targets: DataFrame, n: int = 12, rank:
     pairs = history.select("customer_id", "article_id").dropna().distinct()
     customers = cut(surrogate_ids(pairs, "customer_id"))
     articles = cut(surrogate_ids(pairs, "article_id"))
-    matrix = salted_join(salted_join(pairs, customers, ["customer_id"], ["article_id"], "inner"),
-                         articles, ["article_id"], ["customer_id"], "inner")
+    matrix = skew_join(skew_join(pairs, customers, ["customer_id"], "inner"),
+                         articles, ["article_id"], "inner")
     matrix = cut(matrix.select(F.col("customer_id_idx").cast("int"), F.col("article_id_idx").cast("int"),
                                F.lit(1.0).cast("float").alias("bought")))
     als = ALS(userCol="customer_id_idx", itemCol="article_id_idx", ratingCol="bought", rank=rank,
@@ -201,6 +201,6 @@ def factor_candidates(history: DataFrame, targets: DataFrame, n: int = 12, rank:
     named = (flat.select("customer_id_idx", F.col("r.article_id_idx").alias("article_id_idx"),
                          F.col("r.rating").alias("affinity"))
              .join(customers, "customer_id_idx"))
-    named = salted_join(named, articles, ["article_id_idx"], ["customer_id"], "inner")
+    named = skew_join(named, articles, ["article_id_idx"], "inner")
     ranked = top_n(named, ["customer_id"], [F.desc("affinity"), F.asc("article_id")], n)
     return ranked.select("customer_id", "article_id", (F.col("rank") - 1).cast("int").alias("1st_stage_rank"))

@@ -4,41 +4,33 @@ Both forms are one problem: baskets hold items with a left and a right weight,
 score(a, b) = sum over baskets of left(a) * right(b), and the best b is kept
 per a. Repeated purchases are folded into the weights first.
 
-Baskets up to ``big_basket`` distinct items expand to item pairs, so a basket
-row meets a bounded number of others. A larger basket (one customer may hold a
-third of all rows) never expands. Its items become vectors over the big
-baskets, cut into blocks; one task multiplies two blocks and returns only each
-item's best partner within the block. The result is exact: a pair that occurs
-in small baskets gets its big-basket share added before the comparison, and any
-other pair lives in big baskets alone, where the block products see it.
+A basket's items are dealt by hash into parts of about ``part_items``, and a
+join key is a basket with a part of the left and a part of the right items. So
+a basket of any size is many tasks' work, each part meets a bounded number of
+others, and scores are summed in the map tasks before they are shuffled.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cartwheel.functions.dates import trailing
-from cartwheel.functions.joins import salted_join
+from cartwheel.functions.joins import skew_join
 from cartwheel.functions.stage import cut
 
-BIG_BASKET = 1000
-BLOCK_ITEMS = 1024
+PART_ITEMS = 500
 
 
-def bought_same_day(history: DataFrame, big_basket: int = BIG_BASKET,
-                    block_items: int = BLOCK_ITEMS) -> DataFrame:
+def bought_same_day(history: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
     """Partner by baskets of one customer and day; repeated rows count with multiplicity."""
     rows = (history.select("customer_id", "t_dat", "article_id").dropna()
             .groupBy("customer_id", "t_dat", "article_id").agg(F.count(F.lit(1)).cast("double").alias("w")))
     baskets = rows.select(F.struct("customer_id", "t_dat").alias("basket"), F.col("article_id").alias("item"),
                           F.col("w").alias("left_w"), F.col("w").alias("right_w"))
-    return best_partner(baskets, big_basket, block_items)
+    return best_partner(baskets, part_items)
 
 
-def bought_by_same_customer(history: DataFrame, window: str = "1w", big_basket: int = BIG_BASKET,
-                            block_items: int = BLOCK_ITEMS) -> DataFrame:
+def bought_by_same_customer(history: DataFrame, window: str = "1w", part_items: int = PART_ITEMS) -> DataFrame:
     """Partner among everything an article's buyers bought in the window.
 
     A buyer counts once for the article, its other purchases with multiplicity.
@@ -47,108 +39,24 @@ def bought_by_same_customer(history: DataFrame, window: str = "1w", big_basket:
             .groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).cast("double").alias("w")))
     baskets = rows.select(F.struct("customer_id").alias("basket"), F.col("article_id").alias("item"),
                           F.lit(1.0).alias("left_w"), F.col("w").alias("right_w"))
-    return best_partner(baskets, big_basket, block_items)
+    return best_partner(baskets, part_items)
 
 
-def best_partner(baskets: DataFrame, big_basket: int = BIG_BASKET,
-                 block_items: int = BLOCK_ITEMS) -> DataFrame:
+def best_partner(baskets: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
     """(article_id, partner_id, cnt): highest score, ties to the smaller partner id.
 
-    ``baskets`` holds distinct (basket, item) rows, so a basket is never longer
-    than the catalogue. They are kept as a table with their basket's size.
+    ``baskets`` holds distinct (basket, item) rows, kept as a table because
+    their sizes and both sides of the pairs read them.
     """
-    size = F.count(F.lit(1)).over(Window.partitionBy("basket"))
-    sized = cut(baskets.withColumn("size", size).filter(F.col("size") > 1))
-    small = sized.filter(F.col("size") <= big_basket).select("basket", "item", "left_w", "right_w")
-    vectors = cut(_basket_vectors(sized.filter(F.col("size") > big_basket)))
-    n_items = vectors.count()
-    if not n_items:
-        return _choose(_pair_scores(small.withColumn("in_big", F.lit(False))).select("a", "b", "score"))
-
-    # pairs of which both sides also occur in big baskets are finished inside the blocks
-    small = salted_join(small, vectors.select("item", F.lit(True).alias("in_big")), ["item"], ["basket"])
-    light = cut(_pair_scores(small.withColumn("in_big", F.coalesce("in_big", F.lit(False)))))
-    alone = light.filter(~F.col("both_big")).select("a", "b", "score")
-    blocks = _block_best(vectors, light.filter("both_big"), -(-n_items // block_items))
-    return _choose(alone.unionByName(blocks))
-
-
-def _pair_scores(small: DataFrame) -> DataFrame:
-    """(a, b, both_big, score) of the pairs that occur in small baskets."""
-    side = lambda name, weight: small.select(
-        "basket", F.col("item").alias(name), F.col(weight), F.col("in_big").alias(f"{name}_big"))
-    return (side("a", "left_w").join(side("b", "right_w"), "basket").filter(F.col("a") != F.col("b"))
-            .groupBy("a", "b", (F.col("a_big") & F.col("b_big")).alias("both_big"))
-            .agg(F.sum(F.col("left_w") * F.col("right_w")).alias("score")))
-
-
-def _choose(scored: DataFrame) -> DataFrame:
-    best = scored.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("neg"), "b")).alias("best"))
+    rows = cut(baskets)
+    parts = (rows.groupBy("basket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+             .select("basket", F.ceil(F.col("_n") / part_items).cast("int").alias("parts")))
+    sized = skew_join(rows, parts, ["basket"], "inner").withColumn("own", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = sized.select("basket", F.col("own").alias("part_a"), every.alias("part_b"), F.col("item").alias("a"), "left_w")
+    right = sized.select("basket", every.alias("part_a"), F.col("own").alias("part_b"), F.col("item").alias("b"), "right_w")
+    scores = (left.join(right, ["basket", "part_a", "part_b"]).filter(F.col("a") != F.col("b"))
+              .groupBy("a", "b").agg(F.sum(F.col("left_w") * F.col("right_w")).alias("score")))
+    best = scores.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("neg"), "b")).alias("best"))
     return best.select(F.col("a").alias("article_id"), F.col("best.b").alias("partner_id"),
                        (-F.col("best.neg")).cast("long").alias("cnt"))
-
-
-def _basket_vectors(big: DataFrame) -> DataFrame:
-    """Each big-basket item with its weights; entries are at most the number of big baskets."""
-    return (big.withColumn("bid", F.xxhash64("basket")).groupBy("item")
-            .agg(F.collect_list("bid").alias("bids"), F.collect_list("left_w").alias("lw"),
-                 F.collect_list("right_w").alias("rw")))
-
-
-def _block_best(vectors: DataFrame, light: DataFrame, n_blocks: int) -> DataFrame:
-    """Best partner of every big-basket item inside every block of items."""
-    block = lambda item: F.pmod(F.xxhash64(item), F.lit(n_blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    none = F.lit(None)
-    lefts = vectors.select(block("item").alias("lb"), every.alias("rb"), F.lit("left").alias("kind"),
-                           F.col("item").alias("a"), none.cast("string").alias("b"),
-                           "bids", F.col("lw").alias("w"), none.cast("double").alias("score"))
-    rights = vectors.select(every.alias("lb"), block("item").alias("rb"), F.lit("right").alias("kind"),
-                            none.cast("string").alias("a"), F.col("item").alias("b"),
-                            "bids", F.col("rw").alias("w"), none.cast("double").alias("score"))
-    pairs = light.select(block("a").alias("lb"), block("b").alias("rb"), F.lit("pair").alias("kind"), "a", "b",
-                         none.cast("array<bigint>").alias("bids"), none.cast("array<double>").alias("w"), "score")
-    tiles = lefts.unionByName(rights).unionByName(pairs)
-    return tiles.groupBy("lb", "rb").applyInPandas(_tile_best, "a string, b string, score double")
-
-
-def _tile_best(tile: pd.DataFrame) -> pd.DataFrame:
-    """Scores of one block of items against another; the best right item per left item."""
-    lefts = tile[tile.kind == "left"].sort_values("a")
-    rights = tile[tile.kind == "right"].sort_values("b")
-    pairs = tile[tile.kind == "pair"]
-    names_a, names_b = lefts.a.to_numpy(), rights.b.to_numpy()
-    if not len(names_a) or not len(names_b):
-        return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": str, "b": str, "score": float})
-    score = _product(lefts, rights)
-    score[np.searchsorted(names_a, pairs.a.to_numpy()), np.searchsorted(names_b, pairs.b.to_numpy())] += pairs.score.to_numpy()
-    score[names_a[:, None] == names_b[None, :]] = 0.0
-    best = score.argmax(axis=1)             # first maximum = smallest partner id
-    found = pd.DataFrame({"a": names_a, "b": names_b[best], "score": score[np.arange(len(names_a)), best]})
-    return found[found.score > 0]
-
-
-def _product(lefts: pd.DataFrame, rights: pd.DataFrame, width: int = 1024) -> np.ndarray:
-    """Left weights times right weights, summed over baskets a slice at a time."""
-    sides = [_entries(lefts), _entries(rights)]
-    ids = np.unique(np.concatenate([s[1] for s in sides]))
-    total = np.zeros((len(lefts), len(rights)))
-    for start in range(0, len(ids), width):
-        part = ids[start:start + width]
-        slices = []
-        for frame, (rows, bids, weights) in zip((lefts, rights), sides):
-            lo, hi = np.searchsorted(bids, part[0], "left"), np.searchsorted(bids, part[-1], "right")
-            dense = np.zeros((len(frame), len(part)))
-            dense[rows[lo:hi], np.searchsorted(part, bids[lo:hi])] = weights[lo:hi]
-            slices.append(dense)
-        total += slices[0] @ slices[1].T
-    return total
-
-
-def _entries(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, basket id, weight) of all vector entries, by basket id."""
-    rows = np.repeat(np.arange(len(side)), side.bids.map(len))
-    bids = np.concatenate(side.bids.to_list())
-    weights = np.concatenate(side.w.to_list())
-    order = np.argsort(bids, kind="stable")
-    return rows[order], bids[order], weights[order]

@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cartwheel.functions.joins import salted_join
+from cartwheel.functions.joins import skew_join
 from cartwheel.functions.ranks import hash_rank, sorted_rank
 
 
@@ -66,8 +66,7 @@ def label_encode(frame: DataFrame, columns: Sequence[str], codes: DataFrame | No
         side = codes.filter(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("code").alias("_code"))
         valued = frame.withColumn("_value", F.coalesce(F.col(c).cast("string"), F.lit("")))
-        spread = [other for other in names if other != c]
-        frame = (salted_join(valued, side, ["_value"], spread).drop("_value", c)
+        frame = (skew_join(valued, side, ["_value"]).drop("_value", c)
                  .withColumnRenamed("_code", c))
     return frame.select(*names)
 
@@ -99,15 +98,15 @@ def denormalise(transactions: DataFrame, customers: DataFrame, articles: DataFra
                 article_cols: Sequence[str] | None = None) -> DataFrame:
     """Transactions with customer and article columns; unmatched keys keep nulls.
 
-    Either key may be hot, so both joins are salted. A dimension that is small
+    Either key may be hot, so both joins may split it. A dimension that is small
     by the size Spark knows is broadcast and no rows move.
     """
     if customer_cols is not None:
         customers = customers.select("customer_id", *customer_cols)
     if article_cols is not None:
         articles = articles.select("article_id", *article_cols)
-    wide = salted_join(transactions, customers, ["customer_id"], ["article_id", "t_dat"])
-    return salted_join(wide, articles, ["article_id"], ["customer_id", "t_dat"])
+    wide = skew_join(transactions, customers, ["customer_id"])
+    return skew_join(wide, articles, ["article_id"])
 
 
 # ---- row filters ----------------------------------------------------------------------
@@ -117,9 +116,8 @@ def recent_facts(transactions: DataFrame, after: str) -> DataFrame:
 
 
 def members(frame: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs in ``ids``; salted, since facts may sit on one key."""
-    spread = [c for c in frame.columns if c != key]
-    return salted_join(frame, ids.select(key).distinct(), [key], spread, "left_semi")
+    """Rows whose key occurs in ``ids``; facts may sit on one key."""
+    return skew_join(frame, ids.select(key).distinct(), [key], "left_semi")
 
 
 def non_members(frame: DataFrame, ids: DataFrame, key: str) -> DataFrame:

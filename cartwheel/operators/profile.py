@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cartwheel.functions.joins import salted_join
+from cartwheel.functions.joins import skew_join
 from cartwheel.functions.ranks import best_row
 
 
@@ -42,10 +42,10 @@ def mode(frame: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     return best_row(counts, keys, [-F.col("cnt"), F.col(column)], [column]).withColumnRenamed(column, "mode")
 
 
-def rate_to_mode(frame: DataFrame, column: str, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
+def rate_to_mode(frame: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """Each row's value relative to the mode of its group (prices against the usual price)."""
     modes = mode(frame, column, keys)
-    return (salted_join(frame, modes, keys, spread)
+    return (skew_join(frame, modes, keys)
             .withColumn(f"{column}_rate", F.try_divide(F.col(column), F.col("mode"))))
 
 

@@ -76,7 +76,7 @@ add("group_frequent_news", lambda v: _grouped(v, "fashion_news_frequency"),
     sql(as_rank(_group_sql("news", "fashion_news_frequency"), "customer_id, article_id, cnt"), "tx", "cust10"))
 
 add("bought_same_day", lambda v: B.bought_same_day(v.history()), sql(Q.SAME_DAY.format(rel="hist"), "hist"))
-add("bought_same_day_big_baskets", lambda v: B.bought_same_day(v.history(), big_basket=4, block_items=256),
+add("bought_same_day_big_baskets", lambda v: B.bought_same_day(v.history(), part_items=4),
     sql(Q.SAME_DAY.format(rel="hist"), "hist"))
 add("bought_by_same_customer", lambda v: B.bought_by_same_customer(v.history(), "1w"),
     sql(Q.SAME_CUSTOMER.format(rel="hist", where=since("1w", "hist")), "hist"))

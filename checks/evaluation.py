@@ -197,7 +197,7 @@ add("article_column_profile", lambda v: R.column_profile(v.articles, ["article_i
 add("price_mode", lambda v: R.mode(v.transactions, "price", ["article_id"]),
     sql("""SELECT article_id, price AS mode FROM tx GROUP BY 1, 2
         QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY count(*) DESC, price) = 1""", "tx"))
-add("price_rate_to_mode", lambda v: R.rate_to_mode(v.transactions.select("article_id", "customer_id", "t_dat", "price"), "price", ["article_id"], ["customer_id", "t_dat"]),
+add("price_rate_to_mode", lambda v: R.rate_to_mode(v.transactions.select("article_id", "customer_id", "t_dat", "price"), "price", ["article_id"]),
     sql("""SELECT article_id, customer_id, t_dat, price, mode, price / mode AS price_rate FROM tx JOIN (
         SELECT article_id, price AS mode FROM tx GROUP BY 1, 2
         QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY count(*) DESC, price) = 1) USING (article_id)""", "tx"))

@@ -60,7 +60,7 @@ add("ranking_group_sizes", lambda v: L.group_sizes(labelled(v)),
 add("folds", lambda v: L.assign_folds(v.articles.select("article_id"), "article_id"),
     sql("SELECT article_id, CAST(('0x' || substr(md5('42|' || article_id), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM art", "art"))
 add("truth_lists", lambda v: L.truth_lists(v.target()),
-    sql("SELECT customer_id, 0 AS part, list(article_id ORDER BY article_id) AS article_ids FROM truth GROUP BY 1", "truth"))
+    sql("SELECT customer_id, list(article_id ORDER BY article_id) AS article_ids FROM truth GROUP BY 1", "truth"))
 add("truth_pairs_all_history", lambda v: L.truth_pairs(v.transactions),
     sql("SELECT DISTINCT customer_id, article_id FROM tx", "tx"))
 

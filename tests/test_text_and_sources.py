@@ -2,8 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cartwheel.functions.joins import salted_join
+from cartwheel.functions.joins import skew_join
 from cartwheel.operators import models as M, profile as R, text as T
 from cartwheel.sources import files as S, schemas
 
@@ -55,11 +56,30 @@ def test_month_filter_prunes_partitions(spark, tmp_path, facts, rows):
     assert "PartitionFilters: [isnotnull(month" in recent._jdf.queryExecution().executedPlan().toString()
 
 
-def test_salted_join_equals_plain_join(spark, rows):
+def test_skew_join_equals_plain_join(spark, rows):
     big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)], "k string, v int")
     small = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3)], "k string, w int")
     for how in ("left", "inner", "left_semi"):
-        assert rows(salted_join(big, small, ["k"], ["v"], how, salts=5)) == rows(big.join(small, "k", how))
+        assert rows(skew_join(big, small, ["k"], how)) == rows(big.join(small, "k", how))
+
+
+def test_a_hot_key_is_split_and_nothing_is_repeated(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        big = spark.range(20000).repartition(16).select(F.when(F.col("id") % 3 > 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+        small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        joined = skew_join(big, small, ["k"], "inner")
+        assert joined.agg(F.count(F.lit(1))).first()[0] == 20000 and joined.count() == 20000
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "skewed=true" in plan.replace("skew=true", "skewed=true") and "Generate" not in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_profile(spark, rows):
