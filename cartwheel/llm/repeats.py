@@ -298,8 +298,8 @@ def _indexed(segments: DataFrame, length: int) -> DataFrame:
 
 def _counted(strings: DataFrame) -> DataFrame:
     """RUNS of the repeated starts among strings (anchor, segment, off, h1, h2, n), by their hashes."""
-    same = cut(strings.groupBy("anchor", "off", "h1", "h2").agg(F.sum("n").alias("_n")).filter(F.col("_n") > 1).drop("_n"))
-    hits = strings.join(same, ["anchor", "off", "h1", "h2"], "left_semi")
+    same = cut(strings.groupBy("anchor", "h1", "h2").agg(F.sum("n").alias("_n")).filter(F.col("_n") > 1).drop("_n"))
+    hits = strings.join(same, ["anchor", "h1", "h2"], "left_semi")
     return hits.select("anchor", "segment", F.col("off").alias("low"), F.col("off").alias("high"))
 
 
