@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.recommendation import ALS
@@ -27,20 +27,30 @@ def split_types(frame: DataFrame, features: Sequence[str]) -> tuple[list[str], l
     return [c for c in features if c not in category], category
 
 
-def assembler(frame: DataFrame, features: Sequence[str]) -> list:
-    """Pipeline stages from raw columns to one vector.
+def assembler(frame: DataFrame, features: Sequence[str]) -> tuple[list, int]:
+    """Pipeline stages from raw columns to one vector, and the bins the trees need.
 
-    Text categories become indexed nominal features: the indexer's metadata
-    tells the trees to split them as categories.
+    Text categories become indexed nominal features: the fitted indexer's
+    metadata tells the trees to split them as categories, and its labels how
+    many bins that takes. A category with more values than ``frame`` has rows
+    cannot be split that way; its index enters as a number.
     """
     numeric, category = split_types(frame, features)
-    stages = []
+    stages, inputs, bins = [], list(numeric), 32
     if category:
-        stages.append(StringIndexer(inputCols=category, outputCols=[f"{c}__idx" for c in category],
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
-    inputs = numeric + [f"{c}__idx" for c in category]
+        indexer = StringIndexer(inputCols=category, outputCols=[f"{c}__idx" for c in category],
+                                handleInvalid="keep", stringOrderType="alphabetAsc").fit(frame)
+        sizes = dict(zip(category, [len(labels) + 1 for labels in indexer.labelsArray]))
+        rows = frame.count()
+        wide = [c for c in category if sizes[c] > rows]
+        stages.append(indexer)
+        if wide:
+            sums = ", ".join(f"`{c}__idx` + 0 AS `{c}__num__idx`" for c in wide)
+            stages.append(SQLTransformer(statement=f"SELECT *, {sums} FROM __THIS__"))
+        inputs += [f"{c}__num__idx" if c in wide else f"{c}__idx" for c in category]
+        bins = max([bins, *(sizes[c] for c in category if c not in wide)])
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
-    return stages
+    return stages, bins
 
 
 def fill_missing(frame: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -51,14 +61,6 @@ def fill_missing(frame: DataFrame, features: Sequence[str]) -> DataFrame:
         | {c: F.coalesce(F.col(c), F.lit("")) for c in category})
 
 
-def _max_bins(frame: DataFrame, category: Sequence[str], floor: int = 32) -> int:
-    """Trees need as many bins as the largest category has values (plus the unseen one)."""
-    if not category:
-        return floor
-    row = frame.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in category]).first()
-    return max(floor, int(max(row) * 1.1) + 3)
-
-
 def fit_buy_model(train: DataFrame, valid: DataFrame | None = None, features: Sequence[str] | None = None,
                   seed: int = 0, **params) -> PipelineModel:
     """Boosted trees on ``buy`` with logistic loss; stops early when ``valid`` stops improving."""
@@ -70,11 +72,11 @@ def fit_buy_model(train: DataFrame, valid: DataFrame | None = None, features: Se
     both = cut(both.select(*features, F.col("buy").cast("double").alias("label"), "is_valid"))
     options = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "featureSubsetStrategy": "0.7",
                "subsamplingRate": 0.72, "minInstancesPerNode": 10} | params
-    trees = GBTClassifier(featuresCol="features", labelCol="label", seed=seed,
-                          maxBins=_max_bins(both, split_types(both, features)[1]), **options)
+    stages, bins = assembler(both, features)
+    trees = GBTClassifier(featuresCol="features", labelCol="label", seed=seed, maxBins=bins, **options)
     if valid is not None:
         trees = trees.setValidationIndicatorCol("is_valid")
-    return Pipeline(stages=[*assembler(both, features), trees]).fit(both)
+    return Pipeline(stages=[*stages, trees]).fit(both)
 
 
 def score(model: PipelineModel, frame: DataFrame, features: Sequence[str],
@@ -165,11 +167,11 @@ def forecast_sales(train: DataFrame, unseen: DataFrame, features: Sequence[str],
     train = cut(fill_missing(train, features).select(*keep, *features, "fold", F.col(label).cast("double").alias("label")))
     unseen = cut(fill_missing(unseen, features).select(*keep, *features))
     options = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1} | params
-    bins = _max_bins(train.select(*features).unionByName(unseen.select(*features)), split_types(train, features)[1])
+    stages, bins = assembler(train.select(*features).unionByName(unseen.select(*features)), features)
     result = None
     for fold in range(folds):
         trees = GBTRegressor(featuresCol="features", labelCol="label", lossType=loss, maxBins=bins, seed=fold, **options)
-        model = Pipeline(stages=[*assembler(train, features), trees]).fit(train.filter(F.col("fold") != fold))
+        model = Pipeline(stages=[*stages, trees]).fit(train.filter(F.col("fold") != fold))
         mine = (model.transform(train.filter(F.col("fold") == fold))
                 .select(*keep, F.lit(fold).alias("fold"), F.col("prediction").alias("p")))
         new = model.transform(unseen).select(*keep, F.lit(None).cast("int").alias("fold"), F.col("prediction").alias("p"))

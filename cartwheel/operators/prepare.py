@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartwheel.functions.joins import skew_join
 from cartwheel.functions.ranks import hash_rank, sorted_rank
+from cartwheel.functions.stage import cut
+from cartwheel.sources.schemas import MODEL_CATEGORIES
 
 
 # ---- ids, values and bins -------------------------------------------------------------
@@ -60,7 +62,7 @@ def label_encode(frame: DataFrame, columns: Sequence[str], codes: DataFrame | No
 
     ``codes`` may come from another frame (fit once, use twice).
     """
-    codes = label_codes(frame, columns) if codes is None else codes
+    codes = cut(label_codes(frame, columns)) if codes is None else codes       # every column's join reads it
     names = frame.columns
     for c in columns:
         side = codes.filter(F.col("column") == c).select(
@@ -203,5 +205,11 @@ def iteration_id(frame: DataFrame, iteration: int) -> DataFrame:
     return frame.withColumn("customer_id", F.concat_ws("_", F.col("customer_id"), F.lit(str(iteration))))
 
 
-def feature_columns(frame: DataFrame, exclude: Sequence[str] = ("customer_id", "article_id", "buy")) -> list[str]:
-    return [c for c in frame.columns if c not in exclude]
+def feature_columns(frame: DataFrame, exclude: Sequence[str] = ("customer_id", "article_id", "buy"),
+                    categories: Sequence[str] = MODEL_CATEGORIES) -> list[str]:
+    """Numbers, dates excluded, and the text columns that are named as categories.
+
+    Other text (postal codes and the like) is close to an id; it can enter as its label code, a number.
+    """
+    kinds = dict(frame.dtypes)
+    return [c for c in frame.columns if c not in exclude and (c in categories or kinds[c] not in ("string", "date"))]

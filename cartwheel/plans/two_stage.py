@@ -22,7 +22,10 @@ class Tables(NamedTuple):
 
 def prepare(transactions: DataFrame, customers: DataFrame, articles: DataFrame, forecast: DataFrame) -> Tables:
     customers = P.normalise_value(customers, "fashion_news_frequency", "None", "NONE")
-    customers = cut(P.customer_segment(customers).drop("segment"))
+    customers = P.customer_segment(customers).drop("segment")
+    if "postal_code" in customers.columns:      # as many values as a dimension has rows: a number, numbered over many tasks
+        customers = P.label_encode(customers, ["postal_code"], cut(P.label_codes(customers, ["postal_code"], large=True)))
+    customers = cut(customers)
     return Tables(transactions, customers, articles, forecast)
 
 

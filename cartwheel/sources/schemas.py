@@ -19,6 +19,9 @@ CUSTOMER_CATEGORIES = [
     "FN", "Active", "club_member_status", "fashion_news_frequency", "age10", "customer_type",
 ]
 
+# text columns that models read as categories; other text is close to an id
+MODEL_CATEGORIES = [*ARTICLE_CATEGORIES, "club_member_status", "fashion_news_frequency"]
+
 TRANSACTIONS = T.StructType([
     T.StructField("t_dat", T.DateType()),
     T.StructField("customer_id", T.StringType()),

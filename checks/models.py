@@ -11,7 +11,7 @@ from checks.evaluation import EXPERIMENTS, VECTORS, oof, submissions
 from checks.views import CATEGORIES, FORECAST_AFTER, GROUPS, TRAIN_START, VALID_END, VALID_START, Views
 
 QUERIES, SQL = {}, {}
-SMALL = {"maxIter": 5, "maxDepth": 4}
+FORECAST_UNTIL = "1995-09-01"
 
 
 def add(name, fn):
@@ -43,20 +43,20 @@ def _two_frames(v):
 def buy_model_scores(v):
     """Two seeds with early stopping, averaged, best twelve kept."""
     train, valid, features = _two_frames(v)
-    models = M.fit_seeds(train, valid, features, 2, **SMALL)
+    models = M.fit_seeds(train, valid, features, 2)
     return E.best_by_score(M.score_mean(models, valid, features))
 
 
 def buy_model_map(v):
     train, valid, features = _two_frames(v)
-    _, _, report = T.train_and_validate(train, valid, L.truth_pairs(v.target()), features, 1, **SMALL)
+    _, _, report = T.train_and_validate(train, valid, L.truth_pairs(v.target()), features, 1)
     return report
 
 
 def bagged_model_scores(v):
     train, valid, features = _two_frames(v)
     bags = L.bagged_undersample(train, ["customer_id", "article_id", C.STRATEGY, C.RANK], 64.0, [0, 1])
-    models = M.fit_bags(bags, None, features, [0, 1], **SMALL)
+    models = M.fit_bags(bags, None, features, [0, 1])
     return M.score_mean(models, valid, features)
 
 
@@ -65,31 +65,31 @@ def warm_cold_scores(v):
     train = cut(frame(v, TRAIN_START, VALID_START, "2001-05-03"))
     valid = cut(frame(v, VALID_START, "2001-08-02", "2001-05-03"))
     features = P.feature_columns(train)
-    return M.score_warm_cold(M.fit_warm_cold(train, features, **SMALL), valid, features)
+    return M.score_warm_cold(M.fit_warm_cold(train, features), valid, features)
 
 
 def model_importance(v):
     train, _, features = _two_frames(v)
-    return M.importance(M.fit_seeds(train, None, features, 1, **SMALL))
+    return M.importance(M.fit_seeds(train, None, features, 1))
 
 
 def stored_model_scores(v):
     train, valid, features = _two_frames(v)
     path = v.scratch("model")
-    M.save_model(M.fit_buy_model(train, None, features, **SMALL), path)
+    M.save_model(M.fit_buy_model(train, None, features), path)
     return M.score_mean(M.load_models([path]), valid, features)
 
 
 def first_week_forecast(v):
-    """Forecast by folds; the catalogue is split at a date so that some articles are unseen."""
-    known = P.members(v.transactions, v.forecast, "article_id")
-    forecast, _ = forecast_plan.forecast_first_week(known, v.articles, FORECAST_AFTER, VALID_START, folds=3, maxIter=3)
+    """Forecast by folds from the facts up to a day: articles sold later are the unseen ones."""
+    history, _ = P.holdout(v.transactions, FORECAST_UNTIL)
+    forecast, _ = forecast_plan.forecast_first_week(history, v.articles, FORECAST_AFTER, FORECAST_UNTIL)
     return forecast
 
 
 def first_week_forecast_report(v):
-    known = P.members(v.transactions, v.forecast, "article_id")
-    _, report = forecast_plan.forecast_first_week(known, v.articles, FORECAST_AFTER, VALID_START, folds=3, loss="squared", maxIter=3)
+    history, _ = P.holdout(v.transactions, FORECAST_UNTIL)
+    _, report = forecast_plan.forecast_first_week(history, v.articles, FORECAST_AFTER, FORECAST_UNTIL, loss="squared")
     return report
 
 
@@ -101,15 +101,19 @@ def rolling_training_rows(v):
 
 
 def final_submission(v):
-    """Train on the last-but-one week, recommend to every customer from all transactions."""
+    """Train on rolling weeks of the 22 strategies, stop early on the last week, recommend to every customer."""
     tables = T.prepare(v.transactions, v.raw_customers, v.articles, v.forecast)
-    train, _, features = _two_frames(v)
-    models = M.fit_seeds(train, None, features, 1, **SMALL)
+    train = T.rolling_training(tables, P.rolling_splits(TRAIN_START, VALID_START, 2), ratio=8.0, groups=GROUPS)
+    valid = T.labelled_frame(tables, v.history(), v.target(), groups=GROUPS)
+    features = P.feature_columns(train)
+    models, _, _ = T.train_and_validate(train, valid, L.truth_pairs(v.target()), features)
     return T.recommend_all(tables, v.raw_customers, models, features, "1995-06-01", groups=GROUPS)
 
 
 def blended_submission(v):
-    _, result = blend_plan.choose_and_blend(oof(v), submissions(v), L.truth_pairs(v.target()), v.target(), VECTORS, "max")
+    """Weights chosen on the holdout; lists are filled with the most bought articles."""
+    popular = C.popular_article(v.history(), 12)
+    _, result = blend_plan.choose_and_blend(oof(v), submissions(v), L.truth_pairs(v.target()), v.target(), VECTORS, "max", fallback=popular)
     return result
 
 
