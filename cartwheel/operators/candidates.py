@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cartwheel.functions.dates import in_slice, in_window, slice_grid, trailing, window_slice, with_last_day
+from cartwheel.functions.dates import in_slice, in_window, last_day_value, slice_grid, trailing, window_slice, with_last_day
 from cartwheel.functions.joins import skew_join
 from cartwheel.functions.ranks import best_row, hash_rank, ordered_list, top_n
 from cartwheel.functions.stage import cut
@@ -305,18 +305,21 @@ def recommend(targets: DataFrame, history: DataFrame, customers: DataFrame, arti
     """All 22 strategies for the target customers, tagged and ranked.
 
     ``customers`` holds customer_id and customer_type, ``articles`` article_id,
-    department_name and perceived_colour_master_name. The facts are read three
-    times for all strategies and windows: window counts of the targets' pairs,
-    of articles, and of (segment, article); the first two are kept as tables.
+    department_name and perceived_colour_master_name. Without ``end`` a first
+    read finds the last day, which then is a literal everywhere. One more read
+    of the facts counts every pair in all windows; that table serves the
+    targets' pairs, the articles and the (segment, article) counts.
     ``partners`` (article_id, partner_id) adds the bought-together strategy.
     """
     ns = dict(DEFAULT_NS, **(ns or {}))
     targets = cut(targets.select("customer_id").distinct())
+    end = last_day_value(_known(history, *PAIR)) if end is None else end
     facts = with_last_day(_known(history, *PAIR).select(*PAIR, "t_dat"), end)
     conditions = {k: in_window(F.col("_end"), w) for k, w in WINDOW_KEYS.items()}
     names = list(conditions)
-    pairs = cut(windowed_counts(members(facts, targets, "customer_id"), PAIR, conditions))
-    article_counts = cut(windowed_counts(facts, ["article_id"], conditions))
+    all_pairs = cut(windowed_counts(facts, PAIR, conditions))
+    pairs = cut(members(all_pairs, targets, "customer_id"))
+    article_counts = cut(sum_windows(all_pairs, ["article_id"], names))
     parts = []
 
     def out(frame: DataFrame, family: str) -> None:
@@ -341,8 +344,8 @@ def recommend(targets: DataFrame, history: DataFrame, customers: DataFrame, arti
 
     # customer segment
     types = customers.select("customer_id", "customer_type").filter(F.col("customer_type").isNotNull())
-    typed = skew_join(facts, types, ["customer_id"], "inner")
-    segment_counts = windowed_counts(typed, ["customer_type", "article_id"], conditions)
+    typed = skew_join(all_pairs, types, ["customer_id"], "inner")
+    segment_counts = total(typed, ["customer_type", "article_id"])
     segment_lists = lists(long(segment_counts, ["customer_type", "article_id"]), ["customer_type", "win"], "ctf")
     active = long(total(pairs, ["customer_id"]), ["customer_id"]).drop("cnt").join(types, "customer_id")
     out(unfold(_spread_lists(active, segment_lists, ["customer_type", "win"])), "ctf")

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cartwheel.functions.dates import last_day, week_bucket, window_start, with_last_day
+from cartwheel.functions.dates import last_day, last_day_value, week_bucket, window_start, with_last_day
 from cartwheel.functions.joins import skew_join
 from cartwheel.functions.stage import cut
 from cartwheel.operators.prepare import members
@@ -325,13 +325,14 @@ def add_features(candidates: DataFrame, transactions: DataFrame, articles: DataF
     serves both pair features and attribute rates. Everything known about an article
     is put into one table first, likewise for a customer: the candidates, by
     far the longest frame, meet three keys once each. Popular articles are
-    candidates of every customer, hence the salt on the article key.
+    candidates of every customer, hence the skew join on the article key.
     """
     categories = [c for c in (categories or ARTICLE_CATEGORIES) if c in articles.columns]
-    end = last_day(transactions, end)
-    ends = bucket_ends(transactions, weeks, end)
-    mine = members(transactions, candidates, "customer_id")
-    aged = skew_join(transactions, customers.select("customer_id", "age"), ["customer_id"])
+    end = last_day(transactions, last_day_value(transactions) if end is None else end)
+    # one read of the facts and of their customers serves everything below
+    aged = cut(skew_join(transactions, customers.select("customer_id", "age"), ["customer_id"]))
+    ends = bucket_ends(aged, weeks, end)
+    mine = members(aged, candidates, "customer_id")
     grouped = skew_join(mine, articles.select("article_id", "index_group_name"), ["article_id"])
     totals = cut(pair_totals(mine))
     kinds = skew_join(totals.select(*PAIR, "count"), articles.select("article_id", *categories), ["article_id"])
