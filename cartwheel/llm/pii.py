@@ -13,6 +13,7 @@ takes become spans of kind ``secret``.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -92,9 +93,13 @@ def candidates(text: str, base: Sequence[tuple[int, int, int]]) -> list[tuple[in
     """Runs with a digit that touch no base span."""
     if not _DIGIT.search(text):
         return []
-    found = []
+    found, at = [], 0
+    taken = sorted((a, b) for a, b, _ in base)
+    reach = list(itertools.accumulate((b for _, b in taken), max))      # the furthest end so far
     for m in _RUN.finditer(text):
-        if _DIGIT.search(m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in base):
+        while at < len(taken) and taken[at][0] < m.end():
+            at += 1
+        if not (at and reach[at - 1] > m.start()) and _DIGIT.search(m[0]):
             found.append((m.start(), m.end()))
     return found
 
