@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -117,6 +117,25 @@ def strategy_report(tagged: DataFrame, truth: DataFrame, k: int = 12,
             .select(strategy, "map", "coverage"))
 
 
+def limit_grid(tagged: DataFrame, truth: DataFrame, grid: Sequence[Mapping[int, int]],
+               strategy: str = "1st_stage_strategy", rank: str = "1st_stage_rank") -> DataFrame:
+    """(grid_id, n_pairs, n_hits, recall) for each set of limits per strategy; strategies not named give nothing.
+
+    Every set is judged in one job over the same tagged candidates: a row is in
+    those sets whose limit for its strategy lies above its rank. For a pair the
+    sets of all its rows are merged before anything is counted.
+    """
+    limits = F.create_map(*[x for s in sorted({s for g in grid for s in g}) for x in (
+        F.lit(s), F.array(*[F.lit(g.get(s, 0)) for g in grid]))])
+    inside = F.filter(F.sequence(F.lit(0), F.lit(len(grid) - 1)),
+                      lambda i: F.coalesce(F.get(F.try_element_at(limits, F.col(strategy)), i), F.lit(0)) > F.col(rank))
+    pairs = truth.select(*PAIR).distinct().withColumn("_hit", F.lit(1))
+    total = pairs.agg(F.count(F.lit(1))).scalar()
+    found = (tagged.select(*PAIR, F.explode(inside).alias("grid_id")).distinct().join(pairs, PAIR, "left")
+             .groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count("_hit").alias("n_hits")))
+    return found.withColumn("recall", F.try_divide(F.col("n_hits"), total))
+
+
 def strategy_precision(tagged: DataFrame, target: DataFrame, k: int = 12, budget: int = 12,
                        strategy: str = "1st_stage_strategy", rank: str = "1st_stage_rank") -> DataFrame:
     """Precision of each strategy's first ``k`` per target customer, and the N it earns.

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cartwheel.functions.joins import skew_join
 from cartwheel.functions.ranks import top_n
@@ -149,6 +149,14 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def find_models(spark: SparkSession, folder: str, prefix: str = "") -> list[PipelineModel]:
+    """The models saved under ``folder`` whose names start with ``prefix``, by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [s.getPath().toString() for s in store.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith(prefix)]
+    return load_models(sorted(names))
+
+
 def load_models(paths: Sequence[str]) -> list[PipelineModel]:
     return [PipelineModel.load(p) for p in paths]
 

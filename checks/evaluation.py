@@ -88,6 +88,11 @@ add("coverage", lambda v: E.coverage(candidates(v), v.target()),
 add("candidate_recall", lambda v: E.candidate_recall(candidates(v), v.target()),
     sql("""SELECT count(*) AS n_true, count(c.article_id) AS n_hits, CAST(count(c.article_id) AS DOUBLE) / count(*) AS recall
         FROM truth t LEFT JOIN (SELECT DISTINCT customer_id, article_id FROM cand) c USING (customer_id, article_id)""", "hist", "targ", "truth", cand=CAND))
+GRID = [{s: (3 + 5 * g + s) % 12 + 1 for s in range(8) if (s + g) % 5} for g in range(6)]
+add("limit_grid", lambda v: E.limit_grid(candidates(v), v.target(), GRID),
+    sql("""SELECT grid_id, count(*) AS n_pairs, count(t.customer_id) AS n_hits, CAST(count(t.customer_id) AS DOUBLE) / (SELECT count(*) FROM truth) AS recall
+        FROM (SELECT DISTINCT customer_id, article_id, grid_id FROM cand JOIN grid USING (s) WHERE n > r) c LEFT JOIN truth t USING (customer_id, article_id) GROUP BY 1""",
+        "hist", "targ", "truth", cand=CAND, grid="SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INTEGER), {s}, {n})" for i, g in enumerate(GRID) for s, n in g.items()) + ") AS t(grid_id, s, n)"))
 _UPPER = """SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY buy DESC, article_id) AS rank
     FROM (SELECT customer_id, article_id, max(buy) AS buy FROM lab GROUP BY 1, 2) QUALIFY rank <= 12"""
 add("upper_bound_map", lambda v: rounded(E.upper_bound_map(labelled(v), v.target()), "map"),

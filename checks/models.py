@@ -75,9 +75,10 @@ def model_importance(v):
 
 def stored_model_scores(v):
     train, valid, features = _two_frames(v)
-    path = v.scratch("model")
-    M.save_model(M.fit_buy_model(train, None, features), path)
-    return M.score_mean(M.load_models([path]), valid, features)
+    folder = v.scratch("models")
+    for seed in (0, 1):
+        M.save_model(M.fit_buy_model(train, None, features, seed), f"{folder}/buy-{seed}")
+    return M.score_mean(M.find_models(v.spark, folder, "buy-"), valid, features)
 
 
 def first_week_forecast(v):
