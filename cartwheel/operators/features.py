@@ -19,6 +19,9 @@ from cartwheel.sources.schemas import ARTICLE_CATEGORIES, CUSTOMER_CATEGORIES
 
 PAIR = ["customer_id", "article_id"]
 
+# the optional blocks of the assembly
+EXTRAS = ("channels", "trailing", "repeats", "buyer_rates", "candidate_age")
+
 # fixed values: index groups whose purchase shares are customer features
 INDEX_GROUPS = ["Ladieswear", "Divided", "Menswear", "Sport", "Baby/Children"]
 
@@ -168,14 +171,14 @@ def customer_weekly(history: DataFrame, weeks: int = 2, groups: Sequence[str] =
 
 
 def customer_statistics(history: DataFrame, weeks: int = 2, groups: Sequence[str] = INDEX_GROUPS,
-                        end: Column | str | None = None, ends: Column | None = None) -> DataFrame:
+                        end: Column | str | None = None, ends: Column | None = None, channels: bool = False) -> DataFrame:
     """Lifetime and weekly statistics from one aggregation over the facts.
 
     ``end`` and ``ends`` belong to the whole history; give them when
     ``history`` holds only some customers.
     """
     rows = _weekly_rows(history.filter(F.col("customer_id").isNotNull()), weeks, end, ends)
-    return rows.groupBy("customer_id").agg(*_customer_stats(None, F.col("_end"), "", groups, False),
+    return rows.groupBy("customer_id").agg(*_customer_stats(None, F.col("_end"), "", groups, channels),
                                            *_weekly_customer_stats(weeks, groups))
 
 
@@ -316,9 +319,16 @@ def first_week_sales(history: DataFrame, first_after: str, days: int = 7) -> Dat
 def add_features(candidates: DataFrame, transactions: DataFrame, articles: DataFrame, customers: DataFrame,
                  forecast: DataFrame, text_vectors: DataFrame | None = None, weeks: int = 2,
                  groups: Sequence[str] = INDEX_GROUPS, categories: Sequence[str] | None = None,
-                 end: Column | str | None = None) -> DataFrame:
+                 end: Column | str | None = None, extras: Sequence[str] = ()) -> DataFrame:
     """Join all features onto candidates.
 
+    ``extras`` names optional blocks, all from the same one read of the facts:
+    "channels" (statistics and shares by sales channel), "trailing" (pair counts
+    of the last week, month and year), "repeats" (repeat rates of customers and
+    articles), "buyer_rates" (shares of an article's buyers by customer
+    attribute, for the candidates' articles) and "candidate_age" (mean and
+    median age of a customer's candidates).
+
     ``transactions`` are the plain facts of the history; each aggregate joins
     only the customer or article columns it reads. Customer and pair features
     are computed for candidate customers only, and one table of pair totals
@@ -333,6 +343,8 @@ def add_features(candidates: DataFrame, transactions: DataFrame, articles: DataF
     aged = cut(skew_join(transactions, customers.select("customer_id", "age"), ["customer_id"]))
     ends = bucket_ends(aged, weeks, end)
     mine = members(aged, candidates, "customer_id")
+    if unknown := set(extras) - set(EXTRAS):
+        raise ValueError(f"unknown feature blocks: {sorted(unknown)}")
     grouped = skew_join(mine, articles.select("article_id", "index_group_name"), ["article_id"])
     totals = cut(pair_totals(mine))
     kinds = skew_join(totals.select(*PAIR, "count"), articles.select("article_id", *categories), ["article_id"])
@@ -342,13 +354,29 @@ def add_features(candidates: DataFrame, transactions: DataFrame, articles: DataF
                   .join(new_article_features(forecast), "article_id", "left"))
     if text_vectors is not None:
         by_article = by_article.join(text_vectors, "article_id", "left")
+    buyers = [c for c in CUSTOMER_CATEGORIES if c in customers.columns]
+    if "channels" in extras:
+        by_article = by_article.join(article_by_channel(aged, end), "article_id", "left")
+    if "repeats" in extras:
+        by_article = by_article.join(repeat_rate(aged, "article_id"), "article_id", "left")
+    if "buyer_rates" in extras:
+        wanted = members(aged.select(*PAIR), candidates, "article_id")
+        described = skew_join(wanted, customers.select("customer_id", *buyers), ["customer_id"])
+        by_article = by_article.join(_rate_maps(described, "article_id", buyers).withColumnsRenamed({f"_rate_{c}": f"_buyers_{c}" for c in buyers}), "article_id", "left")
     by_customer = (customer_attributes(customers)
-                   .join(customer_statistics(grouped, weeks, groups, end, ends), "customer_id", "left")
+                   .join(customer_statistics(grouped, weeks, groups, end, ends, "channels" in extras), "customer_id", "left")
                    .join(_rate_maps(kinds, "customer_id", categories, "count"), "customer_id", "left"))
+    if "repeats" in extras:
+        by_customer = by_customer.join(repeat_rate(mine, "customer_id"), "customer_id", "left")
     bought = totals.withColumn("_end", end).select(
         *PAIR, "count", F.datediff("_end", "_first").alias("1st_buy_date_diff"),
         F.datediff("_end", "_last").alias("latest_buy_date_diff"))
     wide = candidates.join(bought, PAIR, "left")
     wide = skew_join(wide, by_article, ["article_id"])
     wide = wide.join(by_customer, "customer_id", "left")
-    return _look_up(wide, categories, "_customer_buy_rate")
+    wide = _look_up(wide, categories, "_customer_buy_rate")
+    if "trailing" in extras:
+        wide = wide.join(pair_trailing_counts(candidates.select(*PAIR).distinct(), mine), PAIR, "left")
+    if "buyer_rates" in extras:
+        wide = _look_up(wide.withColumnsRenamed({f"_buyers_{c}": f"_rate_{c}" for c in buyers}), buyers, "_article_buy_rate")
+    return candidate_age_of_articles(wide) if "candidate_age" in extras else wide

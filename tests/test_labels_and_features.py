@@ -119,3 +119,27 @@ def test_assembled_rows_are_the_candidates(history, facts, spark):
     assert got[("1", "b")]["count"] == 2 and got[("1", "b")]["new_article"] == 1
     assert got[("9", "a")]["customer_total_cnt"] is None and got[("9", "a")]["article_total_cnt"] == 3
     assert got[("1", "a")]["index_group_name_customer_buy_rate"] == pytest.approx(1 / 3)
+
+
+def test_optional_blocks_equal_the_single_features(history, facts, spark, rows):
+    tx = history.select("t_dat", "customer_id", "article_id", "price", "sales_channel_id")
+    articles = history.select("article_id", "index_group_name").distinct()
+    people = history.select("customer_id", "age").distinct().withColumn("FN", F.when(F.col("customer_id") == "1", 1.0))
+    forecast = spark.createDataFrame([], "article_id string, `1st_week_sales_dat` date, `1st_week_sales_pred` double")
+    wanted = pairs(spark, ("1", "a"), ("1", "b"), ("2", "a"), ("9", "a"))
+    plain = X.add_features(wanted, tx, articles, people, forecast)
+    full = X.add_features(wanted, tx, articles, people, forecast, extras=X.EXTRAS)
+    assert rows(full, *plain.columns) == rows(plain)
+    aged = tx.join(people.select("customer_id", "age"), "customer_id", "left")
+    singles = wanted
+    for part, key in ((X.article_by_channel(aged), "article_id"), (X.repeat_rate(tx, "article_id"), "article_id"), (X.repeat_rate(tx, "customer_id"), "customer_id"),
+                      (X.customer_lifetime(history, X.INDEX_GROUPS, True).select("customer_id", "shop", "online"), "customer_id"),
+                      (X.pair_trailing_counts(wanted, tx), ["customer_id", "article_id"])):
+        singles = singles.join(part, key, "left")
+    singles = X.add_same_customer_type_rates(singles.join(people, "customer_id", "left"), tx.join(people, "customer_id", "left"), ["FN"])
+    ages = X.candidate_age_of_articles(plain).select("customer_id", "article_id", "customer_article_total_1st_buy_mean", "customer_article_total_1st_buy_median")
+    singles = singles.drop("age", "FN").join(ages, ["customer_id", "article_id"])
+    assert set(full.columns) == set(plain.columns) | set(singles.columns)
+    assert rows(full, *singles.columns) == rows(singles)
+    with pytest.raises(ValueError):
+        X.add_features(wanted, tx, articles, people, forecast, extras=["other"])
