@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cartwheel.functions.stage import cut
 from cartwheel.operators import candidates as C, evaluate as E, features as X, labels as L, models as M, prepare as P
 from cartwheel.plans import blend as blend_plan, forecast as forecast_plan, two_stage as T
+from checks import candidate_sql as Q
 from checks.evaluation import EXPERIMENTS, VECTORS, oof, submissions
-from checks.views import CATEGORIES, FORECAST_AFTER, GROUPS, TRAIN_START, VALID_END, VALID_START, Views
+from checks.features import LABELLED, _sampled
+from checks.views import CATEGORIES, FORECAST_AFTER, GROUPS, TRAIN_START, VALID_END, VALID_START, Views, sql
 
 QUERIES, SQL = {}, {}
 FORECAST_UNTIL = "1995-09-01"
@@ -101,6 +105,27 @@ def rolling_training_rows(v):
     return rows.groupBy("buy").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("customer_id").alias("n_groups"))
 
 
+def _rolling_sql():
+    """The relations of every week under names of their own, and the rows drawn from each."""
+    ctes, drawn = {}, []
+    for split in P.rolling_splits(TRAIN_START, VALID_START, 2):
+        i = split.iter
+        own = lambda text: re.sub(r"\b(hist_wide|hist|targ|truth|fc|cand|base|pairs|lab)\b", rf"\1_{i}", text)
+        period = f"t_dat >= DATE '{split.hist_end}' AND t_dat < DATE '{split.target_end}'"
+        ctes |= {
+            f"hist_{i}": f"SELECT * FROM tx WHERE t_dat < DATE '{split.hist_end}'",
+            f"hist_wide_{i}": f"SELECT * FROM wide WHERE t_dat < DATE '{split.hist_end}'",
+            f"targ_{i}": f"SELECT * FROM tx WHERE {period}",
+            f"truth_{i}": f"SELECT DISTINCT customer_id, article_id FROM tx WHERE {period}",
+            f"fc_{i}": f"""SELECT * FROM fc WHERE "1st_week_sales_dat" BETWEEN (SELECT min(t_dat) FROM tx WHERE {period}) AND (SELECT max(t_dat) FROM tx WHERE {period})""",
+            f"base_{i}": own(Q.tagged(C.DEFAULT_NS)), f"pairs_{i}": own(Q.SAME_DAY.format(rel="hist")),
+            f"cand_{i}": f"SELECT * FROM base_{i} UNION ALL " + own(Q.expanded("base", "pairs", False)),
+            f"lab_{i}": own(LABELLED)}
+        drawn.append(f"SELECT buy, customer_id || '_{i}' AS customer_id FROM ({own(_sampled(8))})")
+    return sql(f"SELECT buy, count(*) AS n, count(DISTINCT customer_id) AS n_groups FROM ({' UNION ALL '.join(drawn)}) GROUP BY buy",
+               "tx", "wide", "fc", **ctes)
+
+
 def final_submission(v):
     """Train on rolling weeks of the 22 strategies, stop early on the last week, recommend to every customer."""
     tables = T.prepare(v.transactions, v.raw_customers, v.articles, v.forecast)
@@ -121,3 +146,4 @@ def blended_submission(v):
 for _fn in (buy_model_scores, buy_model_map, bagged_model_scores, warm_cold_scores, model_importance, stored_model_scores,
             first_week_forecast, first_week_forecast_report, rolling_training_rows, final_submission, blended_submission):
     add(_fn.__name__, _fn)
+SQL["rolling_training_rows"] = _rolling_sql()
