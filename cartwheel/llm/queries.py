@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartwheel.functions.stage import stage_path
 from cartwheel.llm import bpe, mixing, pii, quality, repeats, simhash, token_counts, token_files, toxicity, vectors
 from cartwheel.llm.common import table
+from cartwheel.llm.sql import SQL  # noqa: F401  (registered beside the queries)
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,4 +58,3 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_byte_bpe, op3_mixed_sources, op4_long_repeats, op5_token_files, op6_simhash_near_copies, op7_quality_rules,
     op8_near_vectors, op9_toxicity, op10_personal_data)}
-SQL: dict[str, str] = {}
