@@ -200,7 +200,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     more; equal vectors always do. Null, empty and zero vectors, such with null
     or non-finite components, and such of another length than most in the
     sample link with nothing. A pair counts if either side comes upon the
-    other. The index is fitted on ``sample_rows`` distinct vectors chosen by a
+    other. The index is fitted on about ``sample_rows`` distinct vectors chosen by a
     hash; all are indexed and searched. Null ids stay null and are never the
     smallest; repeated rows are copies. Extra columns are ignored; an empty
     table gives an empty table.
@@ -218,7 +218,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
         return ids.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dims = top["d"]
     fitting = classes.filter(F.size("vector") == dims)
-    sample = fitting.orderBy("digest").limit(sample_rows).select("vector").toArrow()
+    share = min(1.0, sample_rows / top["k"])
+    chosen = F.pmod(F.xxhash64("digest"), F.lit(1 << 31)) < F.lit(int(share * (1 << 31)) + 1)
+    sample = fitting.filter(chosen).limit(2 * sample_rows).select("digest", "vector").toArrow().sort_by("digest")
     index = fit(_matrix(sample.column("vector").combine_chunks(), dims), top["k"], threshold, recall)
     found = cut(links(fitting, dims, index, threshold))
     degree = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("_others"))
