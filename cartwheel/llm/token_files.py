@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cartwheel.functions.stage import cut
+from cartwheel.functions.stage import stage_path
 from cartwheel.llm.common import chunks
 from cartwheel.llm.wordmemo import library_codes
 
@@ -101,7 +101,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     vocabulary = max([end_id, *Tokenizer.from_file(tokenizer_path).get_vocab().values()]) + 1
     kind = id_type(vocabulary)
-    encoded = cut(encode_ids(docs, tokenizer_path, end_id))
+    staged = stage_path(spark, "ids")
+    encoded = encode_ids(docs, tokenizer_path, end_id)
+    encoded.write.option("compression", "zstd").parquet(staged)
+    encoded = spark.read.schema(encoded.schema).parquet(staged)
     order = Window.orderBy(F.col("n").desc(), "id")             # at most one row per id of the vocabulary
     codes = frequencies(encoded, vocabulary).select((F.row_number().over(order) - 1).alias("code"), "id")
     codes.write.parquet(f"{folder}/codes")
@@ -121,8 +124,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                     ["doc_id", "n", "control", "data"])
 
     doc_kind = encoded.schema["doc_id"].dataType.simpleString()
-    small = encoded.mapInArrow(recode, f"doc_id {doc_kind}, n bigint, control binary, data binary")
-    ranged = small.repartitionByRange("doc_id", F.xxhash64("data")).sortWithinPartitions("doc_id", "data")
+    # ranges are found on the stored ids, so that nothing is coded twice for the sake of their bounds
+    ranged = encoded.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
+    coded = ranged.mapInArrow(recode, f"doc_id {doc_kind}, n bigint, control binary, data binary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, size, first = TaskContext.get().partitionId(), 0, 0, 0
@@ -149,7 +153,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             yield row()
 
     schema = f"shard int, block int, first bigint, doc_ids array<{doc_kind}>, n_tokens array<bigint>, control binary, data binary"
-    ranged.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{folder}/tokens")
+    coded.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{folder}/tokens")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
