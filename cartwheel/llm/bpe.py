@@ -71,7 +71,7 @@ class PairTable:
 class BytePairs:
     """Encoder and decoder for a file of byte ranks and a pattern that splits text before merges."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 1_000_000):
+    def __init__(self, path: str, pattern: str, limit: int = 350_000):
         import regex
 
         with open(path, "rb") as file:
@@ -241,16 +241,23 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return kept.mapInArrow(decode, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids array<int>, data binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``decode_documents``."""
+def round_trip_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids (little-endian, 32 bits) and of the bytes they decode to.
+
+    The decoded bytes are digested where they arise, a few hundred documents at a time.
+    """
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = byte_pairs(path, pattern)
         for batch in batches:
-            ids = [s.values.to_numpy(zero_copy_only=False).astype("<u4") for s in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
-                 pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids]),
-                 pa.array([hashlib.sha256(d.as_py()).hexdigest() for d in batch.column("data")])],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ids = [s.values.to_numpy(zero_copy_only=False).astype("<u4") for s in part.column("ids")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
+                     pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
+                     pa.array([hashlib.sha256(encoder.decode(i)).hexdigest() for i in ids], pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kept = encoded.select("doc_id", "ids")
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    return kept.mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -18,7 +18,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode_documents(table(spark, folder, "documents"), path, pattern)
-    return bpe.digests(bpe.decode_documents(encoded, path, pattern))
+    return bpe.round_trip_digests(encoded, path, pattern)
 
 
 def op3_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:

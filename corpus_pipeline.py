@@ -48,7 +48,7 @@ def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the mix and check the way back: ids with digests of the ids and of the decoded bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode_documents(docs, path, pattern)
-    return bpe.digests(bpe.decode_documents(encoded, path, pattern))
+    return bpe.round_trip_digests(encoded, path, pattern)
 
 
 STAGES = [
