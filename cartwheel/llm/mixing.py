@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartwheel.functions.ranks import sorted_rank
-from cartwheel.functions.stage import cut
+from cartwheel.functions.stage import cut, stage_path
 from cartwheel.llm.common import WORD_PATTERN, whole_text
 
 BUCKETS = 4096
@@ -79,8 +79,13 @@ def mix(docs: DataFrame, seed: int = 7, weights: Sequence[int] = WEIGHTS, percen
     Null sources are one source, null texts have size 0, null ids are kept. Empty table: empty mix.
     """
     size = word_count() if size is None else size
-    rows = cut(docs.select("doc_id", "source", size.alias("size"), shuffle_key(seed, "doc_id").alias("_key"), *keep))
-    rows = rows.withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
+    stored = docs.select("doc_id", "source", size.alias("size"), shuffle_key(seed, "doc_id").alias("_key"), *keep,
+                         F.monotonically_increasing_id().alias("_row"))
+    path = stage_path(docs.sparkSession, "mix")
+    stored.write.option("compression", "zstd").parquet(path)
+    stored = docs.sparkSession.read.schema(stored.schema).parquet(path)
+    # columns that only pass through, such as texts, meet the mix at its end
+    rows = stored.drop(*keep).withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
     ranges = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_in"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
@@ -102,7 +107,10 @@ def mix(docs: DataFrame, seed: int = 7, weights: Sequence[int] = WEIGHTS, percen
     mixed = copies.select(
         "doc_id", "source", "size", "source_size", "target", F.col("_copy.pass").alias("pass"),
         ((F.col("_copy.at") + F.col("size")) / F.col("target")).alias("finish"),
-        F.coalesce(taken, F.lit(0)).cast("bigint").alias("words"), *keep)
+        F.coalesce(taken, F.lit(0)).cast("bigint").alias("words"), "_row")
+    if keep:
+        mixed = mixed.join(stored.select("_row", *keep), "_row")
+    mixed = mixed.drop("_row")
     return mixed.repartitionByRange(F.col("finish").asc_nulls_last(), "doc_id", "pass").sortWithinPartitions(F.col("finish").asc_nulls_last(), "doc_id", "pass")
 
 
