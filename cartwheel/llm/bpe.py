@@ -88,6 +88,10 @@ class BytePairs:
         self.pretokens = Memo(self._merge_all, limit)
         self.memo = Memo(self._pieces, limit)
 
+    def forget(self) -> None:
+        """Drop what was remembered: workers wait for the next task, perhaps of another kind, with little memory."""
+        self.pretokens.known, self.memo.known = {}, {}
+
     # ---- encoding ----------------------------------------------------------------------
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
@@ -222,6 +226,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+        encoder.forget()
 
     kept = docs.select("doc_id", "text")
     return kept.mapInArrow(encode, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids array<int>")
