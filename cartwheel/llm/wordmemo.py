@@ -28,12 +28,14 @@ def is_plain(text: str) -> bool:
 def pieces(text: str) -> list[str] | None:
     """Keys of the pieces of a plain text, else None. See ``raw`` for what a key stands for.
 
-    A stop before white space is a piece of its own, so that a word is one key
-    with and without it, and so is a line feed.
+    A stop between a visible character and white space is a piece of its own,
+    so that a word is one key with and without it, and so is a line feed. A stop
+    after a blank is one piece with that blank.
     """
     if not is_plain(text):
         return None
     spaced = text.replace(", ", " \t, ").replace(". ", " \t. ").replace(".\n", " \t.\n").replace(",\n", " \t,\n")
+    spaced = spaced.replace("  \t", " ")        # a plain text has no doubled blanks: these stops have a blank before them
     keys = spaced.replace("\n", " \n \t").split(" ")
     if keys[0]:
         keys[0] = "\t" + keys[0] if keys[0][0] != "\t" else keys[0]

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cartwheel.llm import bpe, mixing, token_counts, token_files
+from cartwheel.llm import bpe, mixing, token_counts, token_files, wordmemo
 
 random.seed(4)
 ODD = [None, "", " ", "a", "  a", "a  b", "a\n\nb", "x<|endoftext|>y", "<|startoftext|> hi", "Ünï cödé ×÷ µ", "a\tb\r\nc", "\nabc", "abc\n",
@@ -64,6 +64,23 @@ def test_byte_pairs_equal_the_library_and_come_back(docs):
             assert digest[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_spaced_stops_and_random_texts_equal_both_libraries():
+    rng = random.Random(21)
+    texts = ["foo , bar", "wait . . . what", " . . . ", "a .\nb", " , x", "\n, b", ". a", "a. , b", "a , . b", "a, . b.\n, c .", ".", " .\n", "one ,\n. two , 3 . 5 ."]
+    texts += ["".join(rng.choice(" \n.,ab") for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    texts += ["".join(rng.choice([" ", "\n", ".", ",", " .", " ,", "word", "é", "7", "'s", "!", "\""]) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library, own = Tokenizer.from_file(P.path(name)), wordmemo.LibraryCodes(P.path(name))
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert [t for t, a, b in zip(texts, own.encode(texts), want) if a != b] == []
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = [x.tolist() for x in bpe.BytePairs(path, P.PATTERN).encode(texts)]
+    assert [t for t, a in zip(texts, found) if a != library.encode_ordinary(t)] == []
+    assert sum(wordmemo.is_plain(t) for t in texts) > 1000
+
+
 def test_pair_table_finds_every_pair_and_no_other():
     rng = np.random.default_rng(1)
     pairs = np.unique(rng.integers(0, 2**40, 5000, dtype=np.uint64))
