@@ -24,6 +24,7 @@ from cartwheel.llm.common import chunks, held_out_column, whole_text
 
 _WORD = re.compile(r"[^\W\d_]+")
 WIDTHS = (1, 2, 3)
+BINS = 64
 
 
 class Network(NamedTuple):
@@ -151,14 +152,19 @@ def fit(texts: Sequence[np.ndarray], labels: np.ndarray, settings: Settings = Se
     return Network(embedding, filters, bias, out, float(out_bias))
 
 
+def marked_ids(labels: DataFrame) -> DataFrame:
+    """(_id, _toxic) of the labels that are not held out, each once."""
+    marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter(F.col("_toxic").isNotNull())
+    return marked.filter(~held_out_column("_id")).distinct()
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[list[np.ndarray], np.ndarray, list]:
     """Word rows, labels and languages of a bounded, repeatable sample of the rows that are not held out.
 
     Whole texts are used; ``sample_rows`` of each class are chosen by a hash, and
     of those as many as have ``sample_words`` words in all.
     """
-    marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter(F.col("_toxic").isNotNull())
-    marked = marked.filter(~held_out_column("_id")).distinct()
+    marked = marked_ids(labels)
     chosen = [marked.filter(F.col("_toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(settings.sample_rows) for kind in (0, 1)]
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", whole_text().alias("text"), lang.alias("lang"))
@@ -188,36 +194,70 @@ def hashed_words(rows: DataFrame, n_rows: int) -> DataFrame:
     return rows.mapInArrow(hash_all, f"_id {kind}, _toxic int, lang string, words binary")
 
 
-def thresholds(scores: np.ndarray, labels: np.ndarray, langs: Sequence, least: int = 20) -> dict:
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``_toxic``: all rows with a label that are not held out."""
+    return docs.join(marked_ids(labels), F.col("doc_id") == F.col("_id")).drop("_id")
+
+
+def score_counts(scored: DataFrame, labels: DataFrame, least: int = 20) -> list:
+    """(lang, bin, clean, toxic, low, high) of all labelled rows of (doc_id, lang, score) that are not held out, by bins of the score.
+
+    A bin is 1 / ``BINS`` of a unit of log odds, ``low`` and ``high`` are the
+    scores at its ends. Languages with fewer than ``least`` rows of either
+    class are counted under null, so the table is as long as the languages have bins.
+    """
+    odds = F.coalesce(F.ln("score") - F.ln(1 - F.col("score")), F.when(F.col("score") > 0.5, 40.0).otherwise(-40.0))
+    counted = labelled_rows(scored, labels).groupBy("lang", F.round(odds * BINS).cast("int").alias("bin")).agg(
+        F.count_if(F.col("_toxic") == 0).alias("clean"), F.count_if(F.col("_toxic") == 1).alias("toxic"),
+        F.min("score").alias("low"), F.max("score").alias("high"))
+    own = Window.partitionBy("lang")
+    enough = F.least(F.sum("clean").over(own), F.sum("toxic").over(own)) >= least
+    return (counted.withColumn("lang", F.when(enough, F.col("lang"))).groupBy("lang", "bin")
+            .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.min("low").alias("low"), F.max("high").alias("high")).collect())
+
+
+def thresholds(counts: Sequence) -> dict:
     """Per language the score that separates best (fewest wrong, the middle of the widest best gap); None: all languages.
 
-    Languages with fewer than ``least`` rows of either class take the overall threshold.
+    Languages that ``score_counts`` left under null take the overall threshold.
     """
-    def best(s: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(s, kind="stable")
-        s, y = s[order], y[order]
-        wrong = np.append(0, np.cumsum(y)) + (len(y) - y.sum() - np.append(0, np.cumsum(1 - y)))
-        cuts = np.concatenate([[0.0], (s[1:] + s[:-1]) / 2, [1.0]])
-        gaps = np.concatenate([[0.0], s[1:] - s[:-1], [0.0]])
-        low = np.flatnonzero(wrong == wrong.min())
-        return float(cuts[low[gaps[low].argmax()]])
-
-    found = {None: best(scores, labels) if len(set(labels.tolist())) == 2 else 0.5}
-    for lang in {x for x in langs if x is not None}:
-        own = np.array([x == lang for x in langs])
-        if min(labels[own].sum(), (1 - labels[own]).sum()) >= least:
-            found[lang] = best(scores[own], labels[own])
-    return found
-
-
-def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[Network, dict]:
-    """The network and its thresholds by language. Three quarters of the sample fit the first, the last quarter the second."""
-    texts, marks, langs = training_sample(docs, labels, settings)
+    def best(rows: Sequence) -> float:
+        clean, toxic = np.zeros(80 * BINS + 1, np.int64), np.zeros(80 * BINS + 1, np.int64)
+        low, high = np.full(80 * BINS + 1, 2.0), np.full(80 * BINS + 1, -1.0)
+        for r in rows:
+            at = r["bin"] + 40 * BINS
+            clean[at] += r["clean"]
+            toxic[at] += r["toxic"]
+            low[at], high[at] = min(low[at], r["low"]), max(high[at], r["high"])
+        if not clean.any() or not toxic.any():
+            return 0.5
+        used = high >= 0
+        clean, toxic, low, high = clean[used], toxic[used], low[used], high[used]
+        wrong = np.append(0, np.cumsum(toxic)) + (clean.sum() - np.append(0, np.cumsum(clean)))
+        cuts = np.concatenate([[0.0], (low[1:] + high[:-1]) / 2, [1.0]])
+        gaps = np.concatenate([[0.0], low[1:] - high[:-1], [0.0]])
+        least_wrong = np.flatnonzero(wrong == wrong.min())
+        return float(cuts[least_wrong[gaps[least_wrong].argmax()]])
+
+    langs = {r["lang"] for r in counts if r["lang"] is not None}
+    return {None: best(counts)} | {lang: best([r for r in counts if r["lang"] == lang]) for lang in langs}
+
+
+def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Network:
+    """The network, fitted on three quarters of the sample.
+
+    The sample has another share of toxic rows than the labels where its bounds
+    reach one class more than the other; the output bias is moved to the shares
+    of all labelled rows that are not held out.
+    """
+    texts, marks, _ = training_sample(docs, labels, settings)
     edge = max(1, len(texts) * 3 // 4)
     net = fit(texts[:edge], marks[:edge], settings)
-    held = range(edge, len(texts)) if len(texts) - edge >= 4 else range(len(texts))
-    scores = np.array([score_ids(net, texts[i]) for i in held])
-    return net, thresholds(scores, marks[list(held)], [langs[i] for i in held]) if len(scores) else {None: 0.5}
+    fitted = np.bincount(marks[:edge], minlength=2)
+    n = labelled_rows(docs.select("doc_id"), labels).agg(*[F.count_if(F.col("_toxic") == kind).alias(str(kind)) for kind in (0, 1)]).first()
+    if min(*fitted, *n) == 0:
+        return net
+    return net._replace(out_bias=net.out_bias + float(np.log(n[1] / n[0]) - np.log(fitted[1] / fitted[0])))
 
 
 def threshold_column(found: dict, lang: str = "lang") -> Column:
@@ -244,10 +284,17 @@ def score(docs: DataFrame, net: Network, rows: int = Settings().rows, keep: Sequ
     return chosen.mapInArrow(compute, f"{fields}, score double")
 
 
+def judge(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), keep: Sequence[str] = ("doc_id", "lang")) -> DataFrame:
+    """``keep`` columns, which include ``doc_id`` and ``lang``, with ``score`` and ``threshold``; every row is scored once."""
+    net = train(docs, labels, settings)
+    scored = cut(score(docs, net, settings.rows, keep))
+    found = thresholds(score_counts(scored.select("doc_id", "lang", "score"), labels))
+    return scored.withColumn("threshold", threshold_column(found))
+
+
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, held_out, score, predicted, threshold, rejected) for every row of ``docs``."""
-    net, found = train(docs, labels, settings)
     with_lang = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    scored = score(with_lang, net, settings.rows, ["doc_id", "lang"]).withColumn("threshold", threshold_column(found))
-    return scored.select("doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-                         "threshold", (F.col("score") >= F.col("threshold")).alias("rejected"))
+    return judge(with_lang, labels, settings).select(
+        "doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "threshold", (F.col("score") >= F.col("threshold")).alias("rejected"))

@@ -19,10 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose score reaches their language's threshold. The network learns from the stage's own input."""
-    settings = toxicity.Settings()
-    net, found = toxicity.train(docs, table(spark, sf_dir, "labels"), settings)
-    scored = toxicity.score(docs.select(*COLUMNS), net, settings.rows, [*COLUMNS])
-    return scored.filter(F.col("score") < toxicity.threshold_column(found)).select(*COLUMNS)
+    judged = toxicity.judge(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), keep=COLUMNS)
+    return judged.filter(F.col("score") < F.col("threshold")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,29 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.classify(docs, frame.select("doc_id", "toxic").limit(0)).count() == 66
 
 
+def test_thresholds_and_bias_follow_all_labels_whatever_the_sample(spark):
+    frame = labelled(spark, 1200).filter("toxic = 0 or doc_id % 2 = 0").cache()
+    docs, labels = frame.drop("toxic"), frame.select("doc_id", "toxic")
+    settings = toxicity.Settings(sample_rows=40)
+    rows = {r.doc_id: r for r in toxicity.classify(docs, labels, settings).collect()}
+    open_rows = [r for r in frame.collect() if not held_out(r.doc_id)]
+    net = toxicity.train(docs, labels, settings)
+    counts = toxicity.score_counts(toxicity.score(docs, net, settings.rows, ["doc_id", "lang"]), labels)
+    assert sum(r["clean"] for r in counts) == sum(r.toxic == 0 for r in open_rows) and sum(r["toxic"] for r in counts) == sum(r.toxic for r in open_rows)
+    found = toxicity.thresholds(counts)
+    assert set(found) == {None, "en", "de"} and all(rows[r.doc_id].threshold == found[r.lang] for r in open_rows)
+    for lang, value in found.items():           # no cut of all labelled rows has fewer wrong
+        own = [(rows[r.doc_id].score, r.toxic) for r in open_rows if lang is None or r.lang == lang]
+        wrong = lambda t: sum((s >= t) != y for s, y in own)
+        assert wrong(value) <= min(wrong(s) for s, _ in own) + 1
+    # a sample of half toxic rows is moved to the shares of the labels
+    texts, marks, _ = toxicity.training_sample(docs, labels, settings)
+    edge = len(texts) * 3 // 4
+    plain = toxicity.fit(texts[:edge], marks[:edge], settings)
+    share, fitted = np.mean([r.toxic for r in open_rows]), marks[:edge].mean()
+    assert abs(net.out_bias - plain.out_bias - np.log(share / (1 - share) / (fitted / (1 - fitted)))) < 1e-6 and share < 0.3 < fitted
+
+
 def test_blocks_of_a_long_text_change_nothing():
     rng = np.random.default_rng(0)
     net = toxicity.fit([rng.integers(1, 50, (30, 2)) for _ in range(20)], np.arange(20) % 2, toxicity.Settings(rows=64, epochs=2))
