@@ -38,7 +38,7 @@ class Network(NamedTuple):
 
 
 class Settings(NamedTuple):
-    """``sample_rows`` labelled rows of each class at most, and ``sample_words`` words of them in all, are fitted."""
+    """``sample_rows`` labelled rows of each class at most, and ``sample_words`` words of them in all, are fitted (see ``training_sample``)."""
 
     rows: int = 1 << 18
     dims: int = 8
@@ -161,8 +161,10 @@ def marked_ids(labels: DataFrame) -> DataFrame:
 def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[list[np.ndarray], np.ndarray, list]:
     """Word rows, labels and languages of a bounded, repeatable sample of the rows that are not held out.
 
-    Whole texts are used; ``sample_rows`` of each class are chosen by a hash, and
-    of those as many as have ``sample_words`` words in all.
+    Whole texts are used; ``sample_rows`` of each class are chosen by a hash. If
+    they have more than ``sample_words`` words in all, the longest are left out,
+    but of either class the shortest texts up to a tenth of the words, and its
+    shortest text of any length, stay.
     """
     marked = marked_ids(labels)
     chosen = [marked.filter(F.col("_toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(settings.sample_rows) for kind in (0, 1)]
@@ -170,10 +172,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     rows = docs.select("doc_id", whole_text().alias("text"), lang.alias("lang"))
     picked = rows.join(F.broadcast(chosen[0].union(chosen[1])), F.col("doc_id") == F.col("_id"))        # 2 x sample_rows ids at most
     hashed = hashed_words(picked.select("_id", "_toxic", "lang", "text"), settings.rows)
-    # a running total in one place over the bounded sample
-    order = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # running totals in one place over the bounded sample
     words = F.octet_length("words") / 8
-    found = cut(hashed).withColumn("_to", F.sum(words).over(order)).filter((F.col("_to") <= settings.sample_words) | (F.col("_to") == words))
+    short = Window.orderBy(words, F.xxhash64("_id"), "_id", "words").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("_toxic").orderBy(words, F.xxhash64("_id"), "_id", "words").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = cut(hashed).withColumn("_to", F.sum(words).over(short)).withColumn("_own", F.sum(words).over(own))
+    fits = (F.col("_to") <= settings.sample_words) | (F.col("_own") <= settings.sample_words / 10) | (F.col("_own") == words)
+    found = sized.filter(fits).orderBy(F.xxhash64("_id"), "_id", "words", "_toxic")
     texts, marks, langs = [], [], []
     for row in found.select("words", "_toxic", "lang").toLocalIterator():
         texts.append(np.frombuffer(bytes(row["words"]), "<i4").reshape(-1, 2))

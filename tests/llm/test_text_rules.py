@@ -118,6 +118,21 @@ def test_thresholds_and_bias_follow_all_labels_whatever_the_sample(spark):
     assert abs(net.out_bias - plain.out_bias - np.log(share / (1 - share) / (fitted / (1 - fitted)))) < 1e-6 and share < 0.3 < fitted
 
 
+def test_long_texts_do_not_push_others_out_of_the_sample(spark):
+    frame = labelled(spark, 90)
+    order = [r.doc_id for r in frame.filter(~held_out_column()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    settings = toxicity.Settings(sample_words=12_000)
+    for long in (order[:1], order[:3]):
+        text = F.when(F.col("doc_id").isin(long), F.repeat(F.lit("word "), 30_000)).otherwise(F.col("text"))
+        docs = frame.withColumn("text", text).drop("toxic")
+        texts, marks, _ = toxicity.training_sample(docs, frame.select("doc_id", "toxic"), settings)
+        assert len(texts) == len(order) - len(long) and set(marks.tolist()) == {0, 1}
+    # a class of long texts only keeps one of them
+    docs = frame.withColumn("text", F.when(F.col("toxic") == 1, F.repeat(F.lit("word "), 30_000)).otherwise(F.col("text"))).drop("toxic")
+    _, marks, _ = toxicity.training_sample(docs, frame.select("doc_id", "toxic"), settings)
+    assert marks.sum() == 1 and len(marks) - 1 == sum(i % 3 != 0 for i in order)
+
+
 def test_blocks_of_a_long_text_change_nothing():
     rng = np.random.default_rng(0)
     net = toxicity.fit([rng.integers(1, 50, (30, 2)) for _ in range(20)], np.arange(20) % 2, toxicity.Settings(rows=64, epochs=2))
