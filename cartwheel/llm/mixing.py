@@ -67,15 +67,16 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, percent
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: Sequence[int] = WEIGHTS, percent: int = 150, most: int = 2,
-        whole: bool = False, size: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """The mix: (doc_id, source, size, source_size, target, pass, finish, words [, keep]), sorted by finish time.
+        whole: bool = False, size: Column | None = None, keep: Sequence[str] = (), numbered: bool = False) -> DataFrame:
+    """The mix: (doc_id, source, size, source_size, target, pass, finish, words [, keep] [, row]), sorted by finish time.
 
     One row for every document and pass that is served before time 1, ``words``
     of it taken: the whole document, less for the copy cut at time 1 (with
     ``whole`` all or none). Documents of which nothing is taken appear once
     with ``words`` 0 and a null finish time, so that the result covers all rows.
     ``size`` defaults to the number of words in ``text``. Ties in the order go
-    by id; rows that repeat an id and a size are interchangeable.
+    by id; rows that repeat an id and a size are interchangeable. ``numbered``
+    adds ``row``, a number of the input row that its copies share and that may be another in the next run.
     Null sources are one source, null texts have size 0, null ids are kept. Empty table: empty mix.
     """
     size = word_count() if size is None else size
@@ -110,11 +111,15 @@ def mix(docs: DataFrame, seed: int = 7, weights: Sequence[int] = WEIGHTS, percen
         F.coalesce(taken, F.lit(0)).cast("bigint").alias("words"), "_row")
     if keep:
         mixed = mixed.join(stored.select("_row", *keep), "_row")
-    mixed = mixed.drop("_row")
+    mixed = mixed.withColumnRenamed("_row", "row") if numbered else mixed.drop("_row")
     return mixed.repartitionByRange(F.col("finish").asc_nulls_last(), "doc_id", "pass").sortWithinPartitions(F.col("finish").asc_nulls_last(), "doc_id", "pass")
 
 
 def words_taken(mixed: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of a mix, one row per document."""
-    return (mixed.groupBy("doc_id", "source", "size", "source_size", "target")
-            .agg(F.sum("words").alias("taken")).drop("source"))
+    """(doc_id, size, source_size, target, taken) of a mix, one row per input row.
+
+    Without the ``row`` of a numbered mix, rows that share id, source and size cannot be told apart and are added up.
+    """
+    number = [c for c in ("row",) if c in mixed.columns]
+    return (mixed.groupBy(*number, "doc_id", "source", "size", "source_size", "target")
+            .agg(F.sum("words").alias("taken")).drop("source", *number))

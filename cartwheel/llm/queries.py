@@ -22,7 +22,7 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.words_taken(mixing.mix(table(spark, folder, "documents")))
+    return mixing.words_taken(mixing.mix(table(spark, folder, "documents"), numbered=True))
 
 
 def op4_long_repeats(spark: SparkSession, folder: str) -> DataFrame:

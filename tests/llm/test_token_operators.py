@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -14,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cartwheel.llm import bpe, mixing, token_counts, token_files, wordmemo
+from cartwheel.llm import bpe, mixing, queries, token_counts, token_files, wordmemo
 
 random.seed(4)
 ODD = [None, "", " ", "a", "  a", "a  b", "a\n\nb", "x<|endoftext|>y", "<|startoftext|> hi", "Ünï cödé ×÷ µ", "a\tb\r\nc", "\nabc", "abc\n",
@@ -167,6 +168,20 @@ def test_mix_meets_its_targets(spark):
     assert len(by_doc) == 603 and all(r.taken <= 2 * r.size for r in by_doc if r.doc_id != 7)
 
 
+def test_repeated_rows_and_null_ids_keep_a_row_each(spark, tmp_path):
+    docs = mixture(spark)
+    more = [(3, "same words here", "a", 1, "z")] * 3 + [(None, f"null {i}", "a", 1, "z") for i in range(5)] + [(None, "no source", None, 1, "z")] * 2
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).repartition(5)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = [tuple(r) for r in queries.op3_mixed_sources(spark, f"file://{tmp_path}").collect()]
+    assert len(rows) == 604 + len(more) and all(taken <= 2 * size for _, size, *_, taken in rows)
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = con.execute(queries.SQL["op3_mixed_sources"]).fetchall()
+    rounded = lambda found: sorted(((i, s, n, round(t, 6), k) for i, s, n, t, k in found), key=repr)
+    assert rounded(rows) == rounded(want)
+
+
 def test_whole_documents_stay_near_the_targets(spark):
     docs = mixture(spark)
     rows = mixing.mix(docs, whole=True).collect()
