@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from cartwheel.functions.joins import skew_join
 from cartwheel.functions.ranks import top_n
 from cartwheel.functions.stage import cut
-from cartwheel.operators.prepare import feature_columns, surrogate_ids
+from cartwheel.operators.prepare import feature_columns, surrogate_ids, warm_cold
 
 MISSING = -1.0      # counts, day differences, prices and shares are never negative
 
@@ -116,16 +116,20 @@ def fit_bags(bagged: DataFrame, valid: DataFrame | None, features: Sequence[str]
 
 def fit_warm_cold(train: DataFrame, features: Sequence[str], probe: str = "customer_total_cnt",
                   **params) -> dict[str, PipelineModel]:
-    """One model for customers with history and one for those without."""
-    return {"warm": fit_buy_model(train.filter(F.col(probe).isNotNull()), None, features, **params),
-            "cold": fit_buy_model(train.filter(F.col(probe).isNull()), None, features, **params)}
+    """One model for customers with history and one for those without; none for a population without training rows."""
+    models = {name: fit_buy_model(part, None, features, **params)
+              for name, part in zip(("warm", "cold"), warm_cold(train, probe)) if not part.isEmpty()}
+    if not models:
+        raise ValueError("no training rows")
+    return models
 
 
 def score_warm_cold(models: Mapping[str, PipelineModel], frame: DataFrame, features: Sequence[str],
                     probe: str = "customer_total_cnt") -> DataFrame:
-    warm = score(models["warm"], frame.filter(F.col(probe).isNotNull()), features)
-    cold = score(models["cold"], frame.filter(F.col(probe).isNull()), features)
-    return warm.unionByName(cold)
+    """(keys, pred) of all rows, each by its population's model, or by the other one where its own has no model."""
+    warm, cold = warm_cold(frame, probe)
+    return (score(models.get("warm") or models["cold"], warm, features)
+            .unionByName(score(models.get("cold") or models["warm"], cold, features)))
 
 
 def importance(models: Sequence[PipelineModel]) -> DataFrame:

@@ -7,12 +7,12 @@ import re
 from pyspark.sql import functions as F
 
 from cartwheel.functions.stage import cut
-from cartwheel.operators import candidates as C, evaluate as E, features as X, labels as L, models as M, prepare as P
+from cartwheel.operators import candidates as C, evaluate as E, labels as L, models as M, prepare as P
 from cartwheel.plans import blend as blend_plan, forecast as forecast_plan, two_stage as T
 from checks import candidate_sql as Q
 from checks.evaluation import EXPERIMENTS, VECTORS, oof, submissions
 from checks.features import LABELLED, _sampled
-from checks.views import CATEGORIES, FORECAST_AFTER, GROUPS, TRAIN_START, VALID_END, VALID_START, Views, sql
+from checks.views import FORECAST_AFTER, GROUPS, TRAIN_START, VALID_START, Views, sql
 
 QUERIES, SQL = {}, {}
 FORECAST_UNTIL = "1995-09-01"
@@ -22,25 +22,13 @@ def add(name, fn):
     QUERIES[name] = lambda spark, folder: fn(Views(spark, folder))
 
 
-def frame(v, hist_end, target_end, after=None):
-    """Labelled candidates with customer, article and pair features."""
-    facts = P.recent_facts(v.transactions, after) if after else v.transactions
-    split = P.Split(0, hist_end, target_end)
-    history, target = P.history_of(facts, split), P.target_of(facts, split)
-    labelled = cut(L.add_labels(C.frequent_and_popular(history, target), target))
-    return X.add_features(labelled, history, v.articles, v.customers, v.forecast, groups=GROUPS, categories=CATEGORIES)
-
-
-def train_frame(v):
-    return frame(v, TRAIN_START, VALID_START)
-
-
-def valid_frame(v):
-    return frame(v, VALID_START, "2001-08-02")
-
-
 def _two_frames(v):
-    train, valid = cut(train_frame(v)), cut(valid_frame(v))
+    """Training and validation week: candidates of the 22 strategies from the whole history, labelled, with all features."""
+    tables = T.prepare(v.transactions, v.raw_customers, v.articles, v.forecast)
+    split = P.Split(0, TRAIN_START, VALID_START)
+    history, target = P.history_of(tables.transactions, split), P.target_of(tables.transactions, split)
+    train = cut(T.labelled_frame(tables, history, target, groups=GROUPS))
+    valid = cut(T.labelled_frame(tables, v.history(), v.target(), groups=GROUPS))
     return train, valid, P.feature_columns(train)
 
 
@@ -65,10 +53,8 @@ def bagged_model_scores(v):
 
 
 def warm_cold_scores(v):
-    """Customers with and without purchases in the last quarter go to separate models."""
-    train = cut(frame(v, TRAIN_START, VALID_START, "2001-05-03"))
-    valid = cut(frame(v, VALID_START, "2001-08-02", "2001-05-03"))
-    features = P.feature_columns(train)
+    """Customers with and without purchases before the week go to separate models."""
+    train, valid, features = _two_frames(v)
     return M.score_warm_cold(M.fit_warm_cold(train, features), valid, features)
 
 
