@@ -72,17 +72,35 @@ def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(anchor hash, segment hash, first, last, place) of one text of at least ``length`` bytes.
 
     ``first`` and ``last`` are the owned string starts, ``place`` the anchor's.
-    Texts longer than a buffer are read in overlapping parts with the same result.
+    Strings are read ``BUFFER`` starts at a time, with the bytes that the last
+    of them needs, so the arrays do not grow with the text; an anchor's starts
+    on both sides of a seam are one range.
     """
     gram = min(GRAM, length)
+    n = len(data) - length + 1
+    parts = [_owners(data, start, min(start + BUFFER, n), length, gram) for start in range(0, n, BUFFER)]
+    first, last, at, hashes = (np.concatenate(c) for c in zip(*[p[:4] for p in parts]))
+    segments = np.concatenate([p[4] for p in parts])
+    new = np.append(True, at[1:] != at[:-1])
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(at)) - 1
+    segments = segments[heads]
+    for i in np.flatnonzero(heads != tails).tolist():
+        whole = data[first[heads[i]]:last[tails[i]] + length]
+        segments[i] = _between(_prefix_hashes(whole, _BYTE), np.array([0]), np.array([len(whole)]))[0]
+    return hashes[heads], segments, first[heads], last[tails], at[heads]
+
+
+def _owners(data: np.ndarray, start: int, end: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(first, last, place, anchor hash, segment hash) of the string starts from ``start`` to ``end``, places in the whole text."""
     span = length - gram + 1                            # gram places in a string
-    sums = _prefix_hashes(data, _BYTE)
-    n = len(data) - gram + 1
-    place = np.arange(n)
+    part = data[start:end + length - 1]
+    sums = _prefix_hashes(part, _BYTE)
+    place = np.arange(len(part) - gram + 1)
     hashes = _between(sums, place, place + gram)
     # the smallest of span neighbours, the leftmost among equals: hash bits above place bits, minima over doubled widths
     low_bits = np.uint64(max(1, int(len(data)).bit_length()))
-    best = (hashes >> low_bits << low_bits) | place.astype(np.uint64)
+    best = (hashes >> low_bits << low_bits) | (place + start).astype(np.uint64)
     width = 1
     while width * 2 <= span:
         best = np.minimum(best[:-width], best[width:])
@@ -94,7 +112,7 @@ def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     last = np.append(first[1:], len(owner)) - 1
     at = owner[first]
-    return hashes[at], _between(sums, first, last + length), first, last, at
+    return first + start, last + start, at, hashes[at - start], _between(sums, first, last + length)
 
 
 def find_anchors(docs: DataFrame, length: int) -> DataFrame:

@@ -211,3 +211,30 @@ def test_crowded_cells_are_dealt_out(spark, monkeypatch, members, visitors):
     points = rng.normal(size=(1, 8)) + rng.normal(size=(60, 8)) * 0.01
     frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, embedding array<double>")
     assert {tuple(r) for r in vectors.near_vectors(frame).collect()} == {(i, 59, 0, i == 0) for i in range(60)}
+
+
+def test_long_texts_are_read_in_parts_with_the_same_anchors(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 256, 60_000).astype(np.uint8), rng.integers(97, 99, 20_000).astype(np.uint8), np.full(5_000, 97, np.uint8), rng.integers(0, 256, 400).astype(np.uint8)]
+    texts.append(np.tile(texts[0][:700], 20))
+    for length in (50, 150, 400):
+        for data in texts:
+            monkeypatch.setattr(repeats, "BUFFER", 10**9)
+            want = repeats.anchors_of(data, length)
+            for size in (97, 1000, 4096, len(data) - length):
+                if size < 1 or len(data) // size > 700:
+                    continue
+                monkeypatch.setattr(repeats, "BUFFER", size)
+                assert all(np.array_equal(a, b) for a, b in zip(repeats.anchors_of(data, length), want))
+
+
+def test_anchors_of_a_long_text_take_bounded_memory():
+    import tracemalloc
+
+    data = np.random.default_rng(5).integers(0, 256, 12_000_000).astype(np.uint8)
+    repeats.anchors_of(data[:1_200_000], 400)            # tables of powers
+    tracemalloc.start()
+    repeats.anchors_of(data, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(data)                         # one array of 8 bytes a byte of the text would be half of it
