@@ -158,4 +158,4 @@ add("strategy_precision", lambda v: E.strategy_precision(_recommend(v), v.target
         SELECT s, avg(CASE WHEN t.article_id IS NULL THEN 0 ELSE 1 END) AS precision
         FROM cand c LEFT JOIN truth t ON c.customer_id = t.customer_id AND c.article_id = t.article_id WHERE r < 12 GROUP BY 1)""",
         "hist_wide", "targ", "truth", "fc", cand=Q.tagged(_NS)))
-add("factor_candidates", lambda v: M.factor_candidates(v.history(P.recent_facts(v.transactions, "2000-07-25")), v.target(), 12, rank=2, iterations=5))
+add("factor_candidates", lambda v: M.factor_candidates(v.history(P.recent_facts(v.transactions, "2000-07-25")), v.target(), 12, rank=2))

@@ -3,10 +3,11 @@
 import os
 
 import pytest
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from cartwheel.operators import candidates as C, models as M
-from checks import models as Q
+from checks import candidates, models as Q
 from checks.views import TRAIN_START, VALID_START, Views
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -40,3 +41,11 @@ def test_models_by_population(spark):
         assert set(one) == {name} and len(found) == 120 and all((found[str(i)] > 0.5) == (i % 2 == 1) for i in range(120))
     with pytest.raises(ValueError):
         M.fit_warm_cold(frame.limit(0), ["x"])
+
+
+def test_factor_candidates_runs_the_default_iterations(spark, monkeypatch):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    given = {}
+    monkeypatch.setattr(M, "ALS", lambda **options: given.update(options) or ALS(**options))
+    assert candidates.QUERIES["factor_candidates"](spark, FOLDER).count() > 0 and given["maxIter"] == 10
