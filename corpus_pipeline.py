@@ -24,11 +24,22 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies, and rows without an id."""
-    marks = simhash.near_copies(docs)
-    keep = marks.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return (docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
-            .unionByName(docs.select(*COLUMNS).filter(F.col("doc_id").isNull())).select(*COLUMNS))
+    """Keep one document of each group of near copies: the one with the smallest id, null last, and then by its content.
+
+    A row's key is its id with a digest of all columns, so rows of one key are
+    equal and any of them will do. Keys with several rows have a join of their
+    own, in which equal rows become one; all others meet their key once.
+    """
+    content = [F.sha2("text", 256).alias("text"), *[F.col(c) for c in COLUMNS if c not in ("doc_id", "text")]]
+    keyed = docs.select(*COLUMNS, F.struct(
+        F.col("doc_id").isNull().alias("last"), "doc_id", F.unhex(F.sha2(F.to_json(F.struct(*content)), 256)).alias("digest")).alias("_key"))
+    marks = simhash.near_copies(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    kept = marks.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    kept = cut(kept)
+    several = cut(kept.filter("n > 1").select("_key"))       # a table of its own: Spark sees that it is small, and sends no text to meet it
+    one = keyed.join(kept.filter("n = 1").select("_key"), "_key", "left_semi")
+    equal = keyed.join(several, "_key", "left_semi").groupBy("_key").agg(*[F.first(c).alias(c) for c in COLUMNS])
+    return one.select(*COLUMNS).unionByName(equal.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

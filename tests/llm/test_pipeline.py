@@ -96,6 +96,20 @@ def test_one_of_each_group_stays(outputs):
     assert sorted(map(key, after)) == sorted(map(key, want)) and len(after) < len(before) - 20
 
 
+def test_one_of_repeated_rows_and_of_null_ids_stays(spark):
+    text = lambda seed: " ".join(random.Random(seed).choice(["red", "blue", "ship", "tree", "walks", "home", "late", "cloud"]) + str(seed) for _ in range(60))
+    rows = [(5, text(1), "en", "a", 1)] * 3 + [(6, text(1), "en", "a", 1), (None, text(1), "en", "a", 1)]        # a group with a repeated smallest row
+    rows += [(7, text(2), "en", "b", 1), (7, text(2), "de", None, 2), (7, text(3), None, "a", 1)]                 # an id with other columns and another text
+    rows += [(None, text(4), "en", "a", None)] * 4 + [(None, text(5), None, None, 1), (None, None, "en", "a", 1), (None, "", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    found = C.near_copies(spark, docs, "").select(*C.COLUMNS).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in found), key=repr) == sorted(
+        [(5, text(1)), (7, text(2)), (7, text(3)), (None, text(4)), (None, text(5)), (None, "")], key=repr)
+    assert all(tuple(r) in rows for r in found)
+    again = C.near_copies(spark, docs.repartition(3), "").collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, found))
+
+
 def test_personal_data_is_replaced(outputs):
     before, after, columns = outputs["personal_data"]
     assert columns == C.COLUMNS
