@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwheel.functions.stage import stage_path
-from cartwheel.llm import alignment, bpe, mixing, pii, quality, repeats, simhash, token_counts, token_files, toxicity, vectors, whitening
+from cartwheel.llm import alignment, bpe, mixing, pii, quality, repeats, simhash, token_counts, token_files, toxicity, vectors, whitening, word_windows
 from cartwheel.llm.common import table
 from cartwheel.llm.sql import SQL  # noqa: F401  (registered beside the queries)
 
@@ -59,10 +59,14 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op12_word_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return word_windows.remove_windows(table(spark, folder, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_byte_bpe, op3_mixed_sources, op4_long_repeats, op5_token_files, op6_simhash_near_copies, op7_quality_rules,
-    op8_near_vectors, op9_toxicity, op10_personal_data, op11_whitening, op13_token_alignment)}
+    op8_near_vectors, op9_toxicity, op10_personal_data, op11_whitening, op12_word_windows, op13_token_alignment)}

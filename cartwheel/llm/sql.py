@@ -40,4 +40,18 @@ SELECT *, NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n
           AND NOT (n_dup_lines >= 3 AND 20 * n_dup_lines > n_words) AS kept FROM b
 """
 
-SQL = {"op3_mixed_sources": OP3, "op7_quality_rules": OP7}
+_AHEAD = ", ".join(f"lead(word, {i}) OVER here" for i in range(1, 20))
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+e AS (SELECT r, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+w AS (SELECT r, doc_id, i, word, lead(word, 19) OVER here IS NOT NULL AS whole, concat_ws(' ', word, {_AHEAD}) AS said
+      FROM e WINDOW here AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT r, i, word, whole AND row_number() OVER (PARTITION BY whole, said ORDER BY doc_id NULLS LAST, r, i) > 1 AS again FROM w),
+m AS (SELECT r, i, word, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM s),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+SQL = {"op3_mixed_sources": OP3, "op7_quality_rules": OP7, "op12_word_windows": OP12}
