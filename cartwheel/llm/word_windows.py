@@ -26,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cartwheel.functions.stage import cut
+from cartwheel.functions.ranks import sorted_rank
+from cartwheel.functions.stage import cut, cut_by, discard
 from cartwheel.llm.common import chunks, whole_text
 from cartwheel.llm.fm_index import WordIndex
 
-GRAM, INDEX_WORDS, MOST_KINDS, PART = 10, 250_000, 4_096, 1 << 20
+GRAM, INDEX_WORDS, MOST_KINDS, PART = 8, 250_000, 4_096, 1 << 20
 _LAST_ID = 2 ** 63 - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True          # fixed values: ASCII white space
@@ -119,7 +120,7 @@ def _texts_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, np.repeat(np.arange(len(raws)), np.diff(first)), first
 
 
-ANCHORS = "id bigint, row bigint, anchor bigint, segment bigint, first int, last int"
+ANCHORS = "row bigint, anchor bigint, segment bigint, first int, last int"
 
 
 def _arrow_schema(schema: str) -> pa.Schema:
@@ -133,33 +134,32 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 
 
 def find_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """ANCHORS of every text (id, row, text); first and last count the text's words."""
+    """ANCHORS of every text (row, text); first and last count the text's words."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in chunks(batches, "text"):
             codes, text, first_word = _texts_of([t.encode() for t in some])
             anchor, segment, first, last = segments_of(codes, text, length)
             of = text[first]
-            ids, rows = (batch.column(c).to_numpy() for c in ("id", "row"))
-            yield _batch(ANCHORS, ids[of], rows[of], anchor.view(np.int64), segment.view(np.int64), (first - first_word[of]).astype(np.int32), (last - first_word[of]).astype(np.int32))
+            yield _batch(ANCHORS, batch.column("row").to_numpy()[of], anchor.view(np.int64), segment.view(np.int64), (first - first_word[of]).astype(np.int32), (last - first_word[of]).astype(np.int32))
 
-    return texts.select("id", "row", "text").mapInArrow(emit, ANCHORS)
+    return texts.select("row", "text").mapInArrow(emit, ANCHORS)
 
 
-KINDS = "anchor bigint, id bigint, row bigint, first int, data binary"
+KINDS = "anchor bigint, row bigint, first int, data binary"
 
 
 def _extracted(texts: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     """KINDS: the words of each kind at its first occurrence; a text's kinds are bounded by its length."""
-    wanted = kinds.groupBy("row").agg(F.first("id").alias("id"), F.collect_list(F.struct("anchor", "first", "last")).alias("want"))
-    joined = texts.select("row", "text").join(wanted, "row").select("row", "id", "text", "want")
+    wanted = kinds.join(texts.select("key", "row"), "row").groupBy("key").agg(F.first("row").alias("row"), F.collect_list(F.struct("anchor", "first", "last")).alias("want"))
+    joined = texts.select("key", "text").join(wanted, "key").select("row", "text", "want")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in chunks(batches, "text"):
-            found: list[list] = [[] for _ in range(5)]
-            for text, row, ident, want in zip(some, *(batch.column(c).to_pylist() for c in ("row", "id", "want"))):
+            found: list[list] = [[] for _ in range(4)]
+            for text, row, want in zip(some, batch.column("row").to_pylist(), batch.column("want").to_pylist()):
                 words = text.encode().split()           # at ASCII white space
                 for w in want:
-                    for column, value in zip(found, (w["anchor"], ident, row, w["first"], b" ".join(words[w["first"]:w["last"] + length]))):
+                    for column, value in zip(found, (w["anchor"], row, w["first"], b" ".join(words[w["first"]:w["last"] + length]))):
                         column.append(value)
             yield _batch(KINDS, *found)
 
@@ -176,18 +176,18 @@ def _stretches(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def judge_shard(kinds: list[tuple], length: int) -> list[tuple[int, int, int]]:
-    """MARKS of the windows of kinds (anchor, id, row, first, data) that occur before, in any kind of the shard."""
+    """MARKS of the windows of kinds (anchor, row, first, data) that occur before, in any kind of the shard."""
     numbers: dict[bytes, int] = {}
-    texts = [np.array([numbers.setdefault(w, len(numbers)) for w in k[4].split(b" ")], np.int64) for k in kinds]
-    # documents in their order, then the place in the document
-    documents = {d: i for i, d in enumerate(sorted({(k[1], k[2]) for k in kinds}))}
-    values = [(documents[k[1], k[2]] << 32) + k[3] + np.arange(len(t)) for k, t in zip(kinds, texts)]
+    texts = [np.array([numbers.setdefault(w, len(numbers)) for w in k[3].split(b" ")], np.int64) for k in kinds]
+    # texts in their order, then the place in the text
+    rows = {row: i for i, row in enumerate(sorted({k[1] for k in kinds}))}
+    values = [(rows[k[1]] << 32) + k[2] + np.arange(len(t)) for k, t in zip(kinds, texts)]
     index = WordIndex(texts, values, len(numbers), length)
     found = []
     for kind, own, least in zip(kinds, values, index.matching_statistics(texts)[1]):
         before = np.flatnonzero(least < own)
         if len(before):
-            found += [(kind[2], kind[3] + a, kind[3] + b) for a, b in zip(*(x.tolist() for x in _stretches(before)))]
+            found += [(kind[1], kind[2] + a, kind[2] + b) for a, b in zip(*(x.tolist() for x in _stretches(before)))]
     return found
 
 
@@ -199,12 +199,12 @@ def _judged(kinds: DataFrame, length: int) -> DataFrame:
         held: list[tuple] = []
         size, previous = 0, None
         for batch in batches:
-            for kind in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "row", "first", "data"))):
+            for kind in zip(*(batch.column(c).to_pylist() for c in ("anchor", "row", "first", "data"))):
                 if size >= INDEX_WORDS and kind[0] != previous:
                     yield _batch(MARKS, *(list(zip(*judge_shard(held, length))) or [[], [], []]))
                     held, size = [], 0
                 held.append(kind)
-                size, previous = size + kind[4].count(b" ") + 2, kind[0]
+                size, previous = size + kind[3].count(b" ") + 2, kind[0]
         if held:
             yield _batch(MARKS, *(list(zip(*judge_shard(held, length))) or [[], [], []]))
 
@@ -219,7 +219,7 @@ def _finer(kinds: DataFrame, length: int, level: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids, rows, firsts, raws = (part.column(c).to_pylist() for c in ("id", "row", "first", "data"))
+                rows, firsts, raws = (part.column(c).to_pylist() for c in ("row", "first", "data"))
                 codes, text, first_word = _texts_of(raws)
                 place = np.arange(len(codes) - gram + 1)
                 hashes = string_hashes(codes, place, place + gram)
@@ -231,12 +231,12 @@ def _finer(kinds: DataFrame, length: int, level: int) -> DataFrame:
                 of = text[starts]
                 head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])))
                 tail = np.append(head[1:], len(starts)) - 1
-                found: list[list] = [[] for _ in range(5)]
+                found: list[list] = [[] for _ in range(4)]
                 split = [r.split(b" ") for r in raws]
                 for h, t in zip(head.tolist(), tail.tolist()):
                     i = int(of[h])
                     a, b = int(starts[h] - first_word[i]), int(starts[t] - first_word[i])
-                    for column, value in zip(found, (int(key[h].view(np.int64)), ids[i], rows[i], firsts[i] + a, b" ".join(split[i][a:b + length]))):
+                    for column, value in zip(found, (int(key[h].view(np.int64)), rows[i], firsts[i] + a, b" ".join(split[i][a:b + length]))):
                         column.append(value)
                 yield _batch(KINDS, *found)
 
@@ -250,28 +250,30 @@ def _by_size(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter(~F.col("_many")).drop("_many"), marked.filter("_many").drop("_many")
 
 
+def _later(kinds: DataFrame, occurrences: DataFrame, on: list[str]) -> DataFrame:
+    """Occurrences of a kind behind its first one."""
+    several = cut(kinds.filter("_n > 1").select(*on, F.col("_at.row").alias("_row"), F.col("_at.first").alias("_first")))
+    return occurrences.join(several, on).filter((F.col("row") != F.col("_row")) | (F.col("first") != F.col("_first")))
+
+
 def find_windows(texts: DataFrame, length: int) -> DataFrame:
-    """MARKS: all windows of the distinct texts (id, row, text) that occur before."""
-    first_of = F.min(F.struct("id", "row", "first", "last")).alias("_at")
-    anchors = cut(find_anchors(texts, length))
+    """MARKS: all windows of the distinct texts (key, row, text) that occur before; ``row`` is a text's place in their order."""
+    anchors = cut(find_anchors(texts, length), "zstd")
     seen = cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("anchor"))
-    again = cut(anchors.join(seen, "anchor"))
-    kinds = cut(again.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("_n"), first_of))
-    several = cut(kinds.filter("_n > 1").select("anchor", "segment", F.col("_at.row").alias("_row"), F.col("_at.first").alias("_first")))
-    later = (again.join(several, ["anchor", "segment"]).filter((F.col("row") != F.col("_row")) | (F.col("first") != F.col("_first")))
-             .select("row", F.col("first").alias("low"), F.col("last").alias("high")))
+    again = cut(anchors.join(seen, "anchor"), "zstd")
+    discard(anchors)
+    kinds = cut(again.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("row", "first", "last")).alias("_at")))
+    marks = [_later(kinds, again, ["anchor", "segment"]).select("row", F.col("first").alias("low"), F.col("last").alias("high"))]
     calm, hot = _by_size(kinds.select("anchor", "_at.*"))
-    marks = [later, _judged(_extracted(texts, calm, length), length)]
+    marks.append(_judged(_extracted(texts, calm, length), length))
     hot = cut(_extracted(texts, hot, length))
     level, most = 1, length - min(GRAM, length) + 1
     while not hot.isEmpty():
         level += 1
         parts = cut(_finer(hot, length, level))
-        kinds = cut(parts.groupBy("anchor", "data").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("id", "row", "first")).alias("_at")))
-        several = cut(kinds.filter("_n > 1").select("anchor", "data", F.col("_at.row").alias("_row"), F.col("_at.first").alias("_first")))
+        kinds = cut(parts.groupBy("anchor", "data").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("row", "first")).alias("_at")))
         words = F.size(F.split(F.col("data").cast("string"), " "))
-        marks.append(parts.join(several, ["anchor", "data"]).filter((F.col("row") != F.col("_row")) | (F.col("first") != F.col("_first")))
-                     .select("row", F.col("first").alias("low"), (F.col("first") + words - length).alias("high")))
+        marks.append(_later(kinds, parts, ["anchor", "data"]).select("row", F.col("first").alias("low"), (F.col("first") + words - length).alias("high")))
         kinds = kinds.select("anchor", "_at.*", "data")
         if level == most:           # all hashes of the windows are equal
             marks.append(_judged(kinds, length))
@@ -284,7 +286,7 @@ def find_windows(texts: DataFrame, length: int) -> DataFrame:
     return result
 
 
-DONE = "row bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+DONE = "key binary, _first bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
 def remove_windows(docs: DataFrame, length: int = 20, keep_text: bool = False) -> DataFrame:
@@ -302,16 +304,19 @@ def remove_windows(docs: DataFrame, length: int = 20, keep_text: bool = False) -
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().cast("string").alias("text"))
     keyed = cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.unhex(F.md5("text")).alias("key")))
-    first = keyed.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), "row")).alias("_at"))
-    whole = rows.groupBy(F.unhex(F.md5("text")).alias("key")).agg(F.first("text").alias("text"))
-    texts = cut(whole.join(first, "key").select("key", "_at.*", "text"))
-    marks = find_windows(texts, length).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    first = keyed.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), "row")).alias("_at")).select("key", "_at.*")
+    placed = sorted_rank(first, ["id", "row"], "place").select("key", F.col("row").alias("_first"), F.col("place").alias("row"))
+    # one shuffle of the texts; what is found about them later comes to their buckets
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = rows.select(F.unhex(F.md5("text")).alias("key"), "text").repartition(buckets, "key").groupBy("key").agg(F.first("text").alias("text"))
+    texts = cut_by(whole.join(placed, "key"), "key", buckets=buckets, codec="zstd")
+    marks = find_windows(texts, length).join(texts.select("key", "row"), "row").groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     schema = DONE + (", kept string" if keep_text else "")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in chunks(batches, "text"):
             found: list[list] = [[] for _ in schema.split(", ")]
-            for text, row, spans in zip(some, batch.column("row").to_pylist(), batch.column("spans").to_pylist()):
+            for text, key, row, spans in zip(some, *(batch.column(c).to_pylist() for c in ("key", "_first", "spans"))):
                 words = text.encode().split()
                 left = words
                 if spans:
@@ -320,12 +325,11 @@ def remove_windows(docs: DataFrame, length: int = 20, keep_text: bool = False) -
                     np.add.at(change, [s["high"] + length for s in spans], -1)
                     left = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
                 kept = b" ".join(left)
-                for column, value in zip(found, (row, len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode())):
+                for column, value in zip(found, (key, row, len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode())):
                     column.append(value)
             yield _batch(schema, *found)
 
-    done = texts.select("key", "row", "text").join(marks, "row", "left").select("row", "text", "spans").mapInArrow(apply, schema)
-    done = cut(done.withColumnRenamed("row", "_first").join(texts.select("key", F.col("row").alias("_first")), "_first"))
+    done = cut(texts.join(marks, "key", "left").select("key", "_first", "text", "spans").mapInArrow(apply, schema))
     copy = (F.col("row") != F.col("_first")) & (F.col("n_words") >= length)
     columns = ["doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
                F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256")]

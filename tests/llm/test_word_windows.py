@@ -108,7 +108,7 @@ def test_removal_equals_plain_loops(spark, monkeypatch, length, kinds, shard):
 
 def test_windows_of_one_shard():
     a = " ".join(f"a{i}" for i in range(25)).encode()
-    assert W.judge_shard([(1, 5, 50, 100, a), (1, 5, 50, 400, a), (2, 4, 70, 0, b"x " + a[:-4])], 20) == [
+    assert W.judge_shard([(1, 50, 100, a), (1, 50, 400, a), (2, 4, 0, b"x " + a[:-4])], 20) == [
         (50, 100, 104), (50, 400, 405)]
 
 
