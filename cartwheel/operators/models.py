@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.recommendation import ALS
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from cartwheel.functions.joins import skew_join
-from cartwheel.functions.ranks import top_n
 from cartwheel.functions.stage import cut
-from cartwheel.operators.prepare import feature_columns, surrogate_ids, warm_cold
+from cartwheel.operators import boosting as B
+from cartwheel.operators.boosting import Booster
+from cartwheel.operators.factors import factor_candidates  # noqa: F401  (a first-stage model)
+from cartwheel.operators.prepare import feature_columns, warm_cold
 
 MISSING = -1.0      # counts, day differences, prices and shares are never negative
 
@@ -28,27 +26,19 @@ def split_types(frame: DataFrame, features: Sequence[str]) -> tuple[list[str], l
 
 
 def assembler(frame: DataFrame, features: Sequence[str]) -> tuple[list, int]:
-    """Pipeline stages from raw columns to one vector, and the bins the trees need.
+    """Pipeline stages from raw columns to one vector, and the bins the trees need, for the small table of articles with a forecast.
 
-    Text categories become indexed nominal features: the fitted indexer's
-    metadata tells the trees to split them as categories, and its labels how
-    many bins that takes. A category with more values than ``frame`` has rows
-    cannot be split that way; its index enters as a number.
+    Text columns, which are those named as categories, become indexed nominal
+    features. The buy models use ``boosting`` instead, which numbers no values.
     """
     numeric, category = split_types(frame, features)
     stages, inputs, bins = [], list(numeric), 32
     if category:
         indexer = StringIndexer(inputCols=category, outputCols=[f"{c}__idx" for c in category],
                                 handleInvalid="keep", stringOrderType="alphabetAsc").fit(frame)
-        sizes = dict(zip(category, [len(labels) + 1 for labels in indexer.labelsArray]))
-        rows = frame.count()
-        wide = [c for c in category if sizes[c] > rows]
         stages.append(indexer)
-        if wide:
-            sums = ", ".join(f"`{c}__idx` + 0 AS `{c}__num__idx`" for c in wide)
-            stages.append(SQLTransformer(statement=f"SELECT *, {sums} FROM __THIS__"))
-        inputs += [f"{c}__num__idx" if c in wide else f"{c}__idx" for c in category]
-        bins = max([bins, *(sizes[c] for c in category if c not in wide)])
+        inputs += [f"{c}__idx" for c in category]
+        bins = max([bins, *(len(labels) + 1 for labels in indexer.labelsArray)])
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     return stages, bins
 
@@ -61,61 +51,42 @@ def fill_missing(frame: DataFrame, features: Sequence[str]) -> DataFrame:
         | {c: F.coalesce(F.col(c), F.lit("")) for c in category})
 
 
+# a run of a few rounds; ``boosting.PRODUCTION`` has the settings of a long one
+DEFAULT = B.PRODUCTION._replace(rounds=20, learning_rate=0.1, leaves=31, min_rows=10, patience=5)
+
+
 def fit_buy_model(train: DataFrame, valid: DataFrame | None = None, features: Sequence[str] | None = None,
-                  seed: int = 0, **params) -> PipelineModel:
-    """Boosted trees on ``buy`` with logistic loss; stops early when ``valid`` stops improving."""
+                  seed: int = 0, truth: str | None = None, **params) -> Booster:
+    """Boosted trees on ``buy``; with ``valid`` training stops when its metric stops improving. ``params`` are fields of ``boosting.Params``."""
     features = list(features or feature_columns(train))
-    both = fill_missing(train, features).withColumn("is_valid", F.lit(False))
-    if valid is not None:
-        both = both.unionByName(fill_missing(valid, features).withColumn("is_valid", F.lit(True)),
-                                allowMissingColumns=True)
-    both = cut(both.select(*features, F.col("buy").cast("double").alias("label"), "is_valid"))
-    options = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "featureSubsetStrategy": "0.7",
-               "subsamplingRate": 0.72, "minInstancesPerNode": 10} | params
-    stages, bins = assembler(both, features)
-    trees = GBTClassifier(featuresCol="features", labelCol="label", seed=seed, maxBins=bins, **options)
-    if valid is not None:
-        trees = trees.setValidationIndicatorCol("is_valid")
-    return Pipeline(stages=[*stages, trees]).fit(both)
-
-
-def score(model: PipelineModel, frame: DataFrame, features: Sequence[str],
+    return B.fit(train, features, DEFAULT._replace(seed=seed, **params), valid, truth=truth)
+
+
+def score(model: Booster, frame: DataFrame, features: Sequence[str] | None = None,
           keys: Sequence[str] = ("customer_id", "article_id")) -> DataFrame:
-    """(keys, pred): the probability of a purchase for every row, in one distributed pass."""
-    scored = model.transform(fill_missing(frame, features))
-    return scored.select(*keys, vector_to_array("probability")[1].alias("pred"))
+    """(keys, pred) for every row, in one distributed pass: the probability of a purchase, or a margin if the model ranks."""
+    return B.score(model, frame, keys)
 
 
-def score_mean(models: Sequence[PipelineModel], frame: DataFrame, features: Sequence[str],
+def score_mean(models: Sequence[Booster], frame: DataFrame, features: Sequence[str] | None = None,
                keys: Sequence[str] = ("customer_id", "article_id")) -> DataFrame:
-    """Mean probability over several models (seeds, folds, bags), per row.
+    """Mean prediction over several models (seeds, folds, bags), per row: no union, no join."""
+    return B.score(models, frame, keys)
 
-    The models add their columns to the same rows: no union, no join.
-    """
-    work = fill_missing(frame, features)
-    for i, model in enumerate(models):
-        work = model.transform(work)
-        keep = [c for c in work.columns if not c.endswith("__idx")
-                and c not in ("features", "rawPrediction", "probability", "prediction")]
-        work = work.select(*keep, vector_to_array("probability")[1].alias(f"_p{i}"))
-    total = sum((F.col(f"_p{i}") for i in range(1, len(models))), F.col("_p0"))
-    return work.select(*keys, (total / len(models)).alias("pred"))
-
-
-def fit_seeds(train: DataFrame, valid: DataFrame | None, features: Sequence[str], n_seed: int,
-              **params) -> list[PipelineModel]:
+
+def fit_seeds(train: DataFrame, valid: DataFrame | None, features: Sequence[str], n_seed: int, **params) -> list[Booster]:
     return [fit_buy_model(train, valid, features, seed, **params) for seed in range(n_seed)]
 
 
 def fit_bags(bagged: DataFrame, valid: DataFrame | None, features: Sequence[str], seeds: Sequence[int],
-             **params) -> list[PipelineModel]:
+             **params) -> list[Booster]:
     """One model per bag of an under-sampled training frame with a ``seed`` column."""
     bagged = cut(bagged)
     return [fit_buy_model(bagged.filter(F.col("seed") == s).drop("seed"), valid, features, s, **params) for s in seeds]
 
 
 def fit_warm_cold(train: DataFrame, features: Sequence[str], probe: str = "customer_total_cnt",
-                  **params) -> dict[str, PipelineModel]:
+                  **params) -> dict[str, Booster]:
     """One model for customers with history and one for those without; none for a population without training rows."""
     models = {name: fit_buy_model(part, None, features, **params)
               for name, part in zip(("warm", "cold"), warm_cold(train, probe)) if not part.isEmpty()}
@@ -124,7 +95,7 @@ def fit_warm_cold(train: DataFrame, features: Sequence[str], probe: str = "custo
     return models
 
 
-def score_warm_cold(models: Mapping[str, PipelineModel], frame: DataFrame, features: Sequence[str],
+def score_warm_cold(models: Mapping[str, Booster], frame: DataFrame, features: Sequence[str],
                     probe: str = "customer_total_cnt") -> DataFrame:
     """(keys, pred) of all rows, each by its population's model, or by the other one where its own has no model."""
     warm, cold = warm_cold(frame, probe)
@@ -132,28 +103,16 @@ def score_warm_cold(models: Mapping[str, PipelineModel], frame: DataFrame, featu
             .unionByName(score(models.get("cold") or models["warm"], cold, features)))
 
 
-def importance(models: Sequence[PipelineModel]) -> DataFrame:
-    """(feature, importance): gain share per feature, mean over models, highest first.
-
-    Feature lists live on the driver already; the frame is as long as they are.
-    """
-    from pyspark.sql import SparkSession
-
-    rows = []
-    for i, model in enumerate(models):
-        names = [c.removesuffix("__idx") for c in model.stages[-2].getInputCols()]
-        values = model.stages[-1].featureImportances.toArray()
-        rows += [(name, i, float(v)) for name, v in zip(names, values)]
-    frame = SparkSession.active().createDataFrame(rows, "feature string, model int, importance double")
-    return (frame.groupBy("feature").agg(F.avg("importance").alias("importance"))
-            .orderBy(F.desc("importance"), F.asc("feature")))
+def importance(models: Sequence[Booster]) -> DataFrame:
+    """(feature, importance): gain share per feature, mean over models, highest first."""
+    return B.importance(models)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Booster, path: str) -> None:
+    B.save(model, path)
 
 
-def find_models(spark: SparkSession, folder: str, prefix: str = "") -> list[PipelineModel]:
+def find_models(spark: SparkSession, folder: str, prefix: str = "") -> list[Booster]:
     """The models saved under ``folder`` whose names start with ``prefix``, by name."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -161,8 +120,8 @@ def find_models(spark: SparkSession, folder: str, prefix: str = "") -> list[Pipe
     return load_models(sorted(names))
 
 
-def load_models(paths: Sequence[str]) -> list[PipelineModel]:
-    return [PipelineModel.load(p) for p in paths]
+def load_models(paths: Sequence[str]) -> list[Booster]:
+    return [B.load(SparkSession.active(), p) for p in paths]
 
 
 # ---- first-week sales -----------------------------------------------------------------
@@ -190,31 +149,3 @@ def forecast_sales(train: DataFrame, unseen: DataFrame, features: Sequence[str],
         part = mine.unionByName(new)
         result = part if result is None else result.unionByName(part)
     return result.groupBy(*keep, "fold").agg(F.avg("p").alias("1st_week_sales_pred"))
-
-
-# ---- matrix factorisation -------------------------------------------------------------
-
-def factor_candidates(history: DataFrame, targets: DataFrame, n: int = 12, rank: int = 2,
-                      iterations: int = 10, seed: int = 42) -> DataFrame:
-    """Top ``n`` articles per target from a non-negative factorisation of who bought what.
-
-    Every distinct pair counts as one, as in a binary customer × article matrix.
-    """
-    pairs = history.select("customer_id", "article_id").dropna().distinct()
-    customers = cut(surrogate_ids(pairs, "customer_id"))
-    articles = cut(surrogate_ids(pairs, "article_id"))
-    matrix = skew_join(skew_join(pairs, customers, ["customer_id"], "inner"),
-                         articles, ["article_id"], "inner")
-    matrix = cut(matrix.select(F.col("customer_id_idx").cast("int"), F.col("article_id_idx").cast("int"),
-                               F.lit(1.0).cast("float").alias("bought")))
-    als = ALS(userCol="customer_id_idx", itemCol="article_id_idx", ratingCol="bought", rank=rank,
-              maxIter=iterations, nonnegative=True, implicitPrefs=True, seed=seed)
-    wanted = customers.join(targets.select("customer_id"), "customer_id", "left_semi").select("customer_id_idx")
-    found = als.fit(matrix).recommendForUserSubset(wanted.withColumn("customer_id_idx", F.col("customer_id_idx").cast("int")), n)
-    flat = found.select("customer_id_idx", F.posexplode("recommendations").alias("rank0", "r"))
-    named = (flat.select("customer_id_idx", F.col("r.article_id_idx").alias("article_id_idx"),
-                         F.col("r.rating").alias("affinity"))
-             .join(customers, "customer_id_idx"))
-    named = skew_join(named, articles, ["article_id_idx"], "inner")
-    ranked = top_n(named, ["customer_id"], [F.desc("affinity"), F.asc("article_id")], n)
-    return ranked.select("customer_id", "article_id", (F.col("rank") - 1).cast("int").alias("1st_stage_rank"))

@@ -3,10 +3,9 @@
 import os
 
 import pytest
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
-from cartwheel.operators import candidates as C, models as M
+from cartwheel.operators import candidates as C, factors, models as M
 from checks import candidates, models as Q
 from checks.views import TRAIN_START, VALID_START, Views
 
@@ -32,11 +31,11 @@ def test_model_frames_hold_all_strategies_of_the_whole_history(spark):
 def test_models_by_population(spark):
     rows = [(str(i), "a", float(i % 2), None if i % 3 == 0 else 5, i % 2) for i in range(120)]
     frame = spark.createDataFrame(rows, "customer_id string, article_id string, x double, customer_total_cnt int, buy int")
-    both = M.fit_warm_cold(frame, ["x"], maxIter=2)
+    both = M.fit_warm_cold(frame, ["x"], rounds=2, min_rows=5)
     assert set(both) == {"warm", "cold"} and M.score_warm_cold(both, frame, ["x"]).count() == 120
     # without training rows of a population its rows go to the other model
     for name, part in (("warm", frame.filter("customer_total_cnt is not null")), ("cold", frame.filter("customer_total_cnt is null"))):
-        one = M.fit_warm_cold(part, ["x"], maxIter=2)
+        one = M.fit_warm_cold(part, ["x"], rounds=2, min_rows=5)
         found = {r.customer_id: r.pred for r in M.score_warm_cold(one, frame, ["x"]).collect()}
         assert set(one) == {name} and len(found) == 120 and all((found[str(i)] > 0.5) == (i % 2 == 1) for i in range(120))
     with pytest.raises(ValueError):
@@ -46,6 +45,7 @@ def test_models_by_population(spark):
 def test_factor_candidates_runs_the_default_iterations(spark, monkeypatch):
     if not os.path.isdir(FOLDER):
         pytest.skip("no test tables")
-    given = {}
-    monkeypatch.setattr(M, "ALS", lambda **options: given.update(options) or ALS(**options))
-    assert candidates.QUERIES["factor_candidates"](spark, FOLDER).count() > 0 and given["maxIter"] == 10
+    given = []
+    real = factors.factorise
+    monkeypatch.setattr(factors, "factorise", lambda pairs, ranks, iterations, seed: given.append((ranks, iterations)) or real(pairs, ranks, iterations, seed))
+    assert candidates.QUERIES["factor_candidates"](spark, FOLDER).count() > 0 and given == [((2,), 10)]

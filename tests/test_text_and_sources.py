@@ -95,7 +95,7 @@ def test_model_learns_and_reloads(spark, tmp_path):
     data = spark.createDataFrame([(str(i), str(i % 11), i % 10, "x" if i % 2 else "y", None if i % 4 else 1.0, int(i % 10 > 6)) for i in range(400)],
                                  "customer_id string, article_id string, f int, g string, h double, buy int")
     features = ["f", "g", "h"]
-    model = M.fit_buy_model(data, data, features, maxIter=3, maxDepth=3)
+    model = M.fit_buy_model(data, data, features, rounds=3, leaves=6)
     scored = M.score(model, data, features).join(data, ["customer_id", "article_id"])
     low, high = (scored.filter(f"buy = {b}").agg({"pred": "avg"}).first()[0] for b in (0, 1))
     assert high > low + 0.3
