@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from cartwheel.functions.stage import cut
@@ -232,7 +233,7 @@ def _graded(blocks: DataFrame, trees, base: float, params: Params, round_: int)
 
 
 SUMS = "node int, feature int, code bigint, g double, h double, rows double, task int, data binary"
-SPLITS = "node int, feature int, gain double, bin int, missing boolean, codes array<bigint>, g double, h double, rows double, all_g double, all_h double, all_rows double"
+SPLITS = "node int, feature int, gain double, bin int, missing boolean, codes array<bigint>, g double, h double, rows double"
 
 
 def _soft(g, l1):
@@ -244,44 +245,32 @@ def _score(g, h, params: Params):
 
 
 def _histograms(graded: DataFrame, tree: Sequence[Node], wanted: Sequence[int], open_: Sequence[int], bins: int, n_numbers: int) -> DataFrame:
-    """SUMS of the rows of open nodes, one set per task: a histogram per number, a row per category code."""
+    """SUMS of the rows of open nodes, one set per task: the histograms of all of them per number, a row per node and category code."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         width = bins + 2
         slot_of = np.full(len(tree), -1)
         slot_of[list(open_)] = np.arange(len(open_))
         numbers, categories = [f for f in wanted if f < n_numbers], [f for f in wanted if f >= n_numbers]
         total = np.zeros((len(numbers), 3, len(open_) * width))
         sums: list[dict] = [{} for _ in categories]
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                packed = np.frombuffer(row["bins"], np.uint16).reshape(-1, row["n"])
-                codes = np.frombuffer(row["codes"], np.int64).reshape(-1, row["n"])
-                gradient, hessian = (np.frombuffer(row[c], np.float64) for c in ("gradient", "hessian"))
-                slot = slot_of[leaf_of(tree, packed, codes)]
-                rows = np.flatnonzero((slot >= 0) & ~np.isnan(gradient))
-                slot, g, h = slot[rows], gradient[rows], hessian[rows]
-                for i, f in enumerate(numbers):
-                    key = slot * width + packed[f][rows]
-                    for j, weight in enumerate((g, h, None)):
-                        total[i, j] += np.bincount(key, weight, total.shape[2])
-                for i, f in enumerate(categories):
-                    value, place = np.unique(codes[f - n_numbers][rows], return_inverse=True)
-                    pair, place = np.unique(slot * len(value) + place, return_inverse=True)
-                    parts = [np.bincount(place, w, len(pair)) for w in (g, h, None)]
-                    for p, *three in zip(pair.tolist(), *(x.tolist() for x in parts)):
-                        key = (p // max(1, len(value)), int(value[p % len(value)]))
-                        old = sums[i].get(key, (0.0, 0.0, 0.0))
-                        sums[i][key] = tuple(a + b for a, b in zip(old, three))
-        found = []
+        for row, packed, codes, gradient, hessian in _graded_rows(batches):
+            slot = slot_of[leaf_of(tree, packed, codes)]
+            rows = np.flatnonzero((slot >= 0) & ~np.isnan(gradient))
+            slot, g, h = slot[rows], gradient[rows], hessian[rows]
+            for i, f in enumerate(numbers):
+                key = slot * width + packed[f][rows]
+                for j, weight in enumerate((g, h, None)):
+                    total[i, j] += np.bincount(key, weight, total.shape[2])
+            for i, f in enumerate(categories):
+                value, place = np.unique(codes[f - n_numbers][rows], return_inverse=True)
+                pair, place = np.unique(slot * len(value) + place, return_inverse=True)
+                parts = [np.bincount(place, w, len(pair)) for w in (g, h, None)]
+                for p, *three in zip(pair.tolist(), *(x.tolist() for x in parts)):
+                    key = (p // max(1, len(value)), int(value[p % len(value)]))
+                    old = sums[i].get(key, (0.0, 0.0, 0.0))
+                    sums[i][key] = tuple(a + b for a, b in zip(old, three))
         task = TaskContext.get().partitionId()
-        for i, f in enumerate(numbers):
-            for s, node in enumerate(open_):
-                part = total[i, :, s * width:(s + 1) * width]
-                if part[2].any():
-                    found.append((node, f, None, None, None, None, task, part.tobytes()))
+        found = [(-1, f, None, None, None, None, task, part.tobytes()) for f, part in zip(numbers, total) if part[2].any()]
         for f, by_key in zip(categories, sums):
             found += [(open_[s], f, code, *three, task, None) for (s, code), three in by_key.items()]
         columns = list(zip(*found)) or [[] for _ in range(8)]
@@ -291,6 +280,27 @@ def _histograms(graded: DataFrame, tree: Sequence[Node], wanted: Sequence[int],
     return graded.mapInArrow(emit, SUMS)
 
 
+def _graded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            yield (row, np.frombuffer(row["bins"], np.uint16).reshape(-1, row["n"]), np.frombuffer(row["codes"], np.int64).reshape(-1, row["n"]),
+                   *(np.frombuffer(row[c], np.float64) for c in ("gradient", "hessian")))
+
+
+def _totals(graded: DataFrame) -> tuple[float, float, float]:
+    """(gradient, hessian, rows) of all rows in the bag."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(3)
+        for *_, gradient, hessian in _graded_rows(batches):
+            kept = ~np.isnan(gradient)
+            total += gradient[kept].sum(), hessian[kept].sum(), kept.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), *[pa.array([v]) for v in total.tolist()]], ["task", "g", "h", "rows"])
+
+    found = sorted(graded.mapInArrow(emit, "task bigint, g double, h double, rows double").collect())       # a row per task
+    return tuple(sum(r[i] for r in found) for i in (1, 2, 3)) if found else (0.0, 0.0, 0.0)
+
+
 def best_number_split(hist: np.ndarray, params: Params) -> tuple | None:
     """(gain, bin, missing left, g, h, rows of the left side) of a histogram (3, bins); bin 0 is missing."""
     all_ = hist.sum(axis=1)
@@ -328,38 +338,37 @@ def best_category_split(codes: np.ndarray, three: np.ndarray, all_: np.ndarray,
 
 
 _SPLIT_ARROW = pa.schema([("node", pa.int32()), ("feature", pa.int32()), ("gain", pa.float64()), ("bin", pa.int32()), ("missing", pa.bool_()),
-                          ("codes", pa.list_(pa.int64())), *[(c, pa.float64()) for c in ("g", "h", "rows", "all_g", "all_h", "all_rows")]])
+                          ("codes", pa.list_(pa.int64())), *[(c, pa.float64()) for c in ("g", "h", "rows")]])
 
 
-def _best_splits(sums: DataFrame, params: Params, n_categories: int) -> DataFrame:
-    """SPLITS: the best split of every node, found where its sums are; a node without one has its totals alone."""
+def _best_splits(sums: DataFrame, params: Params, open_: Sequence[int], totals: dict, has_categories: bool) -> DataFrame:
+    """SPLITS with a gain: the best one of every open node and feature, found where its sums are."""
     def numbers(key, table):
         table = table.sort_by("task")           # the same order of additions on every run
-        hist = np.add.reduce([np.frombuffer(d, np.float64).reshape(3, -1) for d in table.column("data").to_pylist()])
-        found, all_ = best_number_split(hist, params), hist.sum(axis=1).tolist()
-        gain, at, missing, *left = found if found and found[0] > 0 else (0.0, -1, False, 0.0, 0.0, 0.0)
-        return pa.Table.from_pylist([dict(zip(_SPLIT_ARROW.names, (key[0].as_py(), key[1].as_py(), gain, at, missing, [], *left, *all_)))], _SPLIT_ARROW)
+        hist = np.add.reduce([np.frombuffer(d, np.float64).reshape(3, len(open_), -1) for d in table.column("data").to_pylist()])
+        found = []
+        for slot, node in enumerate(open_):
+            best = best_number_split(hist[:, slot], params)
+            if best and best[0] > 0:
+                found.append(dict(zip(_SPLIT_ARROW.names, (node, key[0].as_py(), *best[:3], [], *best[3:]))))
+        return pa.Table.from_pylist(found, _SPLIT_ARROW)
 
     def categories(key, table):
-        three = np.stack([table.column(c).to_numpy() for c in ("g", "h", "rows")])
-        all_ = np.array([table.column(c)[0].as_py() for c in ("all_g", "all_h", "all_rows")])
-        found = best_category_split(table.column("code").to_numpy(), three, all_, params)
-        gain, codes, *left = found if found and found[0] > 0 else (0.0, [], 0.0, 0.0, 0.0)
-        return pa.Table.from_pylist([dict(zip(_SPLIT_ARROW.names, (key[0].as_py(), key[1].as_py(), gain, -1, False, codes, *left, *all_.tolist())))], _SPLIT_ARROW)
-
-    result = sums.filter("data IS NOT NULL").select("node", "feature", "task", "data").groupBy("node", "feature").applyInArrow(numbers, SPLITS)
-    if n_categories:
-        by_code = (sums.filter("data IS NULL").groupBy("node", "feature", "code").agg(*[F.sum(c).alias(c) for c in ("g", "h", "rows")]))
-        totals = by_code.groupBy("node", "feature").agg(*[F.sum(c).alias(f"all_{c}") for c in ("g", "h", "rows")])
-        ratio = F.col("g") / (F.col("h") + params.cat_smooth)
-        often = by_code.filter(F.col("rows") >= params.cat_min_rows)
-        here = Window.partitionBy("node", "feature")
+        code, first = np.unique(table.column("code").to_numpy(), return_index=True)         # a code may be near both ends
+        three = np.stack([table.column(c).to_numpy()[first] for c in ("g", "h", "rows")])
+        best = best_category_split(code, three, np.array(totals[key[0].as_py()]), params)
+        found = [dict(zip(_SPLIT_ARROW.names, (key[0].as_py(), key[1].as_py(), best[0], -1, False, best[1], *best[2:])))] if best and best[0] > 0 else []
+        return pa.Table.from_pylist(found, _SPLIT_ARROW)
+
+    result = sums.filter("data IS NOT NULL").select("feature", "task", "data").groupBy("feature").applyInArrow(numbers, SPLITS)
+    if has_categories:
+        by_code = (sums.filter("data IS NULL").groupBy("node", "feature", "code").agg(*[F.sum(c).alias(c) for c in ("g", "h", "rows")])
+                   .filter(F.col("rows") >= params.cat_min_rows))
+        ratio, here = F.col("g") / (F.col("h") + params.cat_smooth), Window.partitionBy("node", "feature")
         # both ends of the order alone: each map task sends no more than that
-        ends = [often.withColumn("_r", F.row_number().over(here.orderBy(o, "code"))).filter(F.col("_r") <= params.cat_most).drop("_r") for o in (ratio.asc(), ratio.desc())]
-        few = ends[0].union(ends[1]).distinct().join(totals, ["node", "feature"])
-        result = result.unionByName(few.groupBy("node", "feature").applyInArrow(categories, SPLITS))
-    order = F.struct((-F.col("gain")).alias("_worst"), "feature", "gain", "bin", "missing", "codes", "g", "h", "rows", "all_g", "all_h", "all_rows")
-    return result.groupBy("node").agg(F.min(order).alias("_best")).select("node", "_best.*").drop("_worst")
+        ends = [by_code.withColumn("_r", F.row_number().over(here.orderBy(o, "code"))).filter(F.col("_r") <= params.cat_most).drop("_r") for o in (ratio.asc(), ratio.desc())]
+        result = result.unionByName(ends[0].union(ends[1]).groupBy("node", "feature").applyInArrow(categories, SPLITS))
+    return result
 
 
 def _grow(graded: DataFrame, wanted: Sequence[int], n_numbers: int, n_categories: int, params: Params) -> tuple[Node, ...]:
@@ -369,17 +378,17 @@ def _grow(graded: DataFrame, wanted: Sequence[int], n_numbers: int, n_categories
     are as many passes as levels. Splits that the queue never reaches are
     dropped again.
     """
-    some_categories = sum(f >= n_numbers for f in wanted)
+    some_categories = any(f >= n_numbers for f in wanted)
     leaf = lambda g, h, rows: Node(-1, -1, False, (), -1, -1, float(-params.learning_rate * _soft(g, params.l1) / (h + params.l2)) if rows else 0.0, 0.0, int(rows))
-    tree: list[Node] = [leaf(0.0, 0.0, 0)]
+    totals = {0: _totals(graded)}
+    tree: list[Node] = [leaf(*totals[0])]
     splits: dict[int, object] = {}
     open_ = [0]
     while True:
         sums = _histograms(graded, tree, wanted, open_, params.bins, n_numbers)
-        for r in _best_splits(sums, params, some_categories).collect():          # a record per open leaf
-            splits[r.node] = r
-            if r.node == 0:
-                tree[0] = leaf(r.all_g, r.all_h, r.all_rows)
+        for r in _best_splits(sums, params, open_, totals, some_categories).collect():        # a record per open leaf and feature
+            if r.node not in splits or (-r.gain, r.feature) < (-splits[r.node].gain, splits[r.node].feature):
+                splits[r.node] = r
         queue, taken, waiting = [], [], False
         push = lambda n: n in splits and splits[n].gain > 0 and heapq.heappush(queue, (-splits[n].gain, n))
         push(0)
@@ -398,9 +407,13 @@ def _grow(graded: DataFrame, wanted: Sequence[int], n_numbers: int, n_categories
         open_ = []
         for _, n in ready[:params.leaves - len(taken)]:
             r = splits[n]
+            left = (r.g, r.h, r.rows)
+            right = tuple(a - b for a, b in zip(totals[n], left))
             tree[n] = tree[n]._replace(feature=r.feature, bin=r.bin, missing=bool(r.missing), codes=tuple(r.codes), left=len(tree), right=len(tree) + 1, gain=r.gain)
-            tree += [leaf(r.g, r.h, r.rows), leaf(r.all_g - r.g, r.all_h - r.h, r.all_rows - r.rows)]
-            open_ += [len(tree) - 2, len(tree) - 1]
+            for side in (left, right):
+                totals[len(tree)] = side
+                open_.append(len(tree))
+                tree.append(leaf(*side))
     return _pruned(tree, set(taken))
 
 

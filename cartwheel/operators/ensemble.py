@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartwheel.functions.ranks import top_n
+from cartwheel.functions.stage import cut
 from cartwheel.operators.evaluate import best_by_score, mean_average_precision
 
 PAIR = ["customer_id", "article_id"]
@@ -67,3 +68,58 @@ def evaluate_weights(ranks: DataFrame, truth: DataFrame, vectors: Sequence[Mappi
 def best_weights(evaluated: DataFrame) -> DataFrame:
     """The vector with the highest MAP, ties to the smaller id."""
     return evaluated.orderBy(F.desc("map"), F.asc("vector_id")).limit(1)
+
+
+def search_weights(ranks: DataFrame, truth: DataFrame, experiments: Sequence[str], rule: str = "max", n: int = 12, rounds: int = 20,
+                   step: float = 0.25, tolerance: float = 1e-3) -> tuple[dict[str, float], float, int]:
+    """(weights, their MAP, number of vectors tried) by a simplex search over the experiments' weights, which sum to 1.
+
+    A round tries all points that the search may move to (reflection, expansion,
+    both contractions and the shrunken simplex) in one job, and then moves as
+    the plain method does. It ends when the simplex is smaller than
+    ``tolerance`` or after ``rounds``. Equal MAPs go by the order of trial, so
+    the same input gives the same weights.
+    """
+    ranks, truth = cut(ranks), cut(truth)
+    size = len(experiments) - 1
+    tried: dict[tuple[float, ...], tuple[float, int]] = {}
+
+    def weights(point: Sequence[float]) -> tuple[float, ...]:
+        own = [max(0.0, x) for x in point]
+        own += [max(0.0, 1.0 - sum(own))]
+        return tuple(round(w / sum(own), 9) for w in own)
+
+    def evaluate(points: list[tuple[float, ...]]) -> list[tuple[float, int]]:
+        new = list(dict.fromkeys(w for p in points if (w := weights(p)) not in tried))
+        if new:
+            report = evaluate_weights(ranks, truth, [dict(zip(experiments, w)) for w in new], rule, n)
+            found = {r["vector_id"]: r["map"] for r in report.collect()}        # a row per vector
+            for i, w in enumerate(new):
+                tried[w] = (-found.get(i, 0.0), len(tried))
+        return [tried[weights(p)] for p in points]
+
+    even = [1.0 / (size + 1)] * size
+    simplex = [tuple(even)] + [tuple(x + step * (i == j) for j, x in enumerate(even)) for i in range(size)]
+    for _ in range(rounds if size else 0):
+        simplex = [p for _, p in sorted(zip(evaluate(simplex), simplex))]
+        best, worst = simplex[0], simplex[-1]
+        if max(abs(a - b) for p in simplex[1:] for a, b in zip(p, best)) < tolerance:
+            break
+        center = [sum(p[i] for p in simplex[:-1]) / size for i in range(size)]
+        along = lambda t: tuple(c + t * (c - w) for c, w in zip(center, worst))
+        shrunken = [tuple((a + b) / 2 for a, b in zip(p, best)) for p in simplex[1:]]
+        reflected, expanded, outer, inner = moves = [along(1.0), along(2.0), along(0.5), along(-0.5)]
+        value = dict(zip([*moves, *simplex, *shrunken], (v for v, _ in evaluate([*moves, *simplex, *shrunken]))))
+        if value[reflected] < value[best]:
+            simplex[-1] = expanded if value[expanded] < value[reflected] else reflected
+        elif value[reflected] < value[simplex[-2]]:
+            simplex[-1] = reflected
+        else:
+            pulled = outer if value[reflected] < value[worst] else inner
+            if value[pulled] < min(value[reflected], value[worst]):
+                simplex[-1] = pulled
+            else:
+                simplex = [best, *shrunken]
+    evaluate(simplex)
+    found, (value, _) = min(tried.items(), key=lambda t: t[1])
+    return dict(zip(experiments, found)), -value, len(tried)

@@ -1,4 +1,4 @@
-"""Models: rows-only checks, since fitted trees and factors have no SQL form."""
+"""Models: gradients, contracts and blends with SQL; fitted trees and factors have none."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ import re
 
 from pyspark.sql import functions as F
 
+from cartwheel.functions.dates import trailing
 from cartwheel.functions.stage import cut
-from cartwheel.operators import candidates as C, evaluate as E, labels as L, models as M, prepare as P
+from cartwheel.operators import candidates as C, ensemble as X, evaluate as E, factors as N, gradients as G, labels as L, models as M, prepare as P
 from cartwheel.plans import blend as blend_plan, forecast as forecast_plan, two_stage as T
 from checks import candidate_sql as Q
-from checks.evaluation import EXPERIMENTS, VECTORS, oof, submissions
-from checks.features import LABELLED, _sampled
-from checks.views import FORECAST_AFTER, GROUPS, TRAIN_START, VALID_START, Views, sql
+from checks.evaluation import _MAPS, _ranked_vectors, EXPERIMENTS, OOF, RANKS, SUB, VECTORS, oof, submissions
+from checks.features import CAND, LABELLED, _sampled, labelled
+from checks.views import FORECAST_AFTER, GROUPS, TRAIN_START, VALID_START, Views, q6, r6, sql
 
 QUERIES, SQL = {}, {}
 FORECAST_UNTIL = "1995-09-01"
@@ -129,6 +130,112 @@ def blended_submission(v):
     return result
 
 
+# ---- ranking losses, rounds and factors ------------------------------------------------
+
+def _ranked_labels(v):
+    """Labelled candidates with a score of a few values, so that ranks have ties."""
+    return labelled(v).withColumn("score", 3.0 - F.floor(F.col(C.RANK) / 4))
+
+
+def _gradients(metric):
+    order = ("article_id", C.STRATEGY, C.RANK)
+    return lambda v: G.add_ranking_gradients(_ranked_labels(v), "score", order=order, metric=metric).select(
+        "customer_id", "article_id", C.STRATEGY, C.RANK, r6("gradient").alias("gradient"), r6("hessian").alias("hessian"))
+
+
+# every pair of unlike labels with a row among the first twelve; what a swap changes, from the ranks and the hits up to each
+_SWAP = {
+    "ndcg": """abs(CASE WHEN u.k <= 12 THEN 1 / log2(u.k + 1.0::DOUBLE) ELSE 0 END - CASE WHEN d.k <= 12 THEN 1 / log2(d.k + 1.0::DOUBLE) ELSE 0 END)
+        / (SELECT sum(1 / log2(i + 1.0::DOUBLE)) FROM (SELECT unnest(range(1, 13)) AS i) WHERE i <= u.total)""",
+    "map": """((u.hits + 1 - u.buy) / u.k::DOUBLE + (d.upto - CASE WHEN d.k <= 12 THEN d.buy / d.k::DOUBLE ELSE 0 END - u.upto)
+        - CASE WHEN d.k <= 12 THEN d.hits / d.k::DOUBLE ELSE 0 END) / least(u.total, 12)"""}
+
+
+def _gradient_sql(metric):
+    row = '"1st_stage_strategy", "1st_stage_rank"'
+    return sql(f"""SELECT customer_id, article_id, {row}, {q6('coalesce(gradient, 0)')} AS gradient, {q6('coalesce(hessian, 0)')} AS hessian
+        FROM r LEFT JOIN (SELECT customer_id, k, sum(g) AS gradient, sum(h) AS hessian FROM (
+            SELECT customer_id, unnest([uk, dk]) AS k, unnest([CASE WHEN ub = 1 THEN -w * doubt ELSE w * doubt END, CASE WHEN ub = 1 THEN w * doubt ELSE -w * doubt END]) AS g,
+                   unnest([w * doubt * (1 - doubt), w * doubt * (1 - doubt)]) AS h
+            FROM (SELECT u.customer_id, u.k AS uk, d.k AS dk, u.buy AS ub, {_SWAP[metric]} AS w,
+                         1 / (1 + exp((u.score - d.score) * (2 * u.buy - 1))) AS doubt
+                  FROM z u JOIN z d ON u.customer_id = d.customer_id AND u.k < d.k AND u.k <= 12 AND u.buy <> d.buy)) GROUP BY 1, 2) USING (customer_id, k)""",
+        "hist", "targ", "truth", cand=CAND, lab=LABELLED,
+        r=f"""SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id, {row}) AS k
+            FROM (SELECT *, 3.0::DOUBLE - floor("1st_stage_rank" / 4) AS score FROM lab)""",
+        y="SELECT *, CAST(sum(buy) OVER (PARTITION BY customer_id ORDER BY k) AS BIGINT) AS hits, CAST(sum(buy) OVER (PARTITION BY customer_id) AS BIGINT) AS total FROM r",
+        z="SELECT *, sum(CASE WHEN k <= 12 THEN buy * 1.0::DOUBLE / k ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY k) AS upto FROM y")
+
+
+for _metric in ("ndcg", "map"):
+    add(f"ranking_gradients_{_metric}", _gradients(_metric))
+    SQL[f"ranking_gradients_{_metric}"] = _gradient_sql(_metric)
+
+
+def ranking_model_map(v):
+    """MAP of the pointwise and both ranking losses, each stopped at its best round."""
+    train, valid, features = _two_frames(v)
+    truth, rows = L.truth_pairs(v.target()), []
+    counts = truth.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_truth"))
+    valid = cut(valid.join(counts, "customer_id", "left"))
+    for objective in ("log_loss", "ndcg", "map"):
+        model = M.fit_buy_model(train, valid, features, truth="n_truth", objective=objective, min_hessian=1e-6)
+        value = E.mean_average_precision(E.best_by_score(M.score(model, valid), "pred"), truth).first()["map"]
+        rows.append((objective, len(model.trees), len(model.history), float(value)))
+    return v.spark.createDataFrame(rows, "objective string, rounds int, watched int, map double")
+
+
+def booster_rounds(v):
+    """Log loss and MAP on the holdout after each round."""
+    train, valid, features = _two_frames(v)
+    model = M.fit_buy_model(train, valid, features, rounds=10)
+    return v.spark.createDataFrame(list(model.history), "rounds int, log_loss double, map double")
+
+
+def factor_errors(v):
+    """Squared error of the ranks 2 to 9, fitted in the same passes over the last year."""
+    _, _, history = N.factorise(trailing(v.history(), "1y"), tuple(range(2, 10)), iterations=5)
+    return v.spark.createDataFrame(history, "n_factors int, iteration int, error double")
+
+
+def factor_counts(v):
+    """Candidates per target: twelve different articles for everyone who bought before."""
+    found = N.factor_candidates(v.history(), v.target(), iterations=3)
+    return found.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("article_id").alias("n_distinct"), F.max("1st_stage_rank").alias("last_rank"))
+
+
+SQL["factor_counts"] = sql("SELECT DISTINCT customer_id, 12::BIGINT AS n, 12::BIGINT AS n_distinct, 11 AS last_rank FROM targ WHERE customer_id IN (SELECT customer_id FROM hist)",
+                           "hist", "targ")
+
+
+def factor_search_share(v):
+    """Share of the pairs of buyers and articles that the bounded search scores."""
+    rows, items, _ = N.factorise(trailing(v.history(), "1y"), (4,), iterations=3)
+    best, share = N.best_products(rows, items)
+    return best.agg(F.count_distinct("customer_id").alias("n_customers"), F.count(F.lit(1)).alias("n_found")).withColumn("share", F.lit(share))
+
+
+def searched_weights(v):
+    """Weights by simplex search on the holdout."""
+    found, value, tried = X.search_weights(X.oof_ranks(oof(v)), L.truth_pairs(v.target()), list(EXPERIMENTS), "max", rounds=8)
+    return v.spark.createDataFrame([(e, w, value, tried) for e, w in found.items()], "exp string, weight double, map double, tried int")
+
+
+_BLENDED = f"""SELECT customer_id, string_agg(article_id, ' ' ORDER BY place) AS prediction, CAST(count(*) AS INTEGER) AS n_articles, count(*) = 12 AS complete
+    FROM (SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY src, rank) AS place FROM (
+      SELECT customer_id, article_id, src, rank FROM (
+        SELECT customer_id, article_id, 0 AS src, rank FROM blended
+        UNION ALL SELECT c.customer_id, article_id, 1, r FROM (SELECT DISTINCT customer_id FROM targ) c CROSS JOIN ({Q.popular()}))
+      QUALIFY row_number() OVER (PARTITION BY customer_id, article_id ORDER BY src, rank) = 1) QUALIFY place <= 12) GROUP BY 1"""
+_VECTOR_ROWS = ", ".join(f"({i}, '{e}', {w!r}::DOUBLE)" for i, vec in enumerate(VECTORS) for e, w in vec.items())
+SQL["blended_submission"] = sql(
+    _BLENDED, "hist", "targ", "truth", oof=OOF, ranks=RANKS, ranked=_ranked_vectors("max"), maps=_MAPS, sub=SUB,
+    chosen=f"SELECT exp, w FROM (VALUES {_VECTOR_ROWS}) t(vector_id, exp, w) WHERE vector_id = (SELECT vector_id FROM maps ORDER BY map DESC, vector_id LIMIT 1)",
+    blended="""SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) AS rank
+        FROM (SELECT customer_id, article_id, max(rank * w) AS score FROM sub JOIN chosen USING (exp) GROUP BY 1, 2) QUALIFY rank <= 12""")
+
+for _fn in (ranking_model_map, booster_rounds, factor_errors, factor_counts, factor_search_share, searched_weights):
+    add(_fn.__name__, _fn)
 for _fn in (buy_model_scores, buy_model_map, bagged_model_scores, warm_cold_scores, model_importance, stored_model_scores,
             first_week_forecast, first_week_forecast_report, rolling_training_rows, final_submission, blended_submission):
     add(_fn.__name__, _fn)

@@ -117,7 +117,7 @@ def test_number_split_equals_all_thresholds(seed):
 def test_stopping_round_is_the_best_of_all(spark):
     train, valid = (spark.createDataFrame(rows(900, seed), SCHEMA) for seed in (1, 2))
     features = ["x", "y", "shop"]
-    params = B.Params(rounds=14, leaves=6, min_rows=10, learning_rate=0.9, patience=5, window=4)
+    params = B.Params(rounds=10, leaves=5, min_rows=10, learning_rate=0.9, patience=4, window=4)
     model = B.fit(train, features, params, valid)
     # the same rounds without watching, cut by hand
     whole = B.fit(train, features, params._replace(rounds=len(model.history)))
@@ -133,7 +133,7 @@ def test_stopping_round_is_the_best_of_all(spark):
             report = E.mean_average_precision(E.best_by_score(scored, "pred"), truth).first()
             assert abs(report[0] - precision) < 1e-9
     best = min(range(len(losses)), key=losses.__getitem__) + 1
-    assert len(model.trees) == best and len(losses) - best >= 5 or len(losses) == 14
+    assert len(model.trees) == best and len(losses) - best >= 4 or len(losses) == 10
 
 
 def test_ranking_loss_is_not_below_the_pointwise_one(spark):
@@ -149,7 +149,7 @@ def test_ranking_loss_is_not_below_the_pointwise_one(spark):
     truth = valid.filter("buy = 1").select("customer_id", "article_id")
     value = {}
     for objective in ("log_loss", "ndcg", "map"):
-        model = B.fit(train, ["x", "y"], B.Params(objective=objective, rounds=12, leaves=8, min_rows=10, min_hessian=1e-6, window=6), valid)
+        model = B.fit(train, ["x", "y"], B.Params(objective=objective, rounds=8, leaves=6, min_rows=10, min_hessian=1e-6, window=8), valid)
         value[objective] = E.mean_average_precision(E.best_by_score(B.score(model, valid), "pred"), truth).first()[0]
         assert abs(value[objective] - max(h[2] for h in model.history)) < 1e-9 or objective == "log_loss"
     assert min(value["ndcg"], value["map"]) >= value["log_loss"] - 0.01 and value["ndcg"] > 0.7
