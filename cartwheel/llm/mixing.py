@@ -2,28 +2,24 @@
 
 Every source lines its documents up in a shuffled order (a hash of seed and
 id), as often as needed. A copy's virtual finish time is the number of its
-source's words up to its end, divided by the source's target weight. With the
-targets themselves as weights every source is served until time 1, where the
-total budget is used up; the copies sorted by finish time are the mix, and the
-copy being served at time 1 is cut there (or, for whole documents, taken when
-at least half of it lies before).
-
-Running sums are split: a source's documents fall into ``BUCKETS`` hash ranges,
-ranges are summed first, and only the ranges' totals are accumulated per
-source, so a source that holds a third of all rows is many tasks' work.
+source's words up to its end, divided by the source's target. All copies are
+range-sorted by finish time, their words are added up over the ranges, and the
+mix ends where the sum reaches the total budget, the sum of the targets in
+whole words. The copy that the budget ends in is cut there (or, for whole
+documents, taken when at least half of it lies before). So each source gets its
+target up to a document or so.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cartwheel.functions.ranks import sorted_rank
-from cartwheel.functions.stage import cut, stage_path
+from cartwheel.functions.ranks import running_sum, sorted_rank
+from cartwheel.functions.stage import cut
 from cartwheel.llm.common import WORD_PATTERN, whole_text
 
-BUCKETS = 4096
 WEIGHTS = (5, 2, 1)
 
 
@@ -37,7 +33,7 @@ def shuffle_key(seed: int, *columns: str) -> Column:
 
 
 def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 150, most: int = 2) -> DataFrame:
-    """Add ``target`` to (source, source_size); one row per source, null allowed.
+    """Add ``target`` and ``place`` in the order to (source, source_size); one row per source, null allowed.
 
     Sources in code point order, null last, have ``weights`` in turn and share
     ``percent`` of all words; none gets more than ``most`` times its size, and
@@ -47,7 +43,7 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, percent
     ordered = sources.withColumn("_last", F.col("source").isNull())
     ranked = sorted_rank(ordered, ["_last", "source"], "_rank")
     by_turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    weighed = cut(ranked.withColumn("_weight", by_turn.cast("bigint")).drop("_last", "_rank"))
+    weighed = cut(ranked.withColumn("_weight", by_turn.cast("bigint")).drop("_last"))
     cap = F.col("source_size") * most
     total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     share, capped = None, -1
@@ -60,6 +56,7 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, percent
             break
         # words for each unit of weight, as a fraction of two whole numbers
         capped, share = n, (percent * total - 100 * held, 100 * open_weight)
+    weighed = weighed.withColumnRenamed("_rank", "place")
     if share is None:
         return weighed.withColumn("target", F.lit(0.0)).drop("_weight")
     ratio = F.lit(float(share[0])) / F.lit(float(share[1]))
@@ -68,51 +65,48 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, percent
 
 def mix(docs: DataFrame, seed: int = 7, weights: Sequence[int] = WEIGHTS, percent: int = 150, most: int = 2,
         whole: bool = False, size: Column | None = None, keep: Sequence[str] = (), numbered: bool = False) -> DataFrame:
-    """The mix: (doc_id, source, size, source_size, target, pass, finish, words [, keep] [, row]), sorted by finish time.
-
-    One row for every document and pass that is served before time 1, ``words``
-    of it taken: the whole document, less for the copy cut at time 1 (with
-    ``whole`` all or none). Documents of which nothing is taken appear once
-    with ``words`` 0 and a null finish time, so that the result covers all rows.
-    ``size`` defaults to the number of words in ``text``. Ties in the order go
-    by id; rows that repeat an id and a size are interchangeable. ``numbered``
-    adds ``row``, a number of the input row that its copies share and that may be another in the next run.
-    Null sources are one source, null texts have size 0, null ids are kept. Empty table: empty mix.
+    """The mix: (doc_id, source, size, source_size, target, pass, finish, words [, keep] [, row]).
+
+    One row for every document and pass that is served before the budget ends,
+    ``words`` of it taken: the whole document, less for the copy the budget ends
+    in (with ``whole`` all or none). Documents of which nothing is taken appear
+    once with ``words`` 0 and a null finish time, so that the result covers all
+    rows. ``size`` defaults to the number of words in ``text``. Columns to
+    ``keep`` meet the mix at its end, so that texts are not sorted. Ties go by
+    key, id, source and size; rows of one id are lined up by all their columns,
+    and equal rows are interchangeable. ``numbered`` adds ``row``, a number of
+    the input row that its copies share and that may be another in the next run.
+    Null sources are one source, null texts have size 0, null ids are kept.
+    Empty table: empty mix.
     """
     size = word_count() if size is None else size
-    stored = docs.select("doc_id", "source", size.alias("size"), shuffle_key(seed, "doc_id").alias("_key"), *keep,
-                         F.monotonically_increasing_id().alias("_row"))
-    path = stage_path(docs.sparkSession, "mix")
-    stored.write.option("compression", "zstd").parquet(path)
-    stored = docs.sparkSession.read.schema(stored.schema).parquet(path)
-    # columns that only pass through, such as texts, meet the mix at its end
-    rows = stored.drop(*keep).withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
-    ranges = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_in"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
-    sources = ranges.groupBy("source").agg(F.sum("_in").alias("source_size"))
-    targets = cut(source_targets(sources, weights, percent, most))
-    ranges = ranges.withColumnRenamed("source", "_s").join(
-        targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).withColumnRenamed("_bucket", "_b")
-    placed = rows.join(ranges.drop("_t", "_in"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    within = (Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    start = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    placed = placed.withColumn("_start", start)
-    # time 1 in whole words of the source
-    limit = F.floor(F.col("target")).cast("bigint")
-    served = F.array(*[F.struct(F.lit(p).alias("pass"), (F.col("_start") + p * F.col("source_size")).alias("at")) for p in range(most)])
-    served = F.filter(served, lambda s: (s["at"] < limit) & (F.lit(True) if not whole else 2 * (limit - s["at"]) >= F.col("size")) & (F.col("size") > 0))
-    copies = placed.withColumn("_copy", F.explode_outer(served))
-    taken = F.when(F.col("_copy").isNotNull(), F.col("size") if whole else F.least(F.col("size"), limit - F.col("_copy.at")))
-    mixed = copies.select(
-        "doc_id", "source", "size", "source_size", "target", F.col("_copy.pass").alias("pass"),
-        ((F.col("_copy.at") + F.col("size")) / F.col("target")).alias("finish"),
-        F.coalesce(taken, F.lit(0)).cast("bigint").alias("words"), "_row")
+    content = F.xxhash64(*[F.col(c) for c in docs.columns if c not in ("doc_id", "source")]) if len(docs.columns) > 2 else F.lit(0).cast("bigint")
+    rows = cut(docs.select("doc_id", "source", size.alias("size"), shuffle_key(seed, "doc_id").alias("_key"), content.alias("_content"), *keep,
+                           F.monotonically_increasing_id().alias("_row")), "zstd")
+    slim = rows.drop(*keep)
+    sizes = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
+    targets = cut(source_targets(sizes, weights, percent, most))
+    # words of the sources before, from one row per source
+    offsets = running_sum(targets.select("place", "source_size"), ["place"], "source_size", "_to").select(
+        F.col("place").alias("_p"), (F.col("_to") - F.col("source_size")).alias("_before"))
+    known = cut(targets.join(offsets, F.col("place") == F.col("_p")).withColumnRenamed("source", "_s").drop("_p"))
+    lined = slim.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    lined = running_sum(lined, ["place", "_key", "doc_id", "size", "_content", "_row"], "size", "_to")
+    copies = lined.withColumn("pass", F.explode(F.array(*[F.lit(p) for p in range(most)])))
+    end = F.col("_to") - F.col("_before") + F.col("pass") * F.col("source_size")
+    copies = copies.withColumn("finish", end / F.nullif(F.col("target"), F.lit(0.0)))
+    # a copy's words, under a name of their own: ``size`` is part of the order
+    queue = running_sum(copies.withColumn("words", F.col("size")), ["finish", "_key", "doc_id", "place", "size", "pass", "_content", "_row"], "words", "_served")
+    budget = targets.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0)).cast("bigint")).first()[0]
+    left = F.lit(budget) - (F.col("_served") - F.col("size"))
+    words = F.when(2 * left >= F.col("size"), F.col("size")).otherwise(0) if whole else F.greatest(F.lit(0), F.least(F.col("size"), left))
+    served = queue.withColumn("words", F.when(left > 0, words).otherwise(0).cast("bigint")).filter((F.col("words") > 0) | (F.col("pass") == 0))
+    there = F.col("words") > 0
+    mixed = served.select("doc_id", "source", "size", "source_size", "target", F.when(there, F.col("pass")).alias("pass"),
+                          F.when(there, F.col("finish")).alias("finish"), "words", "_row")
     if keep:
-        mixed = mixed.join(stored.select("_row", *keep), "_row")
-    mixed = mixed.withColumnRenamed("_row", "row") if numbered else mixed.drop("_row")
-    return mixed.repartitionByRange(F.col("finish").asc_nulls_last(), "doc_id", "pass").sortWithinPartitions(F.col("finish").asc_nulls_last(), "doc_id", "pass")
+        mixed = mixed.join(rows.select("_row", *keep), "_row")
+    return mixed.withColumnRenamed("_row", "row") if numbered else mixed.drop("_row")
 
 
 def words_taken(mixed: DataFrame) -> DataFrame:

@@ -18,11 +18,14 @@ o AS (SELECT *, row_number() OVER least_room AS i, sum(source_size) OVER () AS t
 r AS (SELECT CAST(150 * total - 100 * held AS DOUBLE) / CAST(100 * open_weight AS DOUBLE) AS ratio FROM o
       WHERE (150 * total - 100 * held) * weight <= 200 * source_size * open_weight ORDER BY i LIMIT 1),
 t AS (SELECT source, source_size, least((SELECT ratio FROM r) * weight, CAST(2 * source_size AS DOUBLE)) AS target FROM w),
-p AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS most,
-             CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       greatest(0, least(size, most - start)) + greatest(0, least(size, most - start - source_size)) AS taken FROM p
+p AS (SELECT row_number() OVER () AS r, d.*, t.source_size, t.target,
+             CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CAST(upto + pass * source_size AS DOUBLE) / target AS finish FROM p CROSS JOIN (SELECT unnest(range(2)) AS pass)),
+q AS (SELECT *, sum(size) OVER (ORDER BY finish, k, doc_id, source NULLS LAST, size, pass ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM c),
+b AS (SELECT sum(CAST(floor(target) AS BIGINT)) AS budget FROM t)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(size, budget - before))) AS BIGINT) AS taken
+FROM q, b GROUP BY r, doc_id, size, source_size, target
 """
 
 OP7 = f"""

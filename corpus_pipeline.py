@@ -18,7 +18,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose score reaches their language's threshold. The network learns from the stage's own input."""
+    """Drop the documents whose score reaches their language's threshold. The network learns from the stage's own input.
+
+    Null texts are scored as empty, null languages by the threshold of all;
+    rows of one id are judged one by one. Extra columns leave.
+    """
     judged = toxicity.judge(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), keep=COLUMNS)
     return judged.filter(F.col("score") < F.col("threshold")).select(*COLUMNS)
 
@@ -43,21 +47,32 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the kind of each span of personal data in its place; ``n_chars`` follows the text."""
+    """Put the kind of each span of personal data in its place; ``n_chars`` follows the text.
+
+    Null texts stay null, and every row stays; extra columns leave.
+    """
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents by source weight: some leave, some come twice. The order of the mix is that of the rows."""
+    """Whole documents by source weight: some leave, some come twice.
+
+    Null sources are one source; texts without a word, null ones too, have no
+    size and leave; rows of one id or text are documents of their own. Extra
+    columns leave, whatever their names.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS), whole=True, keep=["text", "lang", "n_chars"])
     return mixed.filter(F.col("words") > 0).select(*COLUMNS)
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode the mix and check the way back: ids with digests of the ids and of the decoded bytes."""
+    """The encoded mix: each row's ids, with digests of the ids and of the bytes they decode to.
+
+    Null and empty texts have no ids; rows of one id or text have a row each.
+    """
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode_documents(docs, path, pattern)
-    return bpe.round_trip_digests(encoded, path, pattern)
+    return bpe.round_trip_digests(encoded, path, pattern, keep_ids=True)
 
 
 STAGES = [

@@ -12,6 +12,8 @@ import pytest
 import tiktoken
 
 import __spark_entry__ as entry
+from mix_by_hand import mix_by_hand, targets_by_hand
+
 import corpus_pipeline as C
 from cartwheel.llm import queries, simhash
 
@@ -125,27 +127,11 @@ def test_sources_come_near_their_targets(outputs):
     sizes = collections.Counter()
     for r in before:
         sizes[r.source] += size(r)
-    names = sorted(s for s in sizes if s is not None) + [None]
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    capped, total = set(), 1.5 * sum(sizes.values())
-    while True:
-        share = (total - sum(2 * sizes[s] for s in capped)) / sum(weight[s] for s in names if s not in capped)
-        over = {s for s in names if s not in capped and share * weight[s] > 2 * sizes[s]}
-        if not over:
-            break
-        capped |= over
-    target = {s: 2 * sizes[s] if s in capped else share * weight[s] for s in names}
-    # line up by hash, copy by copy, and take what lies at least half before the target
+    given = [(r.doc_id, r.source, size(r)) for r in before]
     want = collections.Counter()
-    for s in names:
-        own = sorted((r for r in before if r.source == s), key=lambda r: (
-            hashlib.md5(f"7|{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:16], r.doc_id is not None, r.doc_id or 0, size(r)))
-        at = 0
-        for _ in range(2):
-            for r in own:
-                if at < int(target[s]) and 2 * (int(target[s]) - at) >= size(r) > 0:
-                    want[key(r)] += 1
-                at += size(r)
+    for r, taken in zip(before, mix_by_hand(given, targets_by_hand(sizes), whole=True)):
+        if taken:
+            want[key(r)] += taken // size(r)
     assert collections.Counter(map(key, after)) == want
 
 
@@ -157,8 +143,8 @@ def test_the_mix_is_encoded_and_comes_back(outputs):
     want = []
     for r in before:
         ids = library.encode_ordinary(r.text or "")
-        want.append((r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((r.text or "").encode())))
-    assert sorted((tuple(r) for r in after), key=repr) == sorted(want, key=repr)
+        want.append((r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((r.text or "").encode()), ids))
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.ids) for r in after), key=repr) == sorted(want, key=repr)
 
 
 def test_run_is_the_stages_in_order(spark, folder, outputs):
@@ -167,5 +153,5 @@ def test_run_is_the_stages_in_order(spark, folder, outputs):
 
 def test_registered():
     names = list(entry.queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(queries.SQL) <= set(queries.QUERIES)

@@ -15,6 +15,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from mix_by_hand import mix_by_hand, targets_by_hand
+
 from cartwheel.llm import bpe, mixing, queries, token_counts, token_files, wordmemo
 
 random.seed(4)
@@ -124,21 +126,6 @@ def test_token_files_keep_repeated_and_null_ids(spark, docs, tmp_path):
     assert len(rows) == len(ODD) and [r.start for r in rows if r.doc_id is None] == [0]
 
 
-def targets_by_hand(sizes, percent=150):
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    total, capped = percent / 100 * sum(sizes.values()), set()
-    while True:
-        rest = [s for s in names if s not in capped]
-        if not rest:
-            return {s: 2.0 * sizes[s] for s in names}
-        share = (total - sum(2 * sizes[s] for s in capped)) / sum(weight[s] for s in rest)
-        over = {s for s in rest if share * weight[s] > 2 * sizes[s] + 1e-9}
-        if not over:
-            return {s: 2.0 * sizes[s] if s in capped else share * weight[s] for s in names}
-        capped |= over
-
-
 def mixture(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(["w x"] * rng.choice([0, 1, 5, 40, 300])), "big" if rng.random() < 0.4 else rng.choice(["a", "B", "é", None]), 1, "z") for i in range(600)]
@@ -159,9 +146,21 @@ def test_mix_meets_its_targets(spark):
     for r in rows:
         taken[r.source] += r.words
         assert r.words <= r.size and r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6
-    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
-    served = [r.finish for r in rows if r.finish is not None]
-    assert served == sorted(served)
+    # the cut is at the budget, and every source is within a document of its target
+    assert sum(taken.values()) == sum(int(t) for t in want.values())
+    assert all(abs(taken[s] - want[s]) <= 600 for s in sizes)
+    served = sorted((r.finish, r.words < r.size) for r in rows if r.finish is not None)
+    assert [cut for _, cut in served].count(True) <= 1 and not any(cut for _, cut in served[:-1])
+    last = served[-1][0]
+    assert all(r.finish <= last for r in rows if r.finish is not None)
+    given = [(r.doc_id, r.source, count(r.text)) for r in docs.collect()]
+    by_hand = collections.Counter()
+    for (i, source, size), n in zip(given, mix_by_hand(given, want)):
+        by_hand[i, source, size] += n
+    found = collections.Counter()
+    for r in rows:
+        found[r.doc_id, r.source, r.size] += r.words
+    assert +found == +by_hand
     again = sorted(map(repr, mixing.mix(docs.repartition(7)).collect()))
     assert again == sorted(map(repr, rows))
     by_doc = mixing.words_taken(mixed).collect()
@@ -188,7 +187,17 @@ def test_whole_documents_stay_near_the_targets(spark):
     for source in {r.source for r in rows}:
         own = [r for r in rows if r.source == source]
         assert all(r.words in (0, r.size) for r in own)
-        assert abs(sum(r.words for r in own) - own[0].target) <= max(r["size"] for r in own) / 2 + 1
+        assert abs(sum(r.words for r in own) - own[0].target) <= 600
+    given = [(r.doc_id, r.source, r["size"]) for r in rows if r["pass"] in (0, None)]
+    sizes = collections.Counter()
+    for _, source, size in given:
+        sizes[source] += size
+    assert sum(r.words for r in rows) == sum(mix_by_hand(given, targets_by_hand(sizes), whole=True))
+    kept = mixing.mix(docs, whole=True, keep=["text"]).collect()
+    texts = collections.defaultdict(set)
+    for r in docs.collect():
+        texts[r.doc_id, r.source].add(r.text)
+    assert len(kept) == len(rows) and all(r.text in texts[r.doc_id, r.source] for r in kept)
 
 
 def test_empty_tables(spark, docs, tmp_path):
