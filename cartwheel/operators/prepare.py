@@ -101,14 +101,14 @@ def denormalise(transactions: DataFrame, customers: DataFrame, articles: DataFra
     """Transactions with customer and article columns; unmatched keys keep nulls.
 
     Either key may be hot, so both joins may split it. A dimension that is small
-    by the size Spark knows is broadcast and no rows move.
+    by the size Spark knows is broadcast and no rows move; one without a wanted
+    column is not joined.
     """
-    if customer_cols is not None:
-        customers = customers.select("customer_id", *customer_cols)
-    if article_cols is not None:
-        articles = articles.select("article_id", *article_cols)
-    wide = skew_join(transactions, customers, ["customer_id"])
-    return skew_join(wide, articles, ["article_id"])
+    wide = transactions
+    for side, key, wanted in ((customers, "customer_id", customer_cols), (articles, "article_id", article_cols)):
+        if wanted is None or len(wanted):               # without a column the join would change nothing
+            wide = skew_join(wide, side if wanted is None else side.select(key, *wanted), [key])
+    return wide
 
 
 # ---- row filters ----------------------------------------------------------------------
