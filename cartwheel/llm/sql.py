@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cartwheel.llm.quality import FREQUENT
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 # sources get their weights by rank; the k sources with the least room are at their caps, for the smallest k that
@@ -28,19 +30,27 @@ SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(size, budge
 FROM q, b GROUP BY r, doc_id, size, source_size, target
 """
 
+_FREQUENT = ", ".join(f"'{w}'" for w in FREQUENT)
+
 OP7 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS ws,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
 g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM d WHERE len(ws) >= 3),
 c AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
 v AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM c WHERE n > 1) GROUP BY r),
+h AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, ws FROM d WHERE len(ws) >= 5),
+k AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, ws[i], ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4] FROM h) GROUP BY r),
 f AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
              (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
-             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words
-      FROM d LEFT JOIN v USING (r)),
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words,
+             length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS letters, len(list_filter(ws, lambda w: w IN ({_FREQUENT}))) AS frequent,
+             len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS open_lines, len(lines) AS n_lines, coalesce(k.n, 0) AS windows
+      FROM d LEFT JOIN v USING (r) LEFT JOIN k USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
-SELECT *, NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND 10 * n_symbols <= n_words
-          AND NOT (n_dup_lines >= 3 AND 20 * n_dup_lines > n_words) AS kept FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND 10 * n_symbols <= n_words
+          AND NOT (n_dup_lines >= 3 AND 20 * n_dup_lines > n_words) AND 10 * letters >= 6 * word_chars AND frequent >= 2
+          AND 10 * open_lines <= 3 * n_lines AND 10 * windows >= 3 * (n_words - 4) AS kept FROM b
 """
 
 _AHEAD = ", ".join(f"lead(word, {i}) OVER here" for i in range(1, 20))

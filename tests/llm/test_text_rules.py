@@ -31,6 +31,9 @@ def quality_docs(spark):
     texts = [None, "", " \n\t", "a", "a b", "a a a", "a a a a", "x y z x y z", free(49), free(50), free(400), "a b c d\n" * 30, "one line\n\n\none line\n one line\none line",
              free(60) + " $$$ %%% ###", "  a b \x1c c", "w " * 5000, free(3000), " lead", "trail ", "a\r\nb\r\na\r\nb"]
     texts += [" ".join(random.choice("abc") for _ in range(random.randint(3, 60))) for _ in range(40)]
+    prose = lambda n: " ".join(random.choice(["the", "of", free(1), free(1), free(1)]) for _ in range(n))
+    texts += [prose(120), "\n".join(prose(9) for _ in range(12)), "\n".join(prose(9) + random.choice([" ...", "\u2026", "... "]) for _ in range(12)), prose(60) + " " + " ".join(str(10**7 + i) for i in range(90)),
+              (prose(7) + " ") * 4 + prose(300), " ".join([prose(40)] * 6)]
     rows = [(None if i == 2 else i % 50, t, 5, "h") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id bigint, text string, n_words int, _text string")
 
@@ -53,9 +56,37 @@ def test_verdicts_do_not_depend_on_the_order_of_rules(spark):
     assert kept(rules) == kept(rules[::-1])
     measured = quality.order_rules(docs, rules, 20)
     rates = [share / cost for _, share, cost in measured]
+    rejecting = {r.name for r in rules if docs.transform(lambda d: quality.with_figures(d, keep=True)).filter(~quality.base_failed() & r.rejects).count()}
+    assert {"few_letters", "no_prose", "open_lines"} <= rejecting
     assert rates == sorted(rates, reverse=True) and {m[0].name for m in measured} == {r.name for r in rules}
 
 
+def test_a_rule_is_not_evaluated_for_rows_that_are_rejected_before(spark):
+    docs = quality_docs(spark)
+    trap = quality.Rule("trap", F.length(F.raise_error(F.concat(F.lit("seen "), F.substring("_text", 1, 9)))) > 0)
+    n = F.col("n_words")
+    first = quality.Rule("first", n >= 50)
+    # rows below fifty words are the base rules', the others the first rule's; nothing is left for the trap
+    cascade = quality.cascade([quality.Rule("base", quality.base_failed()), first, trap])
+    seen = quality.with_figures(docs, keep=True).select("n_words", quality.base_failed().alias("base"), cascade.alias("by")).collect()
+    assert {r.by for r in seen} == {"base", "first"} and all(r.by == ("base" if r.base else "first") for r in seen)
+    with pytest.raises(Exception, match="seen"):
+        quality.with_figures(docs, keep=True).select(quality.cascade([trap, first])).collect()
+
+
+def test_figures_of_the_rules_equal_plain_loops(spark):
+    docs = quality_docs(spark)
+    t, w = F.col("_text"), F.col("_words")
+    found = quality.with_figures(docs, keep=True).select(
+        "_text", quality.letters(t).alias("a"), quality.frequent_words(w).alias("b"), quality.open_lines(t).alias("c"), quality.distinct_windows(w).alias("d")).collect()
+    for r in found:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r._text)
+        lines = [x for x in r._text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert r.a == sum(ch.isalpha() for ch in r._text) and r.b == sum(x in quality.FREQUENT for x in words)
+        assert r.c == sum(bool(re.search(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", x)) for x in lines)
+        assert r.d == len({tuple(words[i:i + 5]) for i in range(len(words) - 4)})
+
+
 def labelled(spark, n=260):
     rng = random.Random(1)
     words = ["".join(rng.choice("aeioust") for _ in range(rng.randint(2, 7))) for _ in range(400)]
