@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from cartwheel.functions.stage import cut
-from cartwheel.llm.common import chunks
+from cartwheel.llm.common import chunks, spread
 from cartwheel.llm.wordmemo import pieces
 
 BLOCK_CHARS = 4_000_000
@@ -163,12 +163,6 @@ class Ragged:
         return self.values[spread(first, sizes)], sizes
 
 
-def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... ``sizes`` times for each entry."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
-
-
 # ---- galloping ------------------------------------------------------------------------
 
 def gallop(short: np.ndarray, short_cuts: np.ndarray, long: np.ndarray, long_cuts: np.ndarray) -> np.ndarray:

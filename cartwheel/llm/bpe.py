@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cartwheel.llm.common import chunks
-from cartwheel.llm.wordmemo import Memo, pieces, raw
+from cartwheel.llm.wordmemo import CodeMemo, Memo, raw, spaced
 
 WIDEST = 256
 NONE = np.int32(2**31 - 1)
@@ -86,25 +86,30 @@ class BytePairs:
         self.pairs = PairTable((table[:, 0] << np.uint64(32)) | table[:, 1], table[:, 2].astype(np.int32))
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pretokens = Memo(self._merge_all, limit)
-        self.memo = Memo(self._pieces, limit)
+        self.memo = CodeMemo(self._pieces, limit)
 
     def forget(self) -> None:
         """Drop what was remembered: workers wait for the next task, perhaps of another kind, with little memory."""
-        self.pretokens.known, self.memo.known = {}, {}
+        self.pretokens.known = {}
+        self.memo.forget()
 
     # ---- encoding ----------------------------------------------------------------------
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text, as the merge ranks give them; no special tokens."""
-        split = [pieces(t) for t in texts]
-        whole = [self.pattern.findall(t) if s is None else None for t, s in zip(texts, split)]
-        plain = iter(self.memo.look_up([s for s in split if s is not None]))
-        odd = iter(self.pretokens.look_up([w for w in whole if w is not None]))
-        return [np.frombuffer(b"".join(next(odd if s is None else plain)), "<u4") for s in split]
+        split = [spaced(t) if t else None for t in texts]
+        whole = [self.pattern.findall(t) for t, s in zip(texts, split) if s is None]
+        plain = iter(self.memo.encode([s for s in split if s is not None]))
+        odd = iter(self.pretokens.look_up(whole))
+        return [np.frombuffer(b"".join(next(odd)) if s is None else next(plain), "<u4") for s in split]
 
     def _pieces(self, keys: list[str]) -> list[bytes]:
-        parts = [self.pattern.findall(raw(k)) for k in keys]
-        return [b"".join(v) for v in self.pretokens.look_up(parts)]
+        # a word of letters is one pre-token with its blank, and is remembered by its key alone
+        words = [k for k in keys if k.isalpha()]
+        found = dict(zip(words, self._merge_all([" " + k for k in words])))
+        other = [k for k in keys if not k.isalpha()]
+        found.update(zip(other, (b"".join(v) for v in self.pretokens.look_up([self.pattern.findall(raw(k)) for k in other]))))
+        return [found[k] for k in keys]
 
     def _merge_all(self, pretokens: list[str]) -> list[bytes]:
         data = [t.encode() for t in pretokens]
@@ -246,23 +251,28 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return kept.mapInArrow(decode, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids array<int>, data binary")
 
 
-def round_trip_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids (little-endian, 32 bits) and of the bytes they decode to.
+def round_trip_digests(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256 [, ids]): digests of the ids (little-endian, 32 bits) and of the bytes they decode to.
 
     The decoded bytes are digested where they arise, a few hundred documents at a time.
     """
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_pairs(path, pattern)
+        tokens = byte_pairs(path, pattern).tokens
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = [s.values.to_numpy(zero_copy_only=False).astype("<u4") for s in part.column("ids")]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
-                     pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
-                     pa.array([hashlib.sha256(encoder.decode(i)).hexdigest() for i in ids], pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                lists = part.column("ids")
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+                ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+                raw, spelled = memoryview(flat.tobytes()), list(map(tokens.__getitem__, flat.tolist()))
+                cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+                found = [part.column("doc_id"), pa.array(np.diff(ends), pa.int64()),
+                         pa.array([hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in cuts], pa.string()),
+                         pa.array([hashlib.sha256(b"".join(spelled[a:b])).hexdigest() for a, b in cuts], pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                yield pa.RecordBatch.from_arrays(found + [lists] * keep_ids, names + ["ids"] * keep_ids)
 
     kept = encoded.select("doc_id", "ids")
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return kept.mapInArrow(digest, schema + (", ids array<int>" if keep_ids else ""))

@@ -14,6 +14,10 @@ import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from cartwheel.llm.common import spread
 
 # fixed values: the characters of a plain text; a stop after another punctuation mark, which belongs to that mark
 PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
@@ -25,30 +29,32 @@ def is_plain(text: str) -> bool:
     return not (any(d in text for d in DOUBLED) or not PLAIN.fullmatch(text) or MARK_AND_STOP.search(text))
 
 
-def pieces(text: str) -> list[str] | None:
-    """Keys of the pieces of a plain text, else None. See ``raw`` for what a key stands for.
+def spaced(text: str) -> str | None:
+    """Keys of the pieces of a plain text with a blank between each two, else None. See ``raw`` for what a key stands for.
 
     A stop between a visible character and white space is a piece of its own,
     so that a word is one key with and without it, and so is a line feed. A stop
-    after a blank is one piece with that blank.
+    after a blank is one piece with that blank. An empty text has no keys.
     """
     if not is_plain(text):
         return None
-    spaced = text.replace(", ", " \t, ").replace(". ", " \t. ").replace(".\n", " \t.\n").replace(",\n", " \t,\n")
-    spaced = spaced.replace("  \t", " ")        # a plain text has no doubled blanks: these stops have a blank before them
-    keys = spaced.replace("\n", " \n \t").split(" ")
-    if keys[0]:
-        keys[0] = "\t" + keys[0] if keys[0][0] != "\t" else keys[0]
-    else:
-        del keys[0]
-    return keys
-
-
-def bare_words(text: str) -> list[str] | None:
-    """Keys of a plain text for tokenizers that drop case and white space, else None."""
+    keys = text.replace(", ", " \t, ").replace(". ", " \t. ").replace(".\n", " \t.\n").replace(",\n", " \t,\n")
+    keys = keys.replace("  \t", " ")        # a plain text has no doubled blanks: these stops have a blank before them
+    keys = keys.replace("\n", " \n \t")
+    return keys[1:] if keys[:1] == " " else keys if keys[:1] in ("", "\t") else "\t" + keys
+
+
+def pieces(text: str) -> list[str] | None:
+    """Keys of the pieces of a plain text, else None."""
+    keys = spaced(text)
+    return None if keys is None else keys.split(" ") if text else []
+
+
+def bare_words(text: str) -> str | None:
+    """Keys of a plain text for tokenizers that drop case and white space, with blanks between, else None; an empty key is none."""
     if not is_plain(text):
         return None
-    return text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ").split()
+    return text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ").replace("\n", " ")
 
 
 def raw(key: str) -> str:
@@ -77,10 +83,53 @@ class Memo:
         return values
 
 
+class CodeMemo:
+    """Codes of texts given as keys with blanks between: key -> codes for about ``limit`` keys at most, emptied when full.
+
+    A batch's keys are made distinct in Arrow, so a key is looked up once for a batch.
+    """
+
+    def __init__(self, resolve: Callable[[list[str]], Sequence[bytes]], limit: int):
+        self.resolve, self.limit = resolve, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.codes, self.cuts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """Every text's codes; none of the texts is empty."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        keys = lists.flatten().dictionary_encode()
+        rows = self._rows(keys.dictionary.to_pylist())[keys.indices.to_numpy()]
+        first, sizes = self.cuts[rows], self.cuts[rows + 1] - self.cuts[rows]
+        data = self.codes[spread(first, sizes)].tobytes()
+        ends = 4 * np.append(0, np.cumsum(sizes))[lists.offsets.to_numpy()]
+        return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _rows(self, keys: list[str]) -> np.ndarray:
+        rows = list(map(self.known.get, keys))
+        new = [k for k, row in zip(keys, rows) if row is None]
+        if new and len(self.known) + len(new) > self.limit and self.known:
+            self.forget()
+            new, rows = keys, [None] * len(keys)
+        if new:
+            found = self.resolve(new)
+            self.codes = np.concatenate([self.codes, np.frombuffer(b"".join(found), "<u4")])
+            start = len(self.known)
+            self.cuts = np.append(self.cuts, self.cuts[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4))
+            self.known.update(zip(new, range(start, start + len(new))))
+            fresh = iter(range(start, start + len(new)))
+            rows = [next(fresh) if row is None else row for row in rows]
+        return np.array(rows, np.int64)
+
+
 class LibraryCodes:
     """Token ids by the tokenizers library, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark deals out the cores
         from tokenizers import Tokenizer
 
@@ -93,14 +142,14 @@ class LibraryCodes:
         for token, number in vocabulary.items():
             self.ends[number], self.starts[number] = token.endswith("</w>"), token.startswith("Ġ")
         self.marks_ends = bool(self.ends.any())       # such vocabularies are of lower-case words
-        self.split = bare_words if self.marks_ends else pieces
-        self.memo = Memo(self._pieces, limit)
+        self.split = bare_words if self.marks_ends else spaced
+        self.memo = CodeMemo(self._pieces, limit)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        plain = iter(self.memo.look_up([s for s in split if s is not None]))
-        odd = iter([self._many([t])[0] for t, s in zip(texts, split) if s is None])
-        return [next(odd) if s is None else b"".join(next(plain)) for s in split]
+        split = [self.split(t) if t else None for t in texts]
+        plain = iter(self.memo.encode([s for s in split if s is not None]))
+        odd = iter([self._many([t])[0] if t else b"" for t, s in zip(texts, split) if s is None])
+        return [next(odd) if s is None else next(plain) for s in split]
 
     def _many(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,7 +158,7 @@ class LibraryCodes:
         words = [k for k in keys if k.isalpha()]
         other = [k for k in keys if not k.isalpha()]
         found = dict(zip(words, self._words(words)))
-        found.update(zip(other, self._many([raw(k) for k in other])))
+        found.update(zip(other, self._many([raw(k) if k or not self.marks_ends else "" for k in other])))
         return [found[k] for k in keys]
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -132,7 +181,7 @@ class LibraryCodes:
 _codes: dict[tuple[str, int], LibraryCodes] = {}
 
 
-def library_codes(path: str, limit: int = 1_200_000) -> LibraryCodes:
+def library_codes(path: str, limit: int = 500_000) -> LibraryCodes:
     """The worker's encoder for a tokenizer file, kept between tasks."""
     if (path, limit) not in _codes:
         _codes.clear()
