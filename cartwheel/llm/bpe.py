@@ -251,8 +251,18 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return kept.mapInArrow(decode, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids array<int>, data binary")
 
 
-def round_trip_digests(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256 [, ids]): digests of the ids (little-endian, 32 bits) and of the bytes they decode to.
+def _digests(ids: np.ndarray, ends: np.ndarray, tokens: Sequence[bytes]) -> tuple[list[str], list[str]]:
+    """SHA-256 of every text's ids (little-endian, 32 bits) and of the bytes they decode to; the ids of all texts in one array."""
+    raw, spelled = memoryview(ids.astype("<u4").tobytes()), list(map(tokens.__getitem__, ids.tolist()))
+    cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+    return ([hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in cuts], [hashlib.sha256(b"".join(spelled[a:b])).hexdigest() for a, b in cuts])
+
+
+DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def round_trip_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids (little-endian, 32 bits) and of the bytes they decode to.
 
     The decoded bytes are digested where they arise, a few hundred documents at a time.
     """
@@ -262,17 +272,29 @@ def round_trip_digests(encoded: DataFrame, path: str, pattern: str, keep_ids: bo
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 lists = part.column("ids")
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
                 ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-                raw, spelled = memoryview(flat.tobytes()), list(map(tokens.__getitem__, flat.tolist()))
-                cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
-                found = [part.column("doc_id"), pa.array(np.diff(ends), pa.int64()),
-                         pa.array([hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in cuts], pa.string()),
-                         pa.array([hashlib.sha256(b"".join(spelled[a:b])).hexdigest() for a, b in cuts], pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                yield pa.RecordBatch.from_arrays(found + [lists] * keep_ids, names + ["ids"] * keep_ids)
+                both = _digests(lists.flatten().to_numpy(zero_copy_only=False), ends, tokens)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), *[pa.array(d, pa.string()) for d in both]], DIGESTS)
 
     kept = encoded.select("doc_id", "ids")
     kind = kept.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return kept.mapInArrow(digest, schema + (", ids array<int>" if keep_ids else ""))
+    return kept.mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): as ``encode_documents``, with the digests of ``round_trip_digests``, in one pass of the texts."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = byte_pairs(path, pattern)
+        for batch, texts in chunks(batches, "text", 1_000_000):
+            ids = encoder.encode(texts)
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = np.concatenate([*ids, np.zeros(0, "<u4")])
+            both = _digests(flat, ends, encoder.tokens)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), *[pa.array(d, pa.string()) for d in both], lists],
+                                             [*DIGESTS, "ids"])
+        encoder.forget()
+
+    kept = docs.select("doc_id", "text")
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    return kept.mapInArrow(encode, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>")

@@ -96,6 +96,7 @@ class CodeMemo:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.codes, self.cuts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        pa.default_memory_pool().release_unused()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Every text's codes; none of the texts is empty."""

@@ -71,8 +71,7 @@ def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; rows of one id or text have a row each.
     """
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode_documents(docs, path, pattern)
-    return bpe.round_trip_digests(encoded, path, pattern, keep_ids=True)
+    return bpe.encode_checked(docs, path, pattern)
 
 
 STAGES = [
