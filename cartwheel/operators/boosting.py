@@ -539,7 +539,7 @@ def score(boosters: Sequence[Booster] | Booster, frame: DataFrame, keys: Sequenc
             for b in boosters:
                 bins = np.stack([_bin(x[:, numbers.index(c)], e) for c, e in zip(b.numbers, b.edges)]) if b.numbers else np.zeros((0, n), np.uint16)
                 margin = _margin(b.trees, bins, codes[[categories.index(c) for c in b.categories]], np.full(n, b.base))
-                total += 1 / (1 + np.exp(-margin)) if b.objective == "log_loss" else margin
+                total += np.exp(-np.logaddexp(0, -margin)) if b.objective == "log_loss" else margin
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(total / len(boosters))], [*keys, "pred"])
 
     return slim.mapInArrow(emit, schema)

@@ -19,7 +19,7 @@ def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def log_loss_gradients(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    chance = 1 / (1 + np.exp(-margin))
+    chance = np.exp(-np.logaddexp(0, -margin))
     return chance - label, chance * (1 - chance)
 
 
@@ -69,7 +69,7 @@ def ranking_gradients(score: np.ndarray, label: np.ndarray, sizes: np.ndarray, c
     weight = (ranked.ndcg_changes if metric == "ndcg" else ranked.map_changes)(upper, lower)
     better = np.where(ranked.label[upper], upper, lower)
     worse = upper + lower - better
-    doubt = 1 / (1 + np.exp(ranked.score[better] - ranked.score[worse]))
+    doubt = np.exp(-np.logaddexp(0, ranked.score[better] - ranked.score[worse]))
     pull, bend = weight * doubt, weight * doubt * (1 - doubt)
     count = len(score)
     gradient = np.bincount(worse, pull, count) - np.bincount(better, pull, count)

@@ -52,7 +52,7 @@ def fill_missing(frame: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 # a run of a few rounds; ``boosting.PRODUCTION`` has the settings of a long one
-DEFAULT = B.PRODUCTION._replace(rounds=20, learning_rate=0.2, leaves=16, min_rows=10, patience=5)
+DEFAULT = B.PRODUCTION._replace(rounds=20, learning_rate=0.2, leaves=16, min_rows=10, min_hessian=0.05, patience=5)
 
 
 def fit_buy_model(train: DataFrame, valid: DataFrame | None = None, features: Sequence[str] | None = None,
