@@ -15,7 +15,7 @@ SCHEMA = "t_dat date, customer_id string, article_id string, price double, sales
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": 4, "spark.ui.enabled": "false",
-                                                    "spark.driver.memory": "6g", "spark.cartwheel.salts": 3,
+                                                    "spark.driver.memory": "6g",
                                                     "spark.checkpoint.dir": f"file://{shared}"})
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -84,3 +84,42 @@ def test_weight_grid_picks_the_better_experiment(spark):
     report = B.evaluate_weights(ranks, truth(spark, [("1", "hit")]), [{"e": 0.0, "f": 1.0}, {"e": 1.0, "f": 0.0}])
     best = B.best_weights(report).first()
     assert best.vector_id == 1 and best.map == 1.0
+
+
+def test_simplex_search_is_repeatable_and_near_the_grid(spark):
+    import random
+
+    from cartwheel.operators import ensemble as X
+
+    rng = random.Random(5)
+    truth, ranks = [], []
+    for c in range(60):
+        bought = {f"a{i}" for i in rng.sample(range(30), 3)}
+        truth += [(f"c{c}", a) for a in sorted(bought)]
+        for exp, good in (("x", 0.75), ("y", 0.45), ("z", 0.05)):          # experiments of falling worth
+            listed = rng.sample(sorted(bought), 3 if rng.random() < good else 1)
+            listed += [a for a in rng.sample([f"a{i}" for i in range(30)], 12) if a not in listed]
+            ranks += [(f"c{c}", a, exp, 12 - i) for i, a in enumerate(listed[:12])]
+    ranks = spark.createDataFrame(ranks, "customer_id string, article_id string, exp string, rank int")
+    truth = spark.createDataFrame(truth, "customer_id string, article_id string")
+    grid = [{"x": a / 4, "y": b / 4, "z": 1 - a / 4 - b / 4} for a in range(5) for b in range(5 - a)]
+    best = X.best_weights(X.evaluate_weights(ranks, truth, grid, "sum")).first()["map"]
+    found, value, tried = X.search_weights(ranks, truth, ["x", "y", "z"], "sum", rounds=6)
+    assert abs(sum(found.values()) - 1) < 1e-6 and min(found.values()) >= 0
+    assert value >= best - 0.01 and tried < 80 and found["x"] > found["z"]
+    # the value is that of the weights, and the search repeats itself
+    assert abs(X.evaluate_weights(ranks, truth, [found], "sum").first()["map"] - value) < 1e-9
+    assert X.search_weights(ranks, truth, ["x", "y", "z"], "sum", rounds=6) == (found, value, tried)
+    assert X.search_weights(ranks, truth, ["x"], "sum")[0] == {"x": 1.0}
+
+
+def test_dimensions_without_wanted_columns_are_not_joined(spark, facts, rows):
+    from cartwheel.operators import prepare as P
+
+    sold = facts([("2020-01-01", "c1", "a1"), ("2020-01-02", "c2", "a9")])
+    customers = spark.createDataFrame([("c1", 30.0)], "customer_id string, age double")
+    articles = spark.createDataFrame([("a1", "red")], "article_id string, colour string")
+    wide = P.denormalise(sold, customers, articles, ["age"], [])
+    assert rows(wide, "customer_id", "article_id", "age") == [("c1", "a1", 30.0), ("c2", "a9", None)]
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert rows(P.denormalise(sold, customers, articles), "article_id", "colour") == [("a1", "red"), ("a9", None)]
