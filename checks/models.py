@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions.dates import trailing
 from cartwheel.functions.stage import cut
-from cartwheel.operators import candidates as C, ensemble as X, evaluate as E, factors as N, gradients as G, labels as L, models as M, prepare as P
+from cartwheel.operators import candidates as C, ensemble as X, evaluate as E, factors as N, gradients as G, labels as L, limits as Y, models as M, prepare as P
 from cartwheel.plans import blend as blend_plan, forecast as forecast_plan, two_stage as T
 from checks import candidate_sql as Q
-from checks.evaluation import _MAPS, _ranked_vectors, EXPERIMENTS, OOF, RANKS, SUB, VECTORS, oof, submissions
+from checks.evaluation import _MAPS, _ranked_vectors, EXPERIMENTS, OOF, RANKS, SUB, VECTORS, candidates as simple_candidates, oof, submissions
 from checks.features import CAND, LABELLED, _sampled, labelled
 from checks.views import FORECAST_AFTER, GROUPS, TRAIN_START, VALID_START, Views, q6, r6, sql
 
@@ -221,6 +221,12 @@ def searched_weights(v):
     return v.spark.createDataFrame([(e, w, value, tried) for e, w in found.items()], "exp string, weight double, map double, tried int")
 
 
+def searched_limits(v):
+    """Limits per strategy that find most purchases within sixty candidates a customer."""
+    found, pairs, hits, _ = Y.search_limits(simple_candidates(v), v.target(), list(range(8)), most=12)
+    return v.spark.createDataFrame([(s, n, pairs, hits) for s, n in found.items()], "strategy int, n int, pairs long, hits long")
+
+
 _BLENDED = f"""SELECT customer_id, string_agg(article_id, ' ' ORDER BY place) AS prediction, CAST(count(*) AS INTEGER) AS n_articles, count(*) = 12 AS complete
     FROM (SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY src, rank) AS place FROM (
       SELECT customer_id, article_id, src, rank FROM (
@@ -234,7 +240,7 @@ SQL["blended_submission"] = sql(
     blended="""SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) AS rank
         FROM (SELECT customer_id, article_id, max(rank * w) AS score FROM sub JOIN chosen USING (exp) GROUP BY 1, 2) QUALIFY rank <= 12""")
 
-for _fn in (ranking_model_map, booster_rounds, factor_errors, factor_counts, factor_search_share, searched_weights):
+for _fn in (ranking_model_map, booster_rounds, factor_errors, factor_counts, factor_search_share, searched_weights, searched_limits):
     add(_fn.__name__, _fn)
 for _fn in (buy_model_scores, buy_model_map, bagged_model_scores, warm_cold_scores, model_importance, stored_model_scores,
             first_week_forecast, first_week_forecast_report, rolling_training_rows, final_submission, blended_submission):
