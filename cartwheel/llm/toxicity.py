@@ -38,12 +38,13 @@ class Network(NamedTuple):
 
 
 class Settings(NamedTuple):
-    """``sample_rows`` labelled rows of each class at most, and ``sample_words`` words of them in all, are fitted (see ``training_sample``)."""
+    """``sample_rows`` labelled ids of each class at most, ``id_rows`` rows of an id, and ``sample_words`` words of them in all, are fitted (see ``training_sample``)."""
 
     rows: int = 1 << 18
     dims: int = 8
     count: int = 8
     sample_rows: int = 3000
+    id_rows: int = 4
     sample_words: int = 4_000_000
     epochs: int = 8
     rate: float = 0.05
@@ -77,9 +78,8 @@ def _padded(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([ids, np.zeros((max(WIDTHS) - 1 if len(ids) else max(WIDTHS), 2), np.int32)])
 
 
-def _pooled(net: Network, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Largest activation of each filter, and where it is."""
-    rows = _padded(ids)
+def _pooled(net: Network, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Largest activation of each filter over padded rows, and where it is."""
     x = net.embedding[rows[:, 0]] + net.embedding[rows[:, 1]]
     values, places = [], []
     for weights in net.filters:
@@ -94,10 +94,10 @@ def _pooled(net: Network, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]
 
 
 def score_ids(net: Network, ids: np.ndarray, block: int = 1 << 17) -> float:
-    """0 to 1. Long texts go block by block, which overlap by the widest filter, so memory is bounded."""
-    best = None
-    for start in range(0, max(len(ids), 1), block):
-        values, _ = _pooled(net, ids[start:start + block + max(WIDTHS) - 1])
+    """0 to 1. Long texts go block by block, which overlap by the widest filter, so memory is bounded; only the text's end is padded."""
+    rows, over, best = _padded(ids), max(WIDTHS) - 1, None
+    for start in range(0, len(rows) - over, block):
+        values, _ = _pooled(net, rows[start:start + block + over])
         best = values if best is None else np.maximum(best, values)
     return float(1 / (1 + np.exp(-(best @ net.out + net.out_bias))))
 
@@ -124,7 +124,7 @@ def fit(texts: Sequence[np.ndarray], labels: np.ndarray, settings: Settings = Se
     for _ in range(settings.epochs):
         for i in rng.permutation(len(texts)):
             ids = _padded(texts[i])
-            values, places = _pooled(net, texts[i])
+            values, places = _pooled(net, ids)
             p = 1 / (1 + np.exp(-(values @ out + out_bias)))
             error = np.float32(p - labels[i])
             grad_out = error * values + np.float32(1e-4) * out
@@ -161,8 +161,8 @@ def marked_ids(labels: DataFrame) -> DataFrame:
 def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[list[np.ndarray], np.ndarray, list]:
     """Word rows, labels and languages of a bounded, repeatable sample of the rows that are not held out.
 
-    Whole texts are used; ``sample_rows`` of each class are chosen by a hash. If
-    they have more than ``sample_words`` words in all, the longest are left out,
+    Whole texts are used; ``sample_rows`` ids of each class are chosen by a hash,
+    and ``id_rows`` rows of an id that the documents repeat. If they have more than ``sample_words`` words in all, the longest are left out,
     but of either class the shortest texts up to a tenth of the words, and its
     shortest text of any length, stay.
     """
@@ -172,6 +172,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     rows = docs.select("doc_id", whole_text().alias("text"), lang.alias("lang"))
     picked = rows.join(F.broadcast(chosen[0].union(chosen[1])), F.col("doc_id") == F.col("_id"))        # 2 x sample_rows ids at most
     hashed = hashed_words(picked.select("_id", "_toxic", "lang", "text"), settings.rows)
+    own_id = Window.partitionBy("_id", "_toxic").orderBy(F.xxhash64("words"), "words", "lang")
+    hashed = hashed.withColumn("_at", F.row_number().over(own_id)).filter(F.col("_at") <= settings.id_rows).drop("_at")
     # running totals in one place over the bounded sample
     words = F.octet_length("words") / 8
     short = Window.orderBy(words, F.xxhash64("_id"), "_id", "words").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -249,16 +251,15 @@ def thresholds(counts: Sequence) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Network:
-    """The network, fitted on three quarters of the sample.
+    """The network, fitted on the whole sample.
 
     The sample has another share of toxic rows than the labels where its bounds
     reach one class more than the other; the output bias is moved to the shares
     of all labelled rows that are not held out.
     """
     texts, marks, _ = training_sample(docs, labels, settings)
-    edge = max(1, len(texts) * 3 // 4)
-    net = fit(texts[:edge], marks[:edge], settings)
-    fitted = np.bincount(marks[:edge], minlength=2)
+    net = fit(texts, marks, settings)
+    fitted = np.bincount(marks, minlength=2)
     n = labelled_rows(docs.select("doc_id"), labels).agg(*[F.count_if(F.col("_toxic") == kind).alias(str(kind)) for kind in (0, 1)]).first()
     if min(*fitted, *n) == 0:
         return net
@@ -298,7 +299,12 @@ def judge(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, held_out, score, predicted, threshold, rejected) for every row of ``docs``."""
+    """(doc_id, held_out, score, predicted, threshold, rejected) for every row of ``docs``.
+
+    Null texts are scored as empty, null languages and those without enough
+    labels by the threshold of all. Ids may be null or repeated, each row has
+    its own score; extra columns are ignored; an empty table gives an empty one.
+    """
     with_lang = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     return judge(with_lang, labels, settings).select(
         "doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),

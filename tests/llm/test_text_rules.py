@@ -143,9 +143,8 @@ def test_thresholds_and_bias_follow_all_labels_whatever_the_sample(spark):
         assert wrong(value) <= min(wrong(s) for s, _ in own) + 1
     # a sample of half toxic rows is moved to the shares of the labels
     texts, marks, _ = toxicity.training_sample(docs, labels, settings)
-    edge = len(texts) * 3 // 4
-    plain = toxicity.fit(texts[:edge], marks[:edge], settings)
-    share, fitted = np.mean([r.toxic for r in open_rows]), marks[:edge].mean()
+    plain = toxicity.fit(texts, marks, settings)
+    share, fitted = np.mean([r.toxic for r in open_rows]), marks.mean()
     assert abs(net.out_bias - plain.out_bias - np.log(share / (1 - share) / (fitted / (1 - fitted)))) < 1e-6 and share < 0.3 < fitted
 
 
@@ -171,6 +170,34 @@ def test_blocks_of_a_long_text_change_nothing():
     assert all(abs(toxicity.score_ids(net, ids) - toxicity.score_ids(net, ids, b)) < 1e-6 for b in (1, 7, 100))
 
 
+def test_scores_equal_a_convolution_in_plain_loops():
+    rng = np.random.default_rng(4)
+    net = toxicity.fit([rng.integers(1, 50, (12, 2)) for _ in range(20)], np.arange(20) % 2, toxicity.Settings(rows=64, epochs=2))
+    for n in (0, 1, 2, 3, 9):
+        ids = rng.integers(1, 64, (n, 2)).astype(np.int32)
+        words = [net.embedding[a] + net.embedding[b] for a, b in ids.tolist()]
+        words += [np.zeros(8, np.float32)] * (2 if n else 3)
+        odds, at = net.out_bias, 0
+        for filters in net.filters:
+            width, dims, count = filters.shape
+            for k in range(count):
+                sums = [sum(filters[o, d, k] * words[i + o][d] for o in range(width) for d in range(dims)) for i in range(len(words) - width + 1)]
+                odds += float(net.out[at]) * (max(sums) + float(net.bias[at]))
+                at += 1
+        for block in (1, 2, 5, 1 << 17):
+            assert abs(toxicity.score_ids(net, ids, block) - 1 / (1 + np.exp(-odds))) < 1e-5
+
+
+def test_a_repeated_id_has_few_rows_in_the_sample(spark):
+    frame = labelled(spark, 60)
+    one = frame.filter(~held_out_column()).first().doc_id
+    more = spark.range(500).select(F.lit(one).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.repeat(F.lit("word "), (F.col("id") % 50).cast("int"))).alias("text"), F.lit("en").alias("lang"))
+    docs = frame.filter(F.col("doc_id") != one).select("doc_id", "text", "lang").union(more)
+    texts, marks, _ = toxicity.training_sample(docs, frame.select("doc_id", "toxic"))
+    plain, _, _ = toxicity.training_sample(frame.drop("toxic"), frame.select("doc_id", "toxic"))
+    assert len(texts) == len(plain) + toxicity.Settings().id_rows - 1
+
+
 # ---- personal data ----------------------------------------------------------------------
 
 # fixed values: the patterns as they are given
@@ -257,3 +284,26 @@ def test_reliabilities_find_the_good_labelers():
     table, prior, posterior = pii.reliabilities(counts)
     assert abs(prior - 0.3) < 0.05 and abs(table[0, 1] - 0.9) < 0.05 and abs(table[3, 1] - table[3, 0]) < 0.1
     assert posterior[31] > 0.95 and posterior[0] < 0.05
+
+
+def test_reliabilities_equal_plain_loops():
+    rng = random.Random(9)
+    counts = {p: rng.randint(1, 40) for p in range(2 ** pii.LABELERS) if rng.random() < 0.7}
+    table, prior, posterior = pii.reliabilities(counts, 7)
+    bits = {p: [p >> i & 1 for i in range(pii.LABELERS)] for p in counts}
+    belief = {p: min(max(sum(b) / pii.LABELERS, 0.05), 0.95) for p, b in bits.items()}
+    for _ in range(7):
+        share = sum(counts[p] * belief[p] for p in counts) / sum(counts.values())
+        chance = []
+        for i in range(pii.LABELERS):
+            clean = sum(counts[p] * (1 - belief[p]) * bits[p][i] for p in counts) + 0.5
+            private = sum(counts[p] * belief[p] * bits[p][i] for p in counts) + 0.5
+            chance.append((clean / (sum(counts[p] * (1 - belief[p]) for p in counts) + 1), private / (sum(counts[p] * belief[p] for p in counts) + 1)))
+        for p in counts:
+            clean, private = 1 - share, share
+            for i in range(pii.LABELERS):
+                clean *= chance[i][0] if bits[p][i] else 1 - chance[i][0]
+                private *= chance[i][1] if bits[p][i] else 1 - chance[i][1]
+            belief[p] = private / (clean + private)
+    assert np.allclose(table, chance) and abs(prior - share) < 1e-9
+    assert all(abs(posterior[p] - belief[p]) < 1e-9 for p in counts)
