@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cartwheel.functions.stage import stage_path
-from cartwheel.llm.common import chunks
+from cartwheel.llm.common import chunks, spread
 from cartwheel.llm.wordmemo import library_codes
 
 BLOCK_BYTES = 4_000_000
@@ -31,15 +31,24 @@ BLOCK_BYTES = 4_000_000
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) % 4 + 1
 
 
+def pack_all(codes: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of consecutive runs of ``counts`` codes; a run's control bytes are its own."""
+    sizes = 1 + (codes > 0xFF).astype(np.uint8) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
+    groups = np.append(0, np.cumsum(-(-counts // 4)))
+    padded = np.zeros(groups[-1] * 4, np.uint8)
+    padded[spread(4 * groups[:-1], counts)] = sizes - 1
+    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8).tobytes()
+    raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
+    data = raw[np.arange(4)[None, :] < sizes[:, None]].tobytes()
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))[np.append(0, np.cumsum(counts))].tolist()
+    groups = groups.tolist()
+    return [control[a:b] for a, b in zip(groups, groups[1:])], [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def pack(codes: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit codes."""
-    sizes = 1 + (codes > 0xFF).astype(np.int64) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
-    padded = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
-    padded[:len(codes)] = sizes - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = raw[np.arange(4)[None, :] < sizes[:, None]]
-    return control.tobytes(), data.tobytes()
+    control, data = pack_all(codes, np.array([len(codes)]))
+    return control[0], data[0]
 
 
 def unpack(control: bytes, data: bytes, n: int) -> tuple[np.ndarray, int]:
@@ -114,20 +123,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids = [np.frombuffer(i, kind) for i in part.column("ids").to_pylist()]
-                packed = [pack(code_of[i]) for i in ids]
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ids = part.column("ids").to_pylist()
+                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
+                control, data = pack_all(code_of[np.frombuffer(b"".join(ids), kind)], counts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
-                     pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
+                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     ["doc_id", "n", "control", "data"])
 
     doc_kind = encoded.schema["doc_id"].dataType.simpleString()
     # ranges are found on the stored ids, so that nothing is coded twice for the sake of their bounds
     ranged = encoded.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
-    coded = ranged.mapInArrow(recode, f"doc_id {doc_kind}, n bigint, control binary, data binary")
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, size, first = TaskContext.get().partitionId(), 0, 0, 0
         held: list[tuple] = []
@@ -139,21 +146,20 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                  pa.array([list(ns)], pa.list_(pa.int64())), pa.array([b"".join(controls)], pa.binary()), pa.array([b"".join(datas)], pa.binary())],
                 ["shard", "block", "first", "doc_ids", "n_tokens", "control", "data"])
 
-        for batch in batches:
+        for batch in recode(batches):
             id_kind = batch.schema.field("doc_id").type
-            for start in range(0, batch.num_rows, 256):
-                for one in zip(*[c.to_pylist() for c in batch.slice(start, 256).columns]):
-                    held.append(one)
-                    size += len(one[2]) + len(one[3])
-                    if size >= BLOCK_BYTES:
-                        yield row()
-                        first += sum(one[1] for one in held)
-                        held, size, block = [], 0, block + 1
+            for one in zip(*[c.to_pylist() for c in batch.columns]):
+                held.append(one)
+                size += len(one[2]) + len(one[3])
+                if size >= BLOCK_BYTES:
+                    yield row()
+                    first += sum(one[1] for one in held)
+                    held, size, block = [], 0, block + 1
         if held:
             yield row()
 
     schema = f"shard int, block int, first bigint, doc_ids array<{doc_kind}>, n_tokens array<bigint>, control binary, data binary"
-    coded.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{folder}/tokens")
+    ranged.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{folder}/tokens")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,9 +84,11 @@ class Memo:
 
 
 class CodeMemo:
-    """Codes of texts given as keys with blanks between: key -> codes for about ``limit`` keys at most, emptied when full.
+    """Codes of texts given as keys with blanks between: key -> codes for about ``limit`` keys at most.
 
-    A batch's keys are made distinct in Arrow, so a key is looked up once for a batch.
+    A batch's keys are made distinct in Arrow, so a key is looked up once for a
+    batch. A full memory keeps the keys that several batches have asked for, a
+    half of its limit at most, and drops the others.
     """
 
     def __init__(self, resolve: Callable[[list[str]], Sequence[bytes]], limit: int):
@@ -95,9 +97,21 @@ class CodeMemo:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.codes, self.cuts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.codes, self.cuts, self.asked = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int32)
         pa.default_memory_pool().release_unused()
 
+    def shrink(self) -> None:
+        """Keep the keys asked for by most batches, at least two; all counts start again from one."""
+        keys, codes, cuts, asked = list(self.known), self.codes, self.cuts, self.asked
+        self.forget()
+        rows = np.flatnonzero(asked > 1)
+        if len(rows) > self.limit // 2:
+            rows = np.sort(rows[np.argsort(-asked[rows], kind="stable")[:self.limit // 2]])
+        sizes = cuts[rows + 1] - cuts[rows]
+        self.known = {keys[row]: at for at, row in enumerate(rows.tolist())}
+        self.codes, self.cuts = codes[spread(cuts[rows], sizes)], np.append(0, np.cumsum(sizes))
+        self.asked = np.ones(len(rows), np.int32)
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Every text's codes; none of the texts is empty."""
         if not texts:
@@ -114,17 +128,21 @@ class CodeMemo:
         rows = list(map(self.known.get, keys))
         new = [k for k, row in zip(keys, rows) if row is None]
         if new and len(self.known) + len(new) > self.limit and self.known:
-            self.forget()
-            new, rows = keys, [None] * len(keys)
+            self.shrink()
+            rows = list(map(self.known.get, keys))
+            new = [k for k, row in zip(keys, rows) if row is None]
         if new:
             found = self.resolve(new)
             self.codes = np.concatenate([self.codes, np.frombuffer(b"".join(found), "<u4")])
             start = len(self.known)
             self.cuts = np.append(self.cuts, self.cuts[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4))
             self.known.update(zip(new, range(start, start + len(new))))
+            self.asked = np.append(self.asked, np.zeros(len(new), np.int32))
             fresh = iter(range(start, start + len(new)))
             rows = [next(fresh) if row is None else row for row in rows]
-        return np.array(rows, np.int64)
+        places = np.array(rows, np.int64)
+        self.asked[places] += 1         # a batch's keys are distinct
+        return places
 
 
 class LibraryCodes:

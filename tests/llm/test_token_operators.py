@@ -84,6 +84,20 @@ def test_spaced_stops_and_random_texts_equal_both_libraries():
     assert sum(wordmemo.is_plain(t) for t in texts) > 1000
 
 
+def test_a_full_memory_keeps_common_words_and_changes_no_code():
+    rng = random.Random(5)
+    common = [f"word{chr(97 + i)}" for i in range(20)]
+    texts = [" ".join([rng.choice(common) if rng.random() < 0.7 else "".join(rng.choices("abcdefg", k=6)) for _ in range(30)]) for _ in range(300)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library, own = Tokenizer.from_file(P.path(name)), wordmemo.LibraryCodes(P.path(name), limit=300)
+        found = [code for at in range(0, 300, 10) for code in own.encode(texts[at:at + 10])]
+        assert found == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        memo = own.memo
+        memo.shrink()
+        assert 15 <= len(memo.known) <= 150 and len(memo.cuts) == len(memo.known) + 1 == len(memo.asked) + 1 and memo.cuts[-1] == len(memo.codes)
+        assert sum(any(c in k for k in memo.known) for c in common) >= 18
+
+
 def test_pair_table_finds_every_pair_and_no_other():
     rng = np.random.default_rng(1)
     pairs = np.unique(rng.integers(0, 2**40, 5000, dtype=np.uint64))
@@ -101,6 +115,10 @@ def test_codes_pack_and_unpack():
         control, data = token_files.pack(codes)
         found, used = token_files.unpack(control, data, n)
         assert found.tolist() == codes.tolist() and used == len(data) and len(control) == -(-n // 4)
+    counts = np.array([3, 0, 8, 1, 5])
+    codes = (2.0 ** rng.uniform(0, 32, counts.sum())).astype(np.uint32)
+    runs = np.split(codes, np.cumsum(counts)[:-1])
+    assert list(zip(*token_files.pack_all(codes, counts))) == [token_files.pack(run) for run in runs]
 
 
 def test_token_files_give_the_ids_back(spark, docs, tmp_path, monkeypatch):
