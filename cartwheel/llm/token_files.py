@@ -27,6 +27,9 @@ from cartwheel.llm.common import chunks, spread
 from cartwheel.llm.wordmemo import library_codes
 
 BLOCK_BYTES = 4_000_000
+# texts encoded together, and words a worker remembers: both bound its memory and change no id
+CHUNK_CHARS = 6_000_000
+WORDS = 800_000
 # lengths of the four codes of every control byte, and their offsets from the group's first byte
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) % 4 + 1
 
@@ -69,9 +72,9 @@ def unpack(control: bytes, data: bytes, n: int) -> tuple[np.ndarray, int]:
 def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """(doc_id, ids binary): little-endian ids of 2 bytes, 4 where a vocabulary needs them, with the end id."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = library_codes(tokenizer_path)
+        codes = library_codes(tokenizer_path, WORDS)
         kind = id_type(len(codes.ends))
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", CHUNK_CHARS):
             ids = [np.append(np.frombuffer(c, "<u4"), np.uint32(end_id)).astype(kind).tobytes() for c in codes.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
