@@ -36,7 +36,7 @@ from cartwheel.functions.stage import cut
 from cartwheel.llm.common import chunks, spread
 from cartwheel.llm.wordmemo import pieces
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS, PORTION_CHARS = 2_000_000, 500_000
 # fixed values: characters after which a blank may belong to the same piece (white space of any of the libraries)
 _SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 # fixed value: how byte-level tokenizers part a text before any merge
@@ -288,12 +288,12 @@ def _decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Both:
-    """Both tokenizers and the alignment of stretches, with a memory of at most ``limit`` of them.
+    """Both tokenizers and the alignment of stretches, with a memory of at most ``limit`` of them and one call's more.
 
     ``numbers`` has a row of (tokens of A, of B, groups, links) by stretch, ``texts`` its groups as text, ``pairs`` its links.
     """
 
-    def __init__(self, path_a: str, path_b: str, limit: int = 500_000):
+    def __init__(self, path_a: str, path_b: str, limit: int = 200_000):
         self.sides, self.limit = (ByteLevel(path_a), Pieces(path_b)), limit
         self.lengths = [np.array([len(b) for b in side.bytes], np.int64) for side in self.sides]
         self.by_stretch = all(side.by_stretch for side in self.sides)
@@ -303,12 +303,26 @@ class Both:
         self.known: dict[str, int] = {}
         self.texts: list[bytes] = []
         self.numbers, self.exact, self.pairs = np.zeros((0, 4), np.int64), np.zeros(0, bool), Ragged()
+        pa.default_memory_pool().release_unused()
 
     def rows(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(rows of all texts' stretches one after another, their number by text).
+        """(rows of all texts' stretches one after another, their number by text), valid until the next call.
 
-        A text has none if it is empty, or if its bytes do not come back from either side's tokens.
+        A text has none if it is empty, or if its bytes do not come back from
+        either side's tokens. Keys are made for about PORTION_CHARS at a time.
         """
+        if len(self.known) > self.limit:
+            self.forget()
+        found, start, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, 0
+        for at, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= PORTION_CHARS or at == len(texts):
+                found.append(self._portion(texts[start:at]))
+                start, size = at, 0
+        flat, sizes = zip(*found)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _portion(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         keys = [(keys_of(t) if self.by_stretch else [" " + t]) if t else [] for t in texts]
         found = self._look_up(keys)
         flat = np.fromiter(itertools.chain.from_iterable(found), np.int64)
@@ -334,9 +348,6 @@ class Both:
         open_ = [i for i, some in enumerate(found) if None in some]
         if open_:
             new = list(dict.fromkeys(k for i in open_ for k, row in zip(keys[i], found[i]) if row is None))
-            if len(self.known) + len(new) > self.limit and self.known:
-                self.forget()
-                open_, new = range(len(keys)), list(dict.fromkeys(itertools.chain.from_iterable(keys)))
             self._learn(new)
             for i in open_:
                 found[i] = list(map(self.known.__getitem__, keys[i]))
@@ -431,26 +442,28 @@ def align_blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """BLOCKS: texts of about BLOCK_CHARS with the numbers of their stretches, the pairs of each stretch, and the block's pairs with counts."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = both_tokenizers(path_a, path_b)
-        block = TaskContext.get().partitionId() << 33
-        for batch, texts in _blocks(batches):
-            rows, sizes = both.rows(texts)
-            stops = np.cumsum(sizes)
-            sums = np.zeros((len(rows) + 1, 4), np.int64)
-            np.cumsum(both.numbers[rows], axis=0, out=sums[1:])
-            numbers = sums[stops] - sums[stops - sizes]
-            groups = list(map(both.texts.__getitem__, rows.tolist()))
-            digests = [hashlib.sha256(b";".join(groups[a:b])).hexdigest() if b > a else "" for a, b in zip((stops - sizes).tolist(), stops.tolist())]
-            kinds, of_kind, times = _by_count(rows)
-            links, n_links = both.pairs.take(kinds)
-            pairs, of_pair, counts = _by_count(links, np.repeat(times, n_links))
-            columns = [[block], [batch.column("doc_id").to_pylist()], *[[x.tolist()] for x in numbers.T], [digests], [sizes.tolist()],
-                       [pairs.astype("<i8").tobytes()], [counts.astype("<i8").tobytes()], [_packed(of_kind)], [_packed(of_pair)], [_packed(n_links)]]
-            block += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _arrow(BLOCKS))], schema=_arrow(BLOCKS))
+        for block, (doc_ids, texts) in enumerate(_blocks(batches), TaskContext.get().partitionId() << 33):
+            yield _block_row(both, block, doc_ids, texts)
+        both.forget()           # the worker waits for tasks of other kinds
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(emit, BLOCKS)
 
 
+def _block_row(both: Both, block: int, doc_ids: list, texts: list[str]) -> pa.RecordBatch:
+    """One row of BLOCKS."""
+    rows, sizes = both.rows(texts)
+    stops = np.cumsum(sizes)
+    numbers = [_sums(column[rows], sizes) for column in both.numbers.T]
+    at = zip((stops - sizes).tolist(), stops.tolist())
+    digests = [hashlib.sha256(b";".join(map(both.texts.__getitem__, rows[a:b].tolist()))).hexdigest() if b > a else "" for a, b in at]
+    kinds, of_kind, times = _by_count(rows)
+    links, n_links = both.pairs.take(kinds)
+    pairs, of_pair, counts = _by_count(links, np.repeat(times, n_links))
+    columns = [[block], [doc_ids], *[[x.tolist()] for x in numbers], [digests], [sizes.tolist()],
+               [pairs.astype("<i8").tobytes()], [counts.astype("<i8").tobytes()], [_packed(of_kind)], [_packed(of_pair)], [_packed(n_links)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _arrow(BLOCKS))], schema=_arrow(BLOCKS))
+
+
 def _by_count(values: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct values by falling count, each value's place among them, counts); frequent ones have small places."""
     distinct, place = np.unique(values, return_inverse=True)
@@ -462,18 +475,18 @@ def _by_count(values: np.ndarray, times: np.ndarray | None = None) -> tuple[np.n
     return distinct[order], number[place], counts[order]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Texts of about BLOCK_CHARS, also across Spark's batches."""
-    held, texts, size = [], [], 0
-    for batch, some in chunks(batches, "text", BLOCK_CHARS):
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of about BLOCK_CHARS, also across Spark's batches; a batch's texts are read 256 rows at a time."""
+    slices = (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256))
+    doc_ids, texts, size = [], [], 0
+    for batch, some in chunks(slices, "text", BLOCK_CHARS):
         more = sum(map(len, some))
-        if held and size + more > BLOCK_CHARS:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], texts
-            held, texts, size = [], [], 0
-        held.append(batch)
-        texts, size = texts + some, size + more
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], texts
+        if texts and size + more > BLOCK_CHARS:
+            yield doc_ids, texts
+            doc_ids, texts, size = [], [], 0
+        doc_ids, texts, size = doc_ids + batch.column("doc_id").to_pylist(), texts + some, size + more
+    if texts:
+        yield doc_ids, texts
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

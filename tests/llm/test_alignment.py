@@ -151,3 +151,33 @@ def test_corpus_counts_equal_plain_loops(spark, monkeypatch):
     assert found.columns == [c.split()[0] for c in alignment.ALIGNED.split(", ")]
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
     assert alignment.align(docs.limit(0), *PATHS).collect() == []
+
+
+def test_keys_of_long_blocks_take_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdef", k=3)) for _ in range(200)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(2000)]           # 4,000,000 characters, 1,000,000 words
+    both = alignment.Both(*PATHS)
+    both.rows(texts[:5])
+    tracemalloc.start()
+    rows, sizes = both.rows(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == sizes.sum() >= 1_000_000
+    assert peak < 10 * 4_000_000                        # a string for every word at once would be half as much again, their lists not counted
+
+
+def test_workers_remember_no_stretches_after_a_task(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text").repartition(4)
+    assert alignment.align(docs, *PATHS).count() == 40
+
+    def held(batches):
+        import pyarrow as pa
+
+        from cartwheel.llm import alignment as there
+
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(b.known) for b in there._both.values()) for _ in batches], pa.int64())})
+
+    assert spark.range(0, 40, 1, 4).mapInArrow(held, "n bigint").groupBy().sum("n").first()[0] == 0
