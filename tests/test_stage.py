@@ -1,6 +1,7 @@
 """Stage tables in the shared folder."""
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -33,3 +34,16 @@ def test_tables_can_be_deleted_before_the_session_ends(spark):
         assert os.path.isdir(folder) and stored.count() == 3
         stage.discard(stored)
         assert not os.path.isdir(folder)
+
+
+def test_a_stage_table_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    before, setting = files(), spark.conf.get(stage._CLEANUP, None)
+    stored = stage.cut(spark.range(20_000).select((F.col("id") % 999).alias("k")).groupBy("k").agg(F.count("*").alias("n")))
+    until = time.time() + 20
+    while (left := {f for f in files() - before if f.startswith("shuffle_")}) and time.time() < until:
+        time.sleep(0.2)                 # they go in the background
+    assert not left and stored.count() == 999 and spark.conf.get(stage._CLEANUP, None) == setting
