@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartwheel.operators import boosting as B, evaluate as E, gradients as G
+from cartwheel.operators import boosting as B, evaluate as E, gradients as G, models as M
 
 SCHEMA = "customer_id string, article_id string, x double, y double, shop string, buy int"
 
@@ -178,3 +178,31 @@ def test_models_are_stored_and_weighed(spark, tmp_path):
     assert 0 < B.score([model, model], unseen).first().pred < 1
     one = B.fit(frame.filter("buy = 0"), ["x"], B.Params(rounds=3))
     assert all(len(t) == 1 for t in one.trees)
+
+
+def test_listed_categories_give_the_trees_of_those_grouped_by_code(spark, monkeypatch):
+    frame = spark.createDataFrame(rows(1500, seed=3), SCHEMA)
+    params = B.Params(rounds=3, leaves=8, min_rows=10, learning_rate=0.3, cat_most=6, cat_min_rows=5, row_share=0.8)
+    assert B.code_lists(frame, ["shop"])[0].tolist() == sorted(r[0] for r in frame.select(B.code_of("shop")).distinct().collect())
+    listed = B.fit(frame, ["x", "y", "shop"], params)
+    monkeypatch.setattr(B, "LISTED", 0)
+    assert B.code_lists(frame, ["shop"]) == (None,)
+    grouped = B.fit(frame, ["x", "y", "shop"], params)
+    shape = lambda b: [[(n.feature, n.bin, n.missing, n.codes, n.left, n.right, n.rows) for n in t] for t in b.trees]
+    assert shape(listed) == shape(grouped) and any(n.codes for t in listed.trees for n in t)
+    assert all(abs(p.value - q.value) < 1e-12 for s, t in zip(listed.trees, grouped.trees) for p, q in zip(s, t))
+    # a value that training never saw goes the same way in packed and in plain rows
+    valid = spark.createDataFrame([(*r[:4], "never seen", r[5]) for r in rows(200, seed=4)], SCHEMA)
+    monkeypatch.undo()
+    watched = B.fit(frame, ["x", "y", "shop"], params, valid)
+    loss = [-math.log(p if y else 1 - p) for p, y in ((r.pred, r.buy) for r in B.score(B.fit(frame, ["x", "y", "shop"], params), valid, ("customer_id", "article_id", "buy")).collect())]
+    assert abs(sum(loss) / len(loss) - watched.history[-1][1]) < 1e-9
+
+
+def test_models_of_several_seeds_share_the_packed_rows(spark, monkeypatch):
+    frame = spark.createDataFrame(rows(600), SCHEMA)
+    calls, real = [], B.pack
+    monkeypatch.setattr(B, "pack", lambda *a, **k: calls.append(1) or real(*a, **k))
+    both = M.fit_seeds(frame, frame, ["x", "y", "shop"], 2, rounds=12, leaves=4, window=5, patience=100)
+    assert len(calls) == 2              # the training rows and the validation rows
+    assert both[1] == M.fit_buy_model(frame, frame, ["x", "y", "shop"], 1, rounds=12, leaves=4, window=5, patience=100) != both[0]
