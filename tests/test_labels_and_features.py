@@ -143,3 +143,13 @@ def test_optional_blocks_equal_the_single_features(history, facts, spark, rows):
     assert rows(full, *singles.columns) == rows(singles)
     with pytest.raises(ValueError):
         X.add_features(wanted, tx, articles, people, forecast, extras=["other"])
+
+
+def test_attribute_rates_take_one_shuffle_behind_the_counts(spark):
+    history = spark.createDataFrame([("1", "red", 3), ("1", "red", None), ("1", "blue", 3), ("2", None, 4), (None, "red", 3)], "customer_id string, colour string, size int")
+    rates = X.same_article_type_rates(history, ["colour", "size"])
+    assert rates._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, rates.collect())) == [("1", "colour", "blue", 1 / 3), ("1", "colour", "red", 2 / 3), ("1", "size", "3", 1.0), ("2", "size", "4", 1.0)]
+    # rows that are counts already
+    weighed = history.withColumn("w", F.lit(2))
+    assert sorted(map(tuple, X._rate_long(weighed, "customer_id", ["colour", "size"], "w").collect())) == sorted(map(tuple, rates.collect()))
