@@ -153,3 +153,14 @@ def test_attribute_rates_take_one_shuffle_behind_the_counts(spark):
     # rows that are counts already
     weighed = history.withColumn("w", F.lit(2))
     assert sorted(map(tuple, X._rate_long(weighed, "customer_id", ["colour", "size"], "w").collect())) == sorted(map(tuple, rates.collect()))
+
+
+def test_candidates_get_rates_counted_for_their_customers_alone(spark, monkeypatch):
+    history = spark.createDataFrame([("1", "a", "red"), ("1", "b", "blue"), ("2", "a", "red"), ("2", "b", "blue")], "customer_id string, article_id string, colour string")
+    frame = spark.createDataFrame([("1", "a", "red"), ("1", "a", "red"), ("1", "c", None), ("3", "a", "red"), (None, "a", "red")], "customer_id string, article_id string, colour string")
+    seen, real = [], X._rate_maps
+    monkeypatch.setattr(X, "_rate_maps", lambda rows, *a: seen.append({r.customer_id for r in rows.collect()}) or real(rows, *a))
+    found = X.add_same_article_type_rates(frame, history, ["colour"])
+    assert sorted(map(tuple, found.select("customer_id", "article_id", "colour_customer_buy_rate").collect()), key=repr) == sorted(
+        [("1", "a", 0.5), ("1", "a", 0.5), ("1", "c", None), ("3", "a", None), (None, "a", None)], key=repr)
+    assert seen == [{"1"}]
