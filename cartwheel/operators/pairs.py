@@ -66,39 +66,46 @@ def best_partner(baskets: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
     rows = cut(baskets)
     items = cut(sorted_rank(rows.select("item").filter(F.col("item").isNotNull()).distinct(), ["item"], "_id").select("item", F.col("_id").cast("int").alias("id")))
     whole, split = _parts(rows, items, part_items)
-    discard(rows)
     alone = whole.select("l", "lw", F.col("l").alias("r"), "rw")
     blocks = alone if split is None else alone.unionByName(split)
     first, deal, passes = _plan(_pairs_by_bucket(blocks), PASS_ROWS * _entries(blocks))
-    found = None
-    for begin, end in passes:
-        best = cut(_best_of_pass(blocks, first, deal, begin, end))
-        found = best if found is None else found.unionByName(best)
-    if found is None:
+    tables = [cut(_best_of_pass(blocks, first, deal, begin, end)) for begin, end in passes]
+    if not tables:
         return baskets.select(F.col("item").alias("article_id"), F.col("item").alias("partner_id"), F.lit(0).cast("long").alias("cnt")).limit(0)
+    found = tables[0]
+    for best in tables[1:]:
+        found = found.unionByName(best)
     best = found.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("neg"), "b")).alias("best")).select("a", "best.neg", "best.b")
     named = best.join(items.select(F.col("id").alias("a"), F.col("item").alias("article_id")), "a")
     named = skew_join(named, items.select(F.col("id").alias("b"), F.col("item").alias("partner_id")), ["b"], "inner")
-    return named.select("article_id", "partner_id", (-F.col("neg")).cast("long").alias("cnt"))
+    result = cut(named.select("article_id", "partner_id", (-F.col("neg")).cast("long").alias("cnt")))
+    for stored in (items, whole, split, *tables):
+        if stored is not None:
+            discard(stored)
+    return result
 
 
 def _parts(rows: DataFrame, items: DataFrame, part_items: int) -> tuple[DataFrame, DataFrame | None]:
-    """Item numbers and weights as arrays: of whole baskets (l, lw, rw), and of the pairs of parts (l, lw, r, rw) of larger ones."""
-    coded = skew_join(rows, items, ["item"], "inner").drop("item")
+    """Stage tables of item numbers and weights as arrays: of whole baskets (l, lw, rw), and of the pairs of parts (l, lw, r, rw) of larger ones."""
     large = cut(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_items)
                 .select("basket", F.ceil(F.col("_n") / part_items).cast("int").alias("parts")))
+    coded = cut(skew_join(rows, items, ["item"], "inner").drop("item"))
+    discard(rows)
     dealt = skew_join(coded, large, ["basket"]).withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.lit(0)))
     packed = dealt.groupBy("basket", "own", "parts").agg(F.collect_list(F.struct("id", "left_w", "right_w")).alias("_e"))
     arrays = [F.col("_e.id").alias("l"), F.col("_e.left_w").alias("lw"), F.col("_e.right_w").alias("rw")]
     packed = packed.filter(F.col("parts").isNotNull() | (F.size("_e") > 1))
     if large.isEmpty():
-        return cut(packed.select(*arrays)), None
+        packed = cut(packed.select(*arrays))
+        discard(coded)
+        return packed, None
     packed = cut(packed.select("basket", "own", "parts", *arrays))
+    discard(coded)
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     several = packed.filter(F.col("parts").isNotNull())
     left = several.select("basket", F.col("own").alias("part_a"), every.alias("part_b"), "l", "lw")
     right = several.select("basket", every.alias("part_a"), F.col("own").alias("part_b"), F.col("l").alias("r"), "rw")
-    return (packed.filter(F.col("parts").isNull()).select("l", "lw", "rw"),
+    return (cut(packed.filter(F.col("parts").isNull()).select("l", "lw", "rw")),
             cut(left.join(right, ["basket", "part_a", "part_b"]).select("l", "lw", "r", "rw")))
 
 
