@@ -1,3 +1,4 @@
+import collections
 import math
 
 import numpy as np
@@ -103,3 +104,17 @@ def test_model_learns_and_reloads(spark, tmp_path):
     again = M.score_mean(M.load_models([str(tmp_path / "model")]), data, features)
     assert again.count() == 400
     assert M.importance([model]).first().feature == "f"
+
+
+@pytest.mark.parametrize("passes", [1, 4, 7])
+def test_tfidf_shuffles_terms_in_passes_that_are_gone(spark, monkeypatch, passes):
+    docs = [("1", "red shirt red"), ("2", "blue shirt"), ("3", None), ("4", "red blue green"), (None, "red")]
+    monkeypatch.setattr(T, "PASSES", passes)
+    found = T.tfidf(spark.createDataFrame(docs, "id string, text string"), "id", "text", [])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    terms = [collections.Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for w in ((t or "").split() for _, t in docs)]
+    df = collections.Counter(t for c in terms for t in c)
+    raw = [{t: n * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, n in c.items()} for c in terms]
+    want = {(k, t): w / math.sqrt(sum(x * x for x in r.values())) for (k, _), r in zip(docs, raw) for t, w in r.items()}
+    got = {(r.id, r.term): r.weight for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
