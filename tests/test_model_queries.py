@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartwheel.operators import candidates as C, factors, models as M
+from cartwheel.plans import two_stage
 from checks import candidates, models as Q
 from checks.views import TRAIN_START, VALID_START, Views
 
@@ -49,3 +50,15 @@ def test_factor_candidates_runs_the_default_iterations(spark, monkeypatch):
     real = factors.factorise
     monkeypatch.setattr(factors, "factorise", lambda pairs, ranks, iterations, seed: given.append((ranks, iterations)) or real(pairs, ranks, iterations, seed))
     assert candidates.QUERIES["factor_candidates"](spark, FOLDER).count() > 0 and given == [((2,), 10)]
+
+
+def test_prepared_inputs_are_tables(spark, facts):
+    tx = facts([("2020-01-01", "1", "a"), ("2020-01-02", "2", "b")])
+    people = spark.createDataFrame([("1", 1.0, None, "x", "NONE", 20.0, "p"), ("2", None, 1.0, "y", "None", 30.0, "q")],
+                                   "customer_id string, FN double, Active double, club_member_status string, fashion_news_frequency string, age double, postal_code string")
+    articles = spark.createDataFrame([("a", "n"), ("b", "n")], "article_id string, product_type_name string")
+    forecast = tx.select("article_id", F.col("t_dat").alias("1st_week_sales_dat"), F.lit(1.0).alias("1st_week_sales_pred"))
+    tables = two_stage.prepare(tx, people, articles, forecast)
+    # what is behind the facts and the forecast is computed once, however many weeks read them
+    assert all(hasattr(t, "stage_folder") for t in tables)
+    assert sorted(map(tuple, tables.transactions.collect())) == sorted(map(tuple, tx.collect())) and tables.forecast.count() == 2
